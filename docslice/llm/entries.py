@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from docslice.llm.mixing import op1_mixing
 from docslice.llm.sharding import op10_sharding
+from docslice.llm.tokenbin import op3_token_binary
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_token_binary": op3_token_binary,
     "op10_sharding": op10_sharding,
 }
 
