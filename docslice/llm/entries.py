@@ -5,11 +5,13 @@ from __future__ import annotations
 from docslice.llm.decontam import op9_decontamination
 from docslice.llm.mixing import op1_mixing
 from docslice.llm.sharding import op10_sharding
+from docslice.llm.simhash import op8_simhash
 from docslice.llm.tokenbin import op3_token_binary
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_binary": op3_token_binary,
+    "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
