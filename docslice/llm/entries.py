@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docslice.llm.decontam import op9_decontamination
+from docslice.llm.html import op5_html
 from docslice.llm.mixing import op1_mixing
 from docslice.llm.sharding import op10_sharding
 from docslice.llm.simhash import op8_simhash
@@ -12,6 +13,7 @@ from docslice.llm.warc import op7_warc
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_binary": op3_token_binary,
+    "op5_html": op5_html,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,

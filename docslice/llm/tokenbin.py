@@ -137,53 +137,83 @@ class CachedEncoder:
     The pre-tokenizer always cuts before a space that starts a word, so the ids of a text are those of its units (a
     space and what follows up to the next one), one after another. Where white space surrounds a space, or a special
     token may occur, that need not hold and the library gets the whole text.
+
+    Units met once are most of a vocabulary and little of a text, so a full cache drops those that did not come again.
     """
 
     WHOLE = re.compile(r" \s(?<=\s \s)| \Z(?<=\s )|<\|")
-    UNITS, CHARS = 800_000, 24_000_000
+    UNITS, CHARS = 400_000, 16_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        """Units are kept without their leading space, which all but the first of a text have."""
-        self.numbers: dict[str, int] = {}
+        size = self.lib.get_vocab_size()
+        self.spaced = np.array([(self.lib.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.numbers: dict[str, int] = {}  # units without their leading space, which all but the first of a text have
         self.chars = 0
         self.flat, self.offsets, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Keep the units met most, at most half of the room."""
+        least = 2
+        while (self.hits >= least).sum() > self.UNITS // 2:
+            least += 1
+        keep = self.hits >= least
+        keys = [k for k, x in zip(self.numbers, keep.tolist(), strict=True) if x and len(k) < 64]
+        at = np.array([self.numbers[k] for k in keys], np.int64)
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        self.flat = self.flat[np.repeat(self.offsets[at] - (ends - sizes), sizes) + np.arange(n)]
+        self.offsets, self.sizes, self.hits = ends - sizes, sizes, self.hits[at] // 2
+        self.numbers = dict(zip(keys, range(len(keys)), strict=True))
+        self.chars = sum(map(len, keys))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        ids = self._ids([f" {x}" for x in new])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        """Ids of new units. Those without white space at an end are encoded side by side: each starts where a token
+        with a space does."""
+        odd = [u for u in new if not u or u.strip() != u]
+        plain = [u for u in new if u and u.strip() == u] if odd else new
+        side = [f" {' '.join(plain[i : i + 500])}" for i in range(0, len(plain), 500)]
+        ids = np.array(list(chain.from_iterable(self._ids(side))), np.uint32)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(plain):  # a unit with a space of its own kind; then one by one
+            odd, plain, ids, starts = [*plain, *odd], [], ids[:0], starts[:0]
+        sizes = np.diff(np.concatenate([starts, [len(ids)]]))
+        if odd:
+            one = self._ids([f" {u}" for u in odd])
+            ids = np.concatenate([ids, np.array(list(chain.from_iterable(one)), np.uint32)])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, one), np.int64, len(one))]) if len(plain) else np.fromiter(map(len, one), np.int64, len(one))
+        n = len(self.numbers)
+        self.numbers.update(zip([*plain, *odd], range(n, n + len(new)), strict=True))
         self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array(list(chain.from_iterable(ids)), np.uint32)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > self.UNITS or self.chars > self.CHARS:
-            self._reset()
-        numbers, get = self.numbers, self.numbers.get
-        whole = [bool(self.WHOLE.search(t)) for t in texts]
+            self._trim()
+        get = self.numbers.get
         heads, units, ends = [], [], []
-        for t, w in zip(texts, whole, strict=True):
-            head, *rest = [t] if w else t.split(" ")
+        for t in texts:
+            head, *rest = [t] if self.WHOLE.search(t) else t.split(" ")
             heads.append(head)
             units += rest
             ends.append(len(units))
         idx = list(map(get, units))
         if None in idx:
-            new = list(dict.fromkeys(u for u, i in zip(units, idx, strict=True) if i is None))
-            numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
-            self._learn(new)
+            self._learn(list(dict.fromkeys(u for u, i in zip(units, idx, strict=True) if i is None)))
             idx = list(map(get, units))
         idx = np.array(idx, np.int64)
+        self.hits += np.bincount(idx, minlength=len(self.hits))
         sizes = self.sizes[idx]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.offsets[idx] - upto[:-1], sizes) + np.arange(upto[-1])]
@@ -197,16 +227,18 @@ def encoder_of(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
-def _parts(docs: list, texts: list, chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
-    """The rows in runs of about so many characters."""
-    a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
+def _parts(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[tuple[list, list]]:
+    """doc_ids and texts in runs of about so many characters."""
+    docs, texts, n = [], [], 0
+    for doc, t in zip(batch.column(0), batch.column(1), strict=True):
+        docs.append(doc.as_py())
+        texts.append(t.as_py() or "")
+        n += len(texts[-1])
         if n >= chars:
-            yield docs[a : i + 1], texts[a : i + 1]
-            a, n = i + 1, 0
-    if a < len(texts):
-        yield docs[a:], texts[a:]
+            yield docs, texts
+            docs, texts, n = [], [], 0
+    if docs:
+        yield docs, texts
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> int:
@@ -225,8 +257,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
         for b in batches:
             encoder = encoder_of(tokenizer)
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for some, part in _parts(ids, texts):
+            for some, part in _parts(b):
                 made = [r for doc, x in zip(some, encoder.encode(part), strict=True) for r in out.add(doc, np.concatenate([x, end]))]
                 if made:
                     yield batch(made)
