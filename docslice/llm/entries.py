@@ -8,12 +8,14 @@ from docslice.llm.mixing import op1_mixing
 from docslice.llm.sharding import op10_sharding
 from docslice.llm.simhash import op8_simhash
 from docslice.llm.tokenbin import op3_token_binary
+from docslice.llm.toxicity import op6_toxicity
 from docslice.llm.warc import op7_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_binary": op3_token_binary,
     "op5_html": op5_html,
+    "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
