@@ -210,8 +210,11 @@ class CachedEncoder:
             ends.append(len(units))
         idx = list(map(get, units))
         if None in idx:
-            self._learn(list(dict.fromkeys(u for u, i in zip(units, idx, strict=True) if i is None)))
-            idx = list(map(get, units))
+            gaps = [j for j, i in enumerate(idx) if i is None]
+            missed = [units[j] for j in gaps]
+            self._learn(list(dict.fromkeys(missed)))
+            for j, i in zip(gaps, map(get, missed), strict=True):
+                idx[j] = i
         idx = np.array(idx, np.int64)
         self.hits += np.bincount(idx, minlength=len(self.hits))
         sizes = self.sizes[idx]
@@ -274,10 +277,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     return bits
 
 
-def _n_ids(data: bytes) -> int:
-    return TRAILER.unpack(data[-1 - TRAILER.size : -1])[5] if len(data) > TRAILER.size else 0
-
-
 def _document_rows(name: str, data: bytes) -> Iterator[pa.RecordBatch]:
     """file, doc_id, at, n_tokens, ids_crc32, bits of each document of a file."""
     if len(data) <= TRAILER.size:  # a task without rows leaves an empty file
@@ -315,13 +314,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 yield from _document_rows(name, data.as_py())
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [_n_ids(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["file", "n"])
-
     # a row for each file; files are of tens of MB, so this is small at any size
-    counts = sorted(map(tuple, files.select("path", "content").mapInArrow(totals, "file string, n long").collect()), key=lambda x: x[0].rpartition("/")[2])
+    tails = files.select("path", F.substring("content", -1 - TRAILER.size, TRAILER.size)).collect()
+    counts = sorted(((name, TRAILER.unpack(tail)[5] if len(tail) == TRAILER.size else 0) for name, tail in tails), key=lambda x: x[0].rpartition("/")[2])
     at, starts = 0, []
     for name, n in counts:
         starts.append((name, at))
