@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docslice.llm.decontam import op9_decontamination
+from docslice.llm.embeddings import op4_embeddings
 from docslice.llm.html import op5_html
 from docslice.llm.mixing import op1_mixing
 from docslice.llm.sharding import op10_sharding
@@ -14,6 +15,7 @@ from docslice.llm.warc import op7_warc
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_binary": op3_token_binary,
+    "op4_embeddings": op4_embeddings,
     "op5_html": op5_html,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
