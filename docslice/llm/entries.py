@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docslice.llm.chat import op2_chat
 from docslice.llm.decontam import op9_decontamination
 from docslice.llm.embeddings import op4_embeddings
 from docslice.llm.html import op5_html
@@ -14,6 +15,7 @@ from docslice.llm.warc import op7_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_chat": op2_chat,
     "op3_token_binary": op3_token_binary,
     "op4_embeddings": op4_embeddings,
     "op5_html": op5_html,
