@@ -169,7 +169,17 @@ def mix(docs: DataFrame, weights=None, max_repeats: int = MAX_REPEATS, seed: int
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, size and the one membership of each row of documents."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", size.alias("size"), F.array("source").alias("memberships"))
+    return docs.select("doc_id", size.alias("size"), F.array("source").alias("memberships"), "text").withColumn("twin", F.xxhash64("text", F.col("memberships")[0])).drop("text")
+
+
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it. Texts move once, to the ids; rows that repeat
+    a doc_id are told apart by their text and source."""
+    same = F.xxhash64("text", "source")
+    taken = mix(sized(docs)).filter("repeats > 0")
+    taken = materialise(taken.groupBy("doc_id", "twin").agg(F.max("repeats").alias("_repeats")).withColumnRenamed("doc_id", "_id"), "mix-taken")
+    joined = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["_id"]) & (same == taken["twin"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*(docs[c] for c in docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
