@@ -10,10 +10,10 @@ from docslice.functions import text as T
 WORDS = r"[\p{L}\p{N}_]+"
 
 COMMON = {
-    "en": "the be to of and a in that have it for not on with he as you do at this but his by from they we say her she or an will my one all would there their".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split(),
-    "fr": "le de et à un il être en avoir que pour dans ce son une sur avec ne se pas tout plus par je la les des du au est qui".split(),
-    "es": "el la de que y a en un ser se no haber por con su para como estar tener le lo todo pero más hacer o este las los del una es al".split(),
+    "en": "a all an and as at be but by do for from have he her his in it my not of on one or say she that the their there they this to we will with would you".split(),
+    "de": "als am an auch auf aus bei das dass dem den der des die ein eine einem einer er es für hat im in ist mit nach nicht noch sich sie sind um und von werden wie wird zu über".split(),
+    "fr": "au avec avoir ce dans de des du en est et il je la le les ne par pas plus pour que qui se son sur tout un une à être".split(),
+    "es": "a al como con de del el en es estar este haber hacer la las le lo los más no o para pero por que se ser su tener todo un una y".split(),
 }
 MARKS = {"en": "th|ing|tion", "de": "sch|ung|ß|ä|ö|ü", "fr": "eau|ç|è|ê|oi", "es": "ñ|ción|ó|í|ll"}
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docslice.plans import chunking, chunks
+from docslice.plans import chunking, chunks, documents, more
 
-MODULES = (chunking, chunks)
+MODULES = (chunking, chunks, documents, more)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
