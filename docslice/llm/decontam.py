@@ -32,7 +32,7 @@ WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 BLOCK_BYTES = 2 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 _BITS = 22
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

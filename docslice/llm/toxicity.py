@@ -21,7 +21,7 @@ are the prior 1/20; repeated rows have equal scores; an empty table gives an emp
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +46,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 class Words:
     """Hashes of words and of their stems, kept for the words met last."""
 
-    ROOM = 300_000
+    ROOM = 150_000
 
     def __init__(self):
         self._reset()
@@ -115,7 +115,7 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[float
     return bias + shift, at, w[at]
 
 
-def score_texts(texts: list[bytes], bias: float, weights: np.ndarray) -> list[float]:
+def score_texts(texts: Iterable[bytes], bias: float, weights: np.ndarray) -> list[float]:
     out = []
     for t in texts:
         at = features(t)
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, weights = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts([t.as_py() or b"" for t in b.column(1)], bias, weights), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts((t.as_py() or b"" for t in b.column(1)), bias, weights), pa.float64())], ["doc_id", "score"])
 
     found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(rows, f"doc_id {kind}, score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -179,7 +179,7 @@ def reject_toxic(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, weights = shared.value
         for b in batches:
-            s = score_texts([t.as_py() or b"" for t in b.column(at).cast(pa.binary())], bias, weights)
+            s = score_texts((t.as_py() or b"" for t in b.column(at).cast(pa.binary())), bias, weights)
             yield b.filter(pa.array(np.array(s) < 0.5))
 
     return docs.mapInArrow(rows, docs.schema)
