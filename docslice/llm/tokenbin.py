@@ -22,7 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ MAGIC = b"DSTB"
 TRAILER = struct.Struct("<4sIIIQQQ")
 NULL_DOC = -(1 << 63)
 TOKENIZER = "byte_bpe_50k.json"
+#: Before a unit that begins with a line end instead of a space.
+MARK = "\x01"
 
 
 def bits_for(vocab: int) -> int:
@@ -135,13 +137,15 @@ class CachedEncoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, which encodes each distinct unit once.
 
     The pre-tokenizer always cuts before a space that starts a word, so the ids of a text are those of its units (a
-    space and what follows up to the next one), one after another. Where white space surrounds a space, or a special
-    token may occur, that need not hold and the library gets the whole text.
+    space, or a single line end between words, and what follows up to the next one), one after another. Where white
+    space surrounds a space, or a special token may occur, that need not hold and the library gets the whole text.
 
     Units met once are most of a vocabulary and little of a text, so a full cache drops those that did not come again.
     """
 
-    WHOLE = re.compile(r" \s(?<=\s \s)| \Z(?<=\s )|<\|")
+    WHOLE = re.compile(r" \s(?<=\s \s)| \Z(?<=\s )|<\||\x01")
+    #: A line end beside other white space is part of a run that the library cuts its own way.
+    LINES = re.compile(r"\n\s|\n(?<=\s\n)")
     UNITS, CHARS = 400_000, 16_000_000
 
     def __init__(self, path: str):
@@ -151,6 +155,7 @@ class CachedEncoder:
         self.lib = Tokenizer.from_file(path)
         size = self.lib.get_vocab_size()
         self.spaced = np.array([(self.lib.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.lined = np.array([self.lib.id_to_token(i) == "\u010a" for i in range(size)])
         self.numbers: dict[str, int] = {}  # units without their leading space, which all but the first of a text have
         self.chars = 0
         self.flat, self.offsets, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -162,8 +167,9 @@ class CachedEncoder:
         while (self.hits >= least).sum() > self.UNITS // 2:
             least += 1
         keep = self.hits >= least
-        keys = [k for k, x in zip(self.numbers, keep.tolist(), strict=True) if x and len(k) < 64]
-        at = np.array([self.numbers[k] for k in keys], np.int64)
+        if self.chars > self.CHARS:
+            keep &= np.fromiter(map(len, self.numbers), np.int64, len(keep)) < 64
+        keys, at = list(compress(self.numbers, keep.tolist())), np.flatnonzero(keep)  # numbers follow the dict's order
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         n = int(ends[-1]) if len(ends) else 0
@@ -175,26 +181,39 @@ class CachedEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _side_by_side(self, texts: list[str], start: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and sizes of units encoded in long texts: each begins where an id of `start` does. None if one of them
+        holds such an id further on."""
+        lines = ["".join(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+        ids = np.array(list(chain.from_iterable(self._ids(lines))), np.uint32)
+        at = np.flatnonzero(start[ids])
+        return (ids, np.diff(np.concatenate([at, [len(ids)]]))) if len(at) == len(texts) else None
+
     def _learn(self, new: list[str]) -> None:
-        """Ids of new units. Those without white space at an end are encoded side by side: each starts where a token
-        with a space does."""
-        odd = [u for u in new if not u or u.strip() != u]
-        plain = [u for u in new if u and u.strip() == u] if odd else new
-        side = [f" {' '.join(plain[i : i + 500])}" for i in range(0, len(plain), 500)]
-        ids = np.array(list(chain.from_iterable(self._ids(side))), np.uint32)
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(plain):  # a unit with a space of its own kind; then one by one
-            odd, plain, ids, starts = [*plain, *odd], [], ids[:0], starts[:0]
-        sizes = np.diff(np.concatenate([starts, [len(ids)]]))
+        """Ids of new units. Those without white space at an end are encoded side by side."""
+        kinds: list[list[str]] = [[], [], []]
+        for u in new:
+            mark = u[:1] == MARK
+            core = u[2:] if mark else u
+            kinds[2 if not core or core.strip() != core else mark].append(u)
+        plain, lines, odd = kinds
+        parts = []
+        for units, start in ((plain, self.spaced), (lines, self.lined)):
+            texts = [u[1:] if u[:1] == MARK else f" {u}" for u in units]
+            got = self._side_by_side(texts, start) if units else None
+            if units and got is None:
+                odd += units
+            elif got:
+                parts.append((units, *got))
         if odd:
-            one = self._ids([f" {u}" for u in odd])
-            ids = np.concatenate([ids, np.array(list(chain.from_iterable(one)), np.uint32)])
-            sizes = np.concatenate([sizes, np.fromiter(map(len, one), np.int64, len(one))]) if len(plain) else np.fromiter(map(len, one), np.int64, len(one))
+            one = self._ids([u[1:] if u[:1] == MARK else f" {u}" for u in odd])
+            parts.append((odd, np.array(list(chain.from_iterable(one)), np.uint32), np.fromiter(map(len, one), np.int64, len(one))))
         n = len(self.numbers)
-        self.numbers.update(zip([*plain, *odd], range(n, n + len(new)), strict=True))
+        self.numbers.update(zip(chain.from_iterable(p[0] for p in parts), range(n, n + len(new)), strict=True))
+        sizes = np.concatenate([p[2] for p in parts])
         self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, ids])
+        self.flat = np.concatenate([self.flat, *(p[1] for p in parts)])
         self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.chars += sum(map(len, new))
 
@@ -204,7 +223,12 @@ class CachedEncoder:
         get = self.numbers.get
         heads, units, ends = [], [], []
         for t in texts:
-            head, *rest = [t] if self.WHOLE.search(t) else t.split(" ")
+            if self.WHOLE.search(t):
+                heads.append(t)
+                ends.append(len(units))
+                continue
+            # a line end between words starts a unit as well
+            head, *rest = (t if self.LINES.search(t) else t.replace("\n", f" {MARK}\n")).split(" ")
             heads.append(head)
             units += rest
             ends.append(len(units))
