@@ -126,10 +126,11 @@ class Run:
         self.b.append(y)
         self.n.append(np.zeros(len(x), np.int64))
 
-    def short(self, key: np.ndarray, ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, codes: np.ndarray, most: int) -> None:
-        """Rows of many short runs, one after another: each is compared to the one d further on."""
+    def short(self, run: np.ndarray, block: np.ndarray, cross: np.ndarray, key: np.ndarray, ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, codes: np.ndarray, most: int) -> None:
+        """Rows of many short runs, one after another: each is compared to the one d further on. In a run of two
+        blocks (cross) only rows of different blocks are."""
         for d in range(1, most):
-            at = np.flatnonzero(key[d:] == key[:-d])
+            at = np.flatnonzero((run[d:] == run[:-d]) & (~cross[d:] | (block[d:] != block[:-d])))
             at = at[np.einsum("ij,ij->i", unit[at], unit[at + d]) >= COSINE]
             at = at[_first(codes[at], codes[at + d], key[at], self.probes)]
             self.link(ids[at], ids[at + d])
@@ -221,7 +222,8 @@ def _verify(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.Recor
             if len(rows) < t.num_rows:
                 full[rows] = v
             keep = np.intersect1d(np.flatnonzero(short), rows)
-            run.short(key[keep], ids[keep], sizes[keep], full[keep], codes[keep], min(SHORT, int(size.max())))
+            number = np.repeat(np.arange(len(size)), size)
+            run.short(number[keep], block[keep], (x != y)[keep], key[keep], ids[keep], sizes[keep], full[keep], codes[keep], min(SHORT, int(size.max())))
             for i in np.flatnonzero(size > SHORT):
                 at = np.intersect1d(np.arange(cut[i], cut[i + 1]), rows)
                 if len(at):
