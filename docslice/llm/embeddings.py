@@ -205,6 +205,14 @@ def _hash(batches: Iterator[pa.RecordBatch], k: int, tables: int, probes: int) -
 SHORT = 16
 
 
+def padded(keys: pa.ListArray) -> np.ndarray:
+    """Lists of keys as rows of one width; rows bring the keys of the tables up to their own."""
+    n = np.diff(keys.offsets.to_numpy())
+    out = np.full((len(n), int(n.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1]) < n[:, None]] = keys.flatten().to_numpy()
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
     """Rows key, x, y, block, class, n, embedding, keys sorted by (key, x, y): sums and a forest of their links."""
 
@@ -213,7 +221,7 @@ def _verify(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.Recor
         t = t.combine_chunks()
         key, x, y, block, ids, sizes = (t.column(c).to_numpy() for c in ("key", "x", "y", "block", "class", "n"))
         by_length = unit_rows(t.column("embedding").combine_chunks())[1]
-        codes = np.stack(t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1))
+        codes = padded(t.column("keys").combine_chunks())
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
         size = np.diff(cut)
         short = np.repeat(size <= SHORT, size)
@@ -254,7 +262,9 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     """vec_id, n_links, component_id, kept of every row."""
     v = F.col("embedding")
     sound = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    # single precision stays so until it is computed with: half of what moves
+    kind = vectors.schema[embedding].dataType.simpleString()
+    base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind if kind in ("array<float>", "array<double>") else "array<double>").alias("embedding"))
     base = base.withColumn("embedding", F.when(F.coalesce(sound, F.lit(False)), v))
     good = base.filter(v.isNotNull())
     classes = materialise(good.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("n")), "emb-classes")
@@ -274,7 +284,9 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     met = materialise(met.select("key", "x", "y", "block", "class"), "emb-met")
     full = met.join(classes.join(keys, "class"), "class")
-    runs = full.select("key", "x", "y", "block", "class", "n", "embedding", "keys").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    # who counts a pair is told by the keys of the tables up to this one; the others need not move
+    own = F.slice("keys", F.lit(1), ((F.shiftright("key", 57) + 1) * probes).cast("int"))
+    runs = full.select("key", "x", "y", "block", "class", "n", "embedding", own.alias("keys")).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     found = materialise(runs.mapInArrow(verify, "a long, b long, n long"), "emb-found")
     sums = found.filter("b < 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("b >= 0").select("a", "b")).select(F.col("node").alias("class"), "component")
