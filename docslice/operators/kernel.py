@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from docslice.runtime import arrow_rows
+
 SCHEMA = "chunk_index long, content string, size long"
 
 
@@ -37,4 +39,4 @@ def chunk_rows(df: DataFrame, chunks: Callable[..., Iterable], inputs: list[str]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return df.select(F.col(key), *inputs).mapInArrow(rows, full)
+    return arrow_rows(df.select(F.col(key), *inputs), rows, full)

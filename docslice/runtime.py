@@ -6,9 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 
@@ -64,6 +67,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def arrow_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(rows, schema) whose workers give the memory of past batches back. Arrow's pool keeps it otherwise,
+    in each worker, from its largest batch to the end of the application."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                pool.release_unused()
+
+        try:
+            yield from rows(each())
+        finally:
+            pool.release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for Python workers that do not find it by path."""
     sc = spark.sparkContext
