@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docslice.runtime import table
+from docslice.runtime import arrow_rows, table
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -203,7 +203,7 @@ def score(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return docs.select(F.col(doc_id), F.col(text).cast("binary")).mapInArrow(rows, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return arrow_rows(docs.select(F.col(doc_id), F.col(text).cast("binary")), rows, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def spans(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,7 +233,7 @@ def spans(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
                     row, item, start, item_start, size = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([a + r for r in row])), pa.array(item, pa.string()), *(pa.array(x, pa.int64()) for x in (start, item_start, size))], ["doc_id", "item", "doc_start", "item_start", "n_words"])
 
-    return docs.select(F.col(doc_id), F.col(text).cast("binary")).mapInArrow(rows, f"doc_id {kind}, item string, doc_start long, item_start long, n_words long")
+    return arrow_rows(docs.select(F.col(doc_id), F.col(text).cast("binary")), rows, f"doc_id {kind}, item string, doc_start long, item_start long, n_words long")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
@@ -246,7 +246,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text") -> Data
                 n_words, n_hit, _ = judge(texts, blocks)
                 yield b.slice(a, len(texts)).filter(pa.array(~contaminated(n_words, n_hit)))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return arrow_rows(docs, rows, docs.schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

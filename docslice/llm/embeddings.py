@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docslice.llm.components import components
-from docslice.runtime import materialise, table
+from docslice.runtime import arrow_rows, materialise, table
 
 COSINE = 0.95
 AXES = 3
@@ -276,7 +276,7 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _verify(batches, probes)
 
-    keys = materialise(classes.select("class", "embedding").mapInArrow(spread, "class long, keys array<long>"), "emb-keys")
+    keys = materialise(arrow_rows(classes.select("class", "embedding"), spread, "class long, keys array<long>"), "emb-keys")
     keyed = keys.select("class", F.explode("keys").alias("key"))
     held = materialise(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "emb-held")
     # blocks of a large key meet in pairs, each pair in a run of its own
@@ -287,7 +287,7 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     # who counts a pair is told by the keys of the tables up to this one; the others need not move
     own = F.slice("keys", F.lit(1), ((F.shiftright("key", 57) + 1) * probes).cast("int"))
     runs = full.select("key", "x", "y", "block", "class", "n", "embedding", own.alias("keys")).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    found = materialise(runs.mapInArrow(verify, "a long, b long, n long"), "emb-found")
+    found = materialise(arrow_rows(runs, verify, "a long, b long, n long"), "emb-found")
     sums = found.filter("b < 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("b >= 0").select("a", "b")).select(F.col("node").alias("class"), "component")
     named = materialise(classes.drop("keys").join(sums, "class", "left").join(roots, "class", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id")), "emb-named")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docslice.llm.components import components
-from docslice.runtime import materialise, table
+from docslice.runtime import arrow_rows, materialise, table
 
 SHINGLE, BITS_APART, SEED = 3, 2, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -172,7 +172,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], ["doc_id", "print"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text).cast("binary")).mapInArrow(rows, f"doc_id {kind}, print long")
+    return arrow_rows(docs.select(F.col(doc_id), F.col(text).cast("binary")), rows, f"doc_id {kind}, print long")
 
 
 def links(prints: DataFrame, apart: int = BITS_APART) -> DataFrame:
@@ -205,8 +205,8 @@ def links(prints: DataFrame, apart: int = BITS_APART) -> DataFrame:
         if len(held_k):
             yield made(held_k, held_p)
 
-    keyed = prints.select("print").mapInArrow(spread, "key long, print long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "a long, b long")
+    keyed = arrow_rows(prints.select("print"), spread, "key long, print long")
+    return arrow_rows(keyed.repartition("key").sortWithinPartitions("key"), runs, "a long, b long")
 
 
 def classes(prints: DataFrame, apart: int = BITS_APART) -> DataFrame:

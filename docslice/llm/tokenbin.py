@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docslice.runtime import scratch, table
+from docslice.runtime import arrow_rows, scratch, table
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
@@ -297,7 +297,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (32 << 20), 200_000))
     key = F.coalesce(F.col("doc_id"), F.lit(NULL_DOC))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, key).sortWithinPartitions(key, F.xxhash64("text"))
-    ordered.mapInArrow(rows, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    arrow_rows(ordered, rows, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
     return bits
 
 
@@ -345,7 +345,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for name, n in counts:
         starts.append((name, at))
         at += n
-    rows = files.select("path", "content").mapInArrow(documents, "file string, doc_id long, at long, n_tokens long, ids_crc32 long, bits int")
+    rows = arrow_rows(files.select("path", "content"), documents, "file string, doc_id long, at long, n_tokens long, ids_crc32 long, bits int")
     return rows.join(F.broadcast(spark.createDataFrame(starts, "file string, before long")), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "bits")
 
 

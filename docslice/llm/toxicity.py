@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docslice.runtime import table
+from docslice.runtime import arrow_rows, table
 
 BITS = 20
 STEMS = (4, 6)
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[f
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([w], pa.list_(pa.float64()))], ["bias", "at", "w"])
 
     joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_k", "_y", "text")
-    model = joined.mapInArrow(featurise, "k int, y int, at array<int>").coalesce(1).mapInArrow(learn, "bias double, at array<int>, w array<double>").first()
+    model = arrow_rows(arrow_rows(joined, featurise, "k int, y int, at array<int>").coalesce(1), learn, "bias double, at array<int>, w array<double>").first()
     weights = np.zeros(1 << BITS)
     if model is None:
         return math.log(1 / 19), weights
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts((t.as_py() or b"" for t in b.column(1)), bias, weights), pa.float64())], ["doc_id", "score"])
 
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(rows, f"doc_id {kind}, score double")
+    found = arrow_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")), rows, f"doc_id {kind}, score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -182,7 +182,7 @@ def reject_toxic(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
             s = score_texts((t.as_py() or b"" for t in b.column(at).cast(pa.binary())), bias, weights)
             yield b.filter(pa.array(np.array(s) < 0.5))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return arrow_rows(docs, rows, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

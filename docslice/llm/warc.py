@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docslice.runtime import materialise, scratch, table
+from docslice.runtime import arrow_rows, materialise, scratch, table
 
 LEAST = 1000
 RECORDS_PER_FILE = 2048
@@ -114,7 +114,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
             for data in b.column(0):
                 yield from _record_rows(data.as_py(), payload)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, _FIELDS + ", payload binary" * payload)
+    return arrow_rows(spark.read.format("binaryFile").load(path).select("content"), rows, _FIELDS + ", payload binary" * payload)
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
