@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch for Python workers. Spark's own limit is 16 times that, held by both sides of each task.
+BATCH_BYTES = 4 << 20
 
 
 def session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -69,7 +71,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def arrow_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """df.mapInArrow(rows, schema) whose workers give the memory of past batches back. Arrow's pool keeps it otherwise,
-    in each worker, from its largest batch to the end of the application."""
+    in each worker, from its largest batch to the end of the application. Batches are of BATCH_BYTES at most (a session
+    setting; a longer row is a batch of its own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = pa.default_memory_pool()
@@ -85,6 +88,7 @@ def arrow_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterato
         finally:
             pool.release_unused()
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
