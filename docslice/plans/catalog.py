@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docslice.functions import text as T
-from docslice.operators import cdc, chunkops, closed, markup, pack, semantic, structured
+from docslice.operators import cdc, chunkops, closed, markup, pack, plugins, semantic, structured
 
 Strategy = Callable[..., DataFrame]
 
@@ -55,6 +55,9 @@ STRATEGIES: dict[str, tuple[Strategy, str, float, float]] = {
     "context_enriched": (_context, "text", 0.3, 0.9),
     "discourse_aware": (_discourse, "text", 0.3, 0.8),
     "embedding_based": (_clustered, "text", 0.3, 0.8),
+    "pattern_sections": (plugins.pattern_sections, "custom", 0.7, 0.6),
+    "sentiment_groups": (plugins.sentiment_groups, "custom", 0.7, 0.5),
+    "balanced_length": (plugins.balanced_length, "custom", 0.6, 0.7),
     "json": (structured.json_objects, "data", 0.9, 0.7),
     **{name: (partial(cdc.content_defined, rule=rule), "content_defined", 0.6, 0.5) for name, rule in (("fastcdc", cdc.fastcdc), ("rolling_hash", cdc.rolling_polynomial), ("rabin_fingerprinting", cdc.rabin), ("buzhash", cdc.buzhash), ("gear_cdc", cdc.gear_cdc), ("ml_cdc", cdc.ml_cdc), ("tttd", cdc.tttd), ("universal_rolling", cdc.universal_rolling))},
 }

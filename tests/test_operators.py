@@ -169,3 +169,39 @@ def test_catalogue():
     assert "own" in catalog.STRATEGIES
     catalog.unregister("own")
     assert "own" not in catalog.STRATEGIES
+
+
+@settings(max_examples=60, deadline=None)
+@given(sizes=st.lists(st.integers(1, 40), min_size=1, max_size=12))
+def test_balanced_runs(sizes):
+    from itertools import combinations
+
+    from docslice.operators import plugins
+
+    cost = lambda ends: sum(abs(sum(sizes[a:z]) - 50) for a, z in zip([0, *ends], ends))
+    fits = lambda ends: all(20 <= sum(sizes[a:z]) <= 80 for a, z in zip([0, *ends], ends))
+    every = [[*c, len(sizes)] for k in range(len(sizes)) for c in combinations(range(1, len(sizes)), k)]
+    least = min((cost(e) for e in every if fits(e)), default=None)
+    got = plugins.nearest(sizes, 50, 20, 80)
+    assert (got is None) == (least is None) and (got is None or (fits(got) and cost(got) == least))
+    ends = plugins.greedy(sizes, 35, 20, 80)
+    assert ends[-1] == len(sizes) and ends == sorted(set(ends))
+
+
+def test_office_formats():
+    import io
+    import zipfile
+
+    from docslice.operators import office
+
+    def packed(name, xml):
+        with zipfile.ZipFile(to := io.BytesIO(), "w") as z:
+            z.writestr(name, xml)
+        return to.getvalue()
+
+    docx = packed("word/document.xml", "<w:document xmlns:w='w'><w:body><w:p><w:pPr><w:pStyle w:val='Heading1'/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>two.</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>long</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
+    assert office.blocks_of(docx) == [("heading", 1, "Top"), ("paragraph", 0, "One two."), ("table", 0, "a   | long")]
+    odt = packed("content.xml", "<o:d xmlns:o='o' xmlns:t='t'><o:body><o:text><t:h t:outline-level='2'>Head</t:h><t:p>Body <t:span>text</t:span></t:p></o:text></o:body></o:d>")
+    assert office.blocks_of(odt) == [("heading", 2, "Head"), ("paragraph", 0, "Body text")]
+    assert office.blocks_of(rb"{\rtf1{\fonttbl{\f0 Arial;}}\f0 Caf\'e9 \{x\}\par Second \u8364?5.\par}") == [("paragraph", 0, "Café {x}"), ("paragraph", 0, "Second €5.")]
+    assert office.blocks_of(None) == [] and office.blocks_of(b"a\n\nb") == [("paragraph", 0, "a"), ("paragraph", 0, "b")]
