@@ -44,14 +44,14 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-_SCORE = rf"""CASE WHEN len(w) > 0 THEN (len(list_filter(w, x -> list_contains({_list(FOR)}, x))) - len(list_filter(w, x -> list_contains({_list(AGAINST)}, x)))) / len(w) ELSE 0 END"""
+_SCORE = rf"""CASE WHEN len(w) > 0 THEN (len(list_filter(w, lambda x: list_contains({_list(FOR)}, x))) - len(list_filter(w, lambda x: list_contains({_list(AGAINST)}, x)))) / len(w) ELSE 0 END"""
 
 ORACLE_SQL = {
     "q_doc_paragraphs": f"WITH {_BLOCKS}, s AS (SELECT doc_id, block_index, text, (row_number() OVER (PARTITION BY doc_id ORDER BY block_index) - 1) // 5 AS g FROM k), {_GATHERED}",
     "q_doc_headings": f"WITH {_BLOCKS}, s AS (SELECT doc_id, block_index, text, sum(CASE WHEN length(text) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_index) AS g FROM k), {_GATHERED}",
     "q_sentiment_groups": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> '') AS parts FROM d),
+p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM d),
 e AS (SELECT doc_id, unnest(parts) AS s, unnest(range(0, len(parts))) AS pos FROM p WHERE len(parts) > 2),
 w AS (SELECT doc_id, s, pos, regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+') AS w FROM e),
 v AS (SELECT doc_id, s, pos, {_SCORE} AS v FROM w),
