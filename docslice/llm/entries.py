@@ -11,7 +11,7 @@ from docslice.llm.sharding import op10_sharding
 from docslice.llm.simhash import op8_simhash
 from docslice.llm.tokenbin import op3_token_binary
 from docslice.llm.toxicity import op6_toxicity
-from docslice.llm.warc import op7_warc
+from docslice.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}

@@ -132,3 +132,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = heads.filter("record_type = 'response'").groupBy("sha256").agg(F.max("n").alias("n"))
     sized = revisits.drop("n").join(blocks, "sha256").unionByName(heads.filter("record_type = 'response'"))
     return sized.select("page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+own AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+shared AS (SELECT digest, n, max(page_id) AS holder FROM own WHERE n >= {LEAST} GROUP BY digest, n)
+SELECT own.page_id, CAST(own.n AS BIGINT) AS payload_bytes, own.digest AS payload_digest,
+    CASE WHEN holder IS NULL OR holder = own.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN holder <> own.page_id THEN holder END AS refers_to
+FROM own LEFT JOIN shared ON own.digest = shared.digest AND own.n = shared.n
+"""

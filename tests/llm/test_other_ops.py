@@ -221,3 +221,20 @@ def test_chat_of_the_table(spark, sf):
         turn, role, text = sorted(want[r["conv_id"]])[r["position"]]
         assert (r["turn"], r["role"], r["kind"], r["issues"]) == (turn, role, "message", "")
         assert r["line"] == json.dumps({"content": text, "role": role} if text else {"role": role}, ensure_ascii=False, separators=(",", ":"))
+
+
+def test_warc_against_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    want = {tuple(r) for r in con.sql(f"SELECT {', '.join(names)} FROM ({warc.OP7_SQL})").fetchall()}
+    got = [tuple(r[n] for n in names) for r in warc.op7_warc(spark, sf).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_frames_around_and_inside_articles():
+    page = "<article class='post'><div class='post-header'><h1>Title</h1></div><p>Body.</p><div id=comments><article class='comment'><p>No.</p></article></div></article><article class='comment'><p>Nor this.</p></article><div class='site-header'>Menu</div>"
+    texts, flags = html.blocks(page)
+    assert [t for t, f in zip(texts, flags, strict=True) if f] == ["Title", "Body."]
