@@ -163,16 +163,18 @@ def links_of_runs(keys: np.ndarray, prints: np.ndarray, apart: int = BITS_APART)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and print (64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, text_hash: bool = False) -> DataFrame:
+    """doc_id and print (64 bits as a signed long) of each row; on demand its text_hash as well."""
+    more = [F.xxhash64(F.col(text).cast("binary")).alias("text_hash")] if text_hash else []
+    names = ["doc_id", "print", "text_hash"][: 2 + len(more)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64)), *b.columns[2:]], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return arrow_rows(docs.select(F.col(doc_id), F.col(text).cast("binary")), rows, f"doc_id {kind}, print long")
+    return arrow_rows(docs.select(F.col(doc_id), F.col(text).cast("binary"), *more), rows, f"doc_id {kind}, print long" + ", text_hash long" * len(more))
 
 
 def links(prints: DataFrame, apart: int = BITS_APART) -> DataFrame:
@@ -227,17 +229,30 @@ def near_duplicates(docs: DataFrame, apart: int = BITS_APART, shingle: int = SHI
     return base.join(named, "print")
 
 
-def deduplicate(docs: DataFrame, apart: int = BITS_APART, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; of repeated rows of that id, and
-    of rows without an id, one stays."""
-    found = near_duplicates(docs, apart, shingle).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    kept = materialise(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), "n"), "simhash-kept")
+def keep_one(docs: DataFrame, base: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of docs, all columns, for each component: that of the smallest (doc_id, text_hash), ids before nulls.
+    base: doc_id, text_hash, node of every row; roots: node, root of the nodes that have links."""
+    own = base.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"))
+    least = own.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    least = least.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+    times = base.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = materialise(least.join(times, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("_id", "_hash", "n"), "simhash-kept")
     # texts move once, to the ids; the hash table is built of the ids
     once, more = kept.filter("n = 1"), kept.filter("n > 1")
-    out = docs.join(once.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(once["_kept"]), "left_semi")
+    same = lambda x: docs["doc_id"].eqNullSafe(x["_id"]) & (F.xxhash64(docs["text"].cast("binary")) == x["_hash"])
+    out = docs.join(once.hint("shuffle_hash"), same(once), "left_semi")
     if more.isEmpty():
         return out
-    return out.unionAll(docs.join(more, docs["doc_id"].eqNullSafe(more["_kept"]), "left_semi").dropDuplicates(["doc_id"]))
+    repeated = docs.join(more, same(more), "left_semi").withColumn("_hash", F.xxhash64(F.col("text").cast("binary")))
+    return out.unionAll(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+
+
+def deduplicate(docs: DataFrame, apart: int = BITS_APART, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs, all columns, for each component, whether or not ids are null or used by several texts: that of
+    the smallest doc_id, of the smallest text hash among its texts; any of rows that repeat both."""
+    base = materialise(fingerprints(docs, shingle=shingle, text_hash=True).withColumnRenamed("print", "node"), "simhash-prints")
+    prints = materialise(base.select(F.col("node").alias("print")).distinct(), "simhash-classes")
+    return keep_one(docs, base, classes(prints, apart).withColumnRenamed("print", "node"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,3 +219,12 @@ def test_runs_connect_what_links_connect(base, flips):
         parent[y] = x
     want = slow_components({int(p): int(p) for p in prints})
     assert {p: root(p) for p in parent} == want
+
+
+@pytest.mark.parametrize("options", [{}])
+def test_one_row_of_every_component_stays(spark, options):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (9, b), (None, c), (None, d), (None, d), (None, a), (7, c + "\n"), (8, "x y"), (8, "x y"), (None, "p q"), (None, "r s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS n")
+    got = sorted(((r["doc_id"] or 0, r["text"].strip()) for r in simhash.deduplicate(frame, **options).collect()))
+    assert got == sorted([(1, a), (5, b), (7, c), (0, d), (8, "x y"), (0, "p q"), (0, "r s")])
