@@ -38,17 +38,25 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 HOT = 512
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's bytes."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text's words, with repeats."""
     words = text.lower().split()  # bytes: A-Z, and [\x20\x09-\x0D]
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
         hashes = list(map(partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))))
+    return np.array(hashes, "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's bytes."""
+    hashes = shingle_hashes(text, shingle)
     n, ones = len(hashes), np.zeros(64, np.int64)
-    h = np.array(hashes, "<u8").view(np.uint8)
+    if not n:
+        return 0
+    h = hashes.view(np.uint8)
     for a in range(0, n, 1 << 16):
         ones += np.unpackbits(h[8 * a : 8 * (a + (1 << 16))].reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])

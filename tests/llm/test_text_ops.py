@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docslice.llm import decontam, simhash, tokenbin, toxicity
+from docslice.llm import decontam, shingles, simhash, tokenbin, toxicity
 
 
 def low(t):
@@ -221,10 +221,50 @@ def test_runs_connect_what_links_connect(base, flips):
     assert {p: root(p) for p in parent} == want
 
 
-@pytest.mark.parametrize("options", [{}])
-def test_one_row_of_every_component_stays(spark, options):
+@pytest.mark.parametrize("operator", [simhash, shingles])
+def test_one_row_of_every_component_stays(spark, operator):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(1, a), (5, a), (5, b), (9, b), (None, c), (None, d), (None, d), (None, a), (7, c + "\n"), (8, "x y"), (8, "x y"), (None, "p q"), (None, "r s")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS n")
-    got = sorted(((r["doc_id"] or 0, r["text"].strip()) for r in simhash.deduplicate(frame, **options).collect()))
+    got = sorted(((r["doc_id"] or 0, r["text"].strip()) for r in operator.deduplicate(frame).collect()))
     assert got == sorted([(1, a), (5, b), (7, c), (0, d), (8, "x y"), (0, "p q"), (0, "r s")])
+
+
+def slow_similar(texts, similarity=0.8):
+    """Root (first index) of each text."""
+    sets = []
+    for t in texts:
+        w = low(t).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("hot", [512, 8])
+def test_pipeline_finds_near_copies(spark, monkeypatch, hot):
+    """Texts with some words replaced, below and above the threshold, alone and in one large group."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingles, "HOT", hot)
+    r, texts = np.random.default_rng(7), [None, "", " \n", "two words", "Two  WORDS"]
+    for k in range(40):
+        base = [f"w{k}x{i}" for i in range(120)]
+        for n in range(0, 6) if k else [0] + [1 + i % 4 for i in range(60)]:
+            w = list(base)
+            for i in r.integers(0, 120, n):
+                w[i] = f"new{r.integers(1 << 40)}"
+            texts.append(" ".join(w))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect())
+    assert got == sorted(set(slow_similar(texts)))
