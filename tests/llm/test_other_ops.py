@@ -238,3 +238,21 @@ def test_frames_around_and_inside_articles():
     page = "<article class='post'><div class='post-header'><h1>Title</h1></div><p>Body.</p><div id=comments><article class='comment'><p>No.</p></article></div></article><article class='comment'><p>Nor this.</p></article><div class='site-header'>Menu</div>"
     texts, flags = html.blocks(page)
     assert [t for t, f in zip(texts, flags, strict=True) if f] == ["Title", "Body."]
+
+
+@pytest.mark.parametrize("parts", ["1", "3"])
+def test_copies_of_unmarked_pages_keep_their_article(spark, monkeypatch, parts):
+    monkeypatch.setattr(html, "WINDOW", 3)
+    long = [f"sentence {i} of the story" for i in range(30)]
+    story, near = ("".join(f"<p>{x}" for x in y) for y in (long, [*long[:-1], "changed end"]))
+    rows = [(k, f"http://a.com/n/{k}", site(story)) for k in range(1, 6)] + [(6, "http://a.com/n/6", site(near)), (7, "http://a.com/n/7", site("<p>Else")), (7, "http://a.com/n/7", site("<p>Else"))]
+    rows += [(k, f"http://b.com/{k}", site(story)) for k in (20, 21)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = sorted((r["page_id"], r["text"]) for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    text = "\n\n".join(long)
+    whole = "\n\n".join(["Site name", "Home", "About us", text, "Imprint 2020"])
+    assert got == [(k, text) for k in range(1, 6)] + [(6, "\n\n".join([*long[:-1], "changed end"])), (7, "Else"), (7, "Else"), (20, whole), (21, whole)]
