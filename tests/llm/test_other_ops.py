@@ -256,3 +256,10 @@ def test_copies_of_unmarked_pages_keep_their_article(spark, monkeypatch, parts):
     text = "\n\n".join(long)
     whole = "\n\n".join(["Site name", "Home", "About us", text, "Imprint 2020"])
     assert got == [(k, text) for k in range(1, 6)] + [(6, "\n\n".join([*long[:-1], "changed end"])), (7, "Else"), (7, "Else"), (20, whole), (21, whole)]
+
+
+@pytest.mark.parametrize("around", ["div class='layout has-sidebar'", "div class='no-sidebar'", "div class='header-fixed page'", "form id=aspnet", "div class='sidebar widget'"])
+def test_frames_around_an_article_do_not_hide_it(around):
+    page = f"<{around}><div class='site-header'>Menu</div><article><p>Body.</p><div class='social-history'>Rise.</div><div class='share-price'>Fall.</div><div class='share-buttons'>Tweet</div><p hidden>no</p></article></{around.split()[0]}><div class='sidebar'>Side</div>"
+    texts, flags = html.blocks(page)
+    assert [t for t, f in zip(texts, flags, strict=True) if f] == ["Body.", "Rise.", "Fall."]
