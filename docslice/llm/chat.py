@@ -9,8 +9,8 @@ Messages are rows (conv_id, turn, role, text). A text that is a JSON object can
 Calls and results are hash-joined by conversation and identifier. Order is topological: a result stands after its
 call, and a call after the results it depends on; otherwise turns decide. Places are found by rounds of joins that end
 when nothing moves; a message in a cycle keeps its own turn and is told in its issues. Arguments are checked against
-the tool's schema: required and unknown names, types, enumerations (of the object's own properties; nested objects by
-type). Each message is one line of canonical JSON: names sorted, no spaces, no empty fields, nested objects as well.
+the tool's schema: required and unknown names, types, enumerations, of nested objects and array items (`items`) to any
+depth; other keywords of JSON schema (references, combinations, bounds, patterns) are not checked. Each message is one line of canonical JSON: names sorted, no spaces, no empty fields, nested objects as well.
 
 A conversation is never gathered in one task: messages keep their rows, and a message's position is the number of
 messages in earlier stretches of STRETCH turns, counted beforehand, plus its rank in its own stretch.
@@ -45,7 +45,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     own = messages.select(
         F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("c")
     )
-    doc = F.when(F.substring(F.ltrim("text"), 1, 1) == "{", F.try_parse_json("text"))
+    doc = F.when(F.substring(F.ltrim("text", F.lit(" \t\r\n")), 1, 1) == "{", F.try_parse_json("text"))
     own = own.withColumn("doc", doc)
     return own.select(
         "conv_id",
@@ -70,21 +70,59 @@ def _type_ok(value: Column, kind: Column) -> Column:
     return F.coalesce(ok, F.lit(True))
 
 
-def argument_issues(arguments: Column, schema: Column) -> Column:
-    """Sorted issues of a call's arguments (variant) under a JSON schema (variant)."""
+def argument_issues(arguments: Column, schema: Column, path: Column | None = None) -> Column:
+    """Sorted issues of an object or array (variant) under a JSON schema (variant): of its own names, and the types and
+    enumerations of its values. path: where it lies in the arguments; without one it is the arguments themselves."""
+    none = F.array().cast("array<string>")
     args = F.coalesce(_get(arguments, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     properties = F.coalesce(_get(schema, "$.properties", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    required = F.coalesce(_get(schema, "$.required", "array<string>"), F.array().cast("array<string>"))
+    required = F.coalesce(_get(schema, "$.required", "array<string>"), none)
     names, known = F.map_keys(args), F.map_keys(properties)
     closed = ~F.coalesce(_get(schema, "$.additionalProperties", "boolean"), F.lit(True))
-    missing = F.transform(F.array_except(required, names), lambda x: F.concat(F.lit("missing:"), x))
-    unknown = F.when(closed, F.transform(F.array_except(names, known), lambda x: F.concat(F.lit("unknown:"), x))).otherwise(F.array().cast("array<string>"))
+    place = lambda k: F.concat(path, F.lit("."), k) if path is not None else k
+    missing = F.transform(F.array_except(required, names), lambda x: F.concat(F.lit("missing:"), place(x)))
+    unknown = F.when(closed, F.transform(F.array_except(names, known), lambda x: F.concat(F.lit("unknown:"), place(x)))).otherwise(none)
     shared = F.array_intersect(names, known)
-    wrong = F.transform(F.filter(shared, lambda k: ~_type_ok(args[k], _get(properties[k], "$.type", "string"))), lambda x: F.concat(F.lit("type:"), x))
+    wrong = F.transform(F.filter(shared, lambda k: ~_type_ok(args[k], _get(properties[k], "$.type", "string"))), lambda x: F.concat(F.lit("type:"), place(x)))
     options = lambda k: F.transform(_get(properties[k], "$.enum", "array<variant>"), lambda x: F.to_json(x))
-    odd = F.transform(F.filter(shared, lambda k: ~F.coalesce(F.array_contains(options(k), F.to_json(args[k])), F.lit(True))), lambda x: F.concat(F.lit("enum:"), x))
-    shape = F.when(F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("type:arguments")))
-    return F.array_sort(F.concat(shape, missing, unknown, wrong, odd))
+    odd = F.transform(F.filter(shared, lambda k: ~F.coalesce(F.array_contains(options(k), F.to_json(args[k])), F.lit(True))), lambda x: F.concat(F.lit("enum:"), place(x)))
+    is_object = F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False))
+    if path is None:
+        return F.array_sort(F.concat(F.when(is_object, none).otherwise(F.array(F.lit("type:arguments"))), missing, unknown, wrong, odd))
+    item, kinds = _get(schema, "$.items.type", "string"), F.transform(_get(schema, "$.items.enum", "array<variant>"), lambda x: F.to_json(x))
+    told = lambda v, i: F.array(
+        F.when(~_type_ok(v, item), F.concat(F.lit("type:"), path, F.lit("["), i.cast("string"), F.lit("]"))),
+        F.when(~F.coalesce(F.array_contains(kinds, F.to_json(v)), F.lit(True)), F.concat(F.lit("enum:"), path, F.lit("["), i.cast("string"), F.lit("]"))),
+    )
+    items = F.filter(F.flatten(F.transform(F.coalesce(_get(arguments, "$", "array<variant>"), F.array().cast("array<variant>")), told)), lambda x: x.isNotNull())
+    return F.array_sort(F.when(is_object, F.concat(missing, unknown, wrong, odd)).otherwise(items))
+
+
+def nested_issues(calls: DataFrame) -> DataFrame:
+    """uid, nested: issues of the objects and arrays inside the arguments of calls (uid, arguments, schema as JSON), to
+    any depth. Each round is one level of nesting."""
+
+    def inside(df: DataFrame, path: Column | None) -> DataFrame:
+        v, s = F.parse_json("arguments"), F.parse_json("schema")
+        join = lambda k: F.concat(path, F.lit("."), k) if path is not None else k
+        args, properties = _get(v, "$", "map<string,variant>"), _get(s, "$.properties", "map<string,variant>")
+        named = F.transform(F.array_intersect(F.map_keys(args), F.map_keys(properties)), lambda k: F.struct(join(k).alias("path"), F.to_json(args[k]).alias("arguments"), F.to_json(properties[k]).alias("schema")))
+        found = df.select("uid", F.explode(named).alias("x"))
+        if path is not None:
+            item = F.to_json(_get(s, "$.items", "variant"))
+            listed = F.transform(_get(v, "$", "array<variant>"), lambda y, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.to_json(y).alias("arguments"), item.alias("schema")))
+            found = found.unionAll(df.select("uid", F.explode(listed).alias("x")))
+        # only objects and arrays hold more
+        return materialise(found.select("uid", "x.*").filter(F.col("schema").isNotNull() & F.col("arguments").rlike(r"^[{\[]")), "chat-nested")
+
+    own = calls.filter(F.col("schema").isNotNull() & F.col("arguments").isNotNull())
+    level, told = inside(own, None), None
+    while True:
+        issues = level.select("uid", F.explode(argument_issues(F.parse_json("arguments"), F.parse_json("schema"), F.col("path"))).alias("issue"))
+        told = issues if told is None else told.unionAll(issues)
+        if level.isEmpty():
+            return told.groupBy("uid").agg(F.array_sort(F.collect_set("issue")).alias("nested"))
+        level = inside(level, F.col("path"))
 
 
 def _linked(own: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,6 +133,10 @@ def _linked(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     tools = own.filter(F.size("tools") > 0).select("c", "turn", "key", F.explode("tools").alias("tool")).select("c", "turn", "key", _get(F.col("tool"), "$.name", "string").alias("name"), F.to_json(_get(F.col("tool"), "$.parameters", "variant")).alias("schema"))
     tools = tools.groupBy("c", "name").agg(F.min_by("schema", F.struct("turn", "key")).alias("schema"))
     each = each.join(tools, ["c", "name"], "left").withColumn("problems", F.when(F.col("schema").isNotNull(), argument_issues(F.col("arguments"), F.parse_json("schema"))).otherwise(F.array(F.lit("no_schema"))))
+    each = each.withColumn("arguments", F.to_json("arguments"))
+    each = materialise(each.withColumn("uid", F.xxhash64("c", "key", "schema", "arguments")), "chat-arguments")
+    nested = nested_issues(each.select("uid", "arguments", "schema").distinct())
+    each = each.join(nested, "uid", "left").withColumn("problems", F.array_sort(F.concat("problems", F.coalesce("nested", F.array().cast("array<string>")))))
     results = own.filter(F.col("answers").isNotNull()).select("c", "key", "turn", F.col("answers").alias("id"))
     return each, results
 
@@ -128,7 +170,7 @@ def linked(messages: DataFrame) -> DataFrame:
     variants = {n: F.from_json(n, "array<variant>") for n in ("calls", "tools")}
     structured = own.filter(F.col("calls").isNotNull() | F.col("tools").isNotNull() | F.col("answers").isNotNull()).withColumns(variants)
     each, results = _linked(structured)
-    calls = each.select("c", "key", "turn", "id", "name", "after", "problems", F.to_json("arguments").alias("arguments"))
+    calls = each.select("c", "key", "turn", "id", "name", "after", "problems", "arguments")
     calls, results = materialise(calls, "chat-calls"), materialise(results, "chat-results")
     first = calls.filter(F.col("id").isNotNull()).groupBy("c", "id").agg(F.min_by(F.struct("key", "turn"), F.struct("turn", "key")).alias("call"), F.count_distinct("key").alias("times"))
     answered = results.groupBy("c", "id").agg(F.min_by(F.struct("key", "turn"), F.struct("turn", "key")).alias("result"))

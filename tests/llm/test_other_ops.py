@@ -263,3 +263,21 @@ def test_frames_around_an_article_do_not_hide_it(around):
     page = f"<{around}><div class='site-header'>Menu</div><article><p>Body.</p><div class='social-history'>Rise.</div><div class='share-price'>Fall.</div><div class='share-buttons'>Tweet</div><p hidden>no</p></article></{around.split()[0]}><div class='sidebar'>Side</div>"
     texts, flags = html.blocks(page)
     assert [t for t, f in zip(texts, flags, strict=True) if f] == ["Body.", "Rise.", "Fall."]
+
+
+def test_chat_of_nested_arguments(spark):
+    place = {"type": "object", "properties": {"city": {"type": "string"}, "unit": {"enum": ["C", "F"]}}, "required": ["city"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"at": place, "many": {"type": "array", "items": place}, "days": {"type": "array", "items": {"type": "integer", "enum": [1, 2]}}, "deep": {"properties": {"more": {"items": {"items": place}}}}}}
+    good = {"at": {"city": "X", "unit": "C"}, "many": [{"city": "Y"}], "days": [1, 2], "deep": {"more": [[{"city": "Z"}]]}}
+    bad = {"at": {"unit": "K", "q": 1}, "many": [{"city": "Y"}, {"city": 3}, 4], "days": [1, "2", 3], "deep": {"more": [[{"city": "Z"}, {}]]}}
+    rows = [
+        (1, 0, "system", "\n\t" + json.dumps({"tools": [{"name": "w", "parameters": schema}]})),
+        (1, 1, "assistant", "\r\n" + json.dumps({"tool_calls": [{"id": "a", "name": "w", "arguments": good}]})),
+        (1, 2, "assistant", json.dumps({"tool_calls": [{"id": "b", "name": "w", "arguments": bad}]})),
+        (1, 3, "tool", "\t" + json.dumps({"tool_call_id": "a"})),
+        (1, 4, "tool", json.dumps({"tool_call_id": "b"})),
+    ]
+    got = {r["turn"]: r for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t]["kind"] for t in range(5)] == ["tools", "call", "call", "result", "result"] and got[1]["issues"] == ""
+    want = ["enum:at.unit", "missing:at.city", "unknown:at.q", "type:many[1].city", "type:many[2]", "type:days[1]", "enum:days[1]", "enum:days[2]", "missing:deep.more[0][1].city"]
+    assert sorted(got[2]["issues"].split(",")) == sorted(f"b:{x}" for x in want)
