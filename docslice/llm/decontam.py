@@ -8,8 +8,10 @@ where its first WINDOW words (all of a shorter item) stand verbatim. Matches on
 join to the longest verbatim matches, with their places. Words are numbered exactly by a dictionary of the benchmark's
 words; hashes are only used to leave suffixes out early, never to accept a match.
 
-The benchmark is sent to the executors in blocks of at most BLOCK_BYTES of text, all of which each shard meets, so its
-size is bounded for memory and not limited.
+The benchmark is cut into blocks of about BLOCK_BYTES of text. One block (the usual case) is broadcast, and each document
+is judged in one pass. Of several, each is broadcast alone, meets all documents in a pass of its own that writes a
+narrow table of hits, and is destroyed before the next one is sent: memory of driver and workers is that of one block
+(about 60 times its text, and 13 MB), however large the benchmark is; the number of passes grows with it.
 
 Defined cases: a null or empty text has no words and is clean; an item without words has no windows; items of equal id
 count once; a null item id counts as the empty string; an empty benchmark leaves all clean; repeated rows are judged
@@ -18,21 +20,22 @@ each for itself; other columns stay as they are.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docslice.runtime import arrow_rows, table
+from docslice.runtime import arrow_rows, materialise, table
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 4 << 20
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BITS = 22
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -166,58 +169,99 @@ def judge(texts: list[bytes], blocks: list) -> tuple[np.ndarray, np.ndarray, lis
     return shard.n_words, hit[shard.starts + shard.n_words] - hit[shard.starts], [sorted(x) for x in found]
 
 
-def contaminated(n_words: np.ndarray, n_hit: np.ndarray) -> np.ndarray:
-    return (n_hit > 0) & (SHARE * n_hit >= n_words)
-
-
-def load_tests(bench: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> list:
-    """Broadcast test suffixes, a block of at most about BLOCK_BYTES of text each."""
+def split_tests(bench: DataFrame, block_bytes: int = BLOCK_BYTES, item_id: str = "item_id", text: str = "text") -> list[DataFrame]:
+    """The benchmark's items (item, body) in blocks of about block_bytes of text."""
     items = bench.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    out = []
-    for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k)
-        out.append(bench.sparkSession.sparkContext.broadcast(Tests([(r["item"], bytes(r["body"])) for r in block.collect()], window)))
-    return out
+    n = max(1, -(-size // block_bytes))
+    return [items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k) for k in range(n)]
 
 
-def score(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
-    blocks = load_tests(bench)
-    kind = docs.schema[doc_id].dataType.simpleString()
+def send(block: DataFrame, window: int = WINDOW) -> object:
+    """Broadcast test suffixes of one block."""
+    return block.sparkSession.sparkContext.broadcast(Tests([(r["item"], bytes(r["body"])) for r in block.collect()], window))
+
+
+def judged(docs: DataFrame, tests: object) -> DataFrame:
+    """key columns of docs (all but its last, the text), and n_words, n_hit, items of each row, by one broadcast block."""
+    keys = docs.columns[:-1]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, texts in _shards(b.column(len(keys))):
+                n_words, n_hit, items = judge(texts, [tests])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, len(texts)) for c in b.columns[: len(keys)]), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string()))], [*keys, "n_words", "n_hit", "items"])
+
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return arrow_rows(docs, rows, f"{kinds}, n_words long, n_hit long, items array<string>")
+
+
+def _hits(docs: DataFrame, tests: object) -> DataFrame:
+    """_id, _hash, n_words, from, to, item: spans of hit words, and items found, of each row with hits; a row each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, texts in _shards(b.column(1)):
-                n_words, n_hit, items = judge(texts, blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(a, len(texts)),
-                        pa.array(n_words),
-                        pa.array(n_hit),
-                        pa.array([len(x) for x in items], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                        pa.array(contaminated(n_words, n_hit)),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    return arrow_rows(docs.select(F.col(doc_id), F.col(text).cast("binary")), rows, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+            for a, texts in _shards(b.column(2)):
+                shard, own = Shard(texts), tests.value
+                at, which = own.find(shard.ids(own))
+                row = shard.row_of(at)
+                start = at - shard.starts[row]
+                found = {(r, p, int(own.size[w]), own.names[k]) for r, p, w in zip(row.tolist(), start.tolist(), which.tolist(), strict=True) for k in own.items[w]}
+                if found:
+                    r, p, n, item = zip(*sorted(found), strict=True)
+                    take = pa.array([a + x for x in r])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(shard.n_words[list(r)]), pa.array(p, pa.int64()), pa.array(np.add(p, n)), pa.array(item, pa.string())], ["_id", "_hash", "n_words", "from", "to", "item"])
+
+    kind = docs.schema["_id"].dataType.simpleString()
+    return arrow_rows(docs, rows, f"_id {kind}, _hash long, n_words long, `from` long, `to` long, item string")
+
+
+def _totals(docs: DataFrame, blocks: list[DataFrame], doc_id: str, text: str) -> DataFrame:
+    """_id, _hash, n_words, n_hit, items of the rows with hits of any block, a pass for each block."""
+    body = F.col(text).cast("binary")
+    own, found = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(body).alias("_hash"), body.alias("_text")), None
+    for block in blocks:
+        tests = send(block)
+        some = materialise(_hits(own, tests).distinct(), "decontam-hits")  # rows that repeat count once
+        tests.destroy()
+        found = some if found is None else found.unionAll(some)
+    # words hit: spans joined where they meet, in the order of their starts
+    order = Window.partitionBy("_id", "_hash").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
+    spans_ = found.select("_id", "_hash", "n_words", "from", "to").distinct()
+    before = F.coalesce(F.max("to").over(order), F.lit(0))
+    hit = spans_.withColumn("more", F.greatest(F.lit(0), F.col("to") - F.greatest("from", before))).groupBy("_id", "_hash").agg(F.max("n_words").alias("n_words"), F.sum("more").alias("n_hit"))
+    items = found.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = [F.col("a._id").eqNullSafe(F.col("b._id")), F.col("a._hash") == F.col("b._hash")]
+    return hit.alias("a").join(items.alias("b"), same).select("a._id", "a._hash", "n_words", "n_hit", "items")
+
+
+def score(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
+    blocks = split_tests(bench, block_bytes)
+    body = F.col(text).cast("binary")
+    if len(blocks) == 1:
+        found = judged(docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")), send(blocks[0]))
+    else:
+        totals = materialise(_totals(docs, blocks, doc_id, text), "decontam-totals")
+        words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")  # no run of word bytes is parted by lower-casing
+        own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("own_hash"), words.alias("n_words"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own_hash") == F.col("_hash"))
+        found = own.join(totals.drop("n_words"), same, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    joined = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), joined.alias("items_sha256"), ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def spans(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Longest verbatim matches: doc_id, item, doc_start, item_start, n_words (places in words). A match is as long as
     its windows follow one another on one diagonal; items whose text repeats a window give a match for each place."""
-    blocks = load_tests(bench)
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, texts in _shards(b.column(1)):
-                shard, out = Shard(texts), []
-                for block in blocks:
-                    tests = block.value
+    def found(tests_: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for a, texts in _shards(b.column(1)):
+                    shard, out = Shard(texts), []
+                    tests = tests_.value
                     at, which = tests.find(shard.ids(tests))
                     hits = [(int(r), k, p - q, p, q, int(tests.size[w])) for r, p, w in zip(shard.row_of(at), at.tolist(), which.tolist(), strict=True) for k, q in tests.starts[w]]
                     hits.sort()
@@ -229,22 +273,38 @@ def spans(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
                             if run:
                                 out.append((run[0], tests.names[run[1]], run[3] - int(shard.starts[run[0]]), run[4], run[5] + run[6] - run[3]))
                             run = (r, k, d, p, q, p, n)
-                if out:
-                    row, item, start, item_start, size = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([a + r for r in row])), pa.array(item, pa.string()), *(pa.array(x, pa.int64()) for x in (start, item_start, size))], ["doc_id", "item", "doc_start", "item_start", "n_words"])
+                    if out:
+                        row, item, start, item_start, size = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([a + r for r in row])), pa.array(item, pa.string()), *(pa.array(x, pa.int64()) for x in (start, item_start, size))], ["doc_id", "item", "doc_start", "item_start", "n_words"])
+
+        return rows
 
-    return arrow_rows(docs.select(F.col(doc_id), F.col(text).cast("binary")), rows, f"doc_id {kind}, item string, doc_start long, item_start long, n_words long")
+    own, out, blocks = docs.select(F.col(doc_id), F.col(text).cast("binary")), None, split_tests(bench)
+    for block in blocks:
+        tests = send(block)
+        some = arrow_rows(own, found(tests), f"doc_id {kind}, item string, doc_start long, item_start long, n_words long")
+        if len(blocks) > 1:
+            some = materialise(some, "decontam-spans")
+            tests.destroy()
+        out = some if out is None else out.unionAll(some)
+    return out
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
-    blocks, at = load_tests(bench), docs.columns.index(text)
+def decontaminate(docs: DataFrame, bench: DataFrame, min_share: float = 0.0, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that hold no window of the benchmark. min_share: rows stay as well whose hit words
+    are less than that share of their words."""
+    blocks, at = split_tests(bench, block_bytes), docs.columns.index(text)
+    if len(blocks) > 1:
+        totals = _totals(docs, blocks, doc_id, text)
+        bad = materialise(totals.filter(F.col("n_hit") >= min_share * F.col("n_words")).select("_id", "_hash"), "decontam-bad")
+        return docs.join(bad, docs[doc_id].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text].cast("binary")) == bad["_hash"]), "left_anti")
+    tests = send(blocks[0])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, texts in _shards(b.column(at).cast(pa.binary())):
-                n_words, n_hit, _ = judge(texts, blocks)
-                yield b.slice(a, len(texts)).filter(pa.array(~contaminated(n_words, n_hit)))
+                n_words, n_hit, _ = judge(texts, [tests])
+                yield b.slice(a, len(texts)).filter(pa.array((n_hit == 0) | (n_hit < min_share * n_words)))
 
     return arrow_rows(docs, rows, docs.schema)
 

@@ -1,20 +1,21 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text, each present or absent: words, pairs of words that follow one another, pairs with one word between
-(skip-grams), and the first STEMS bytes of words (abusive words come inflected and compounded, which whole words miss
-in some languages). Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. Features are hashed
+(skip-grams), the first STEMS bytes of words (abusive words come inflected and compounded, which whole words miss in
+some languages), and for each of these whether it comes at least TIMES often. Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. Features are hashed
 to 2**BITS coordinates.
 
 FTRL-proximal gives each coordinate its own rate and, by L1, an exact zero to those without clear evidence, so the
 model is a few thousand weights at most times the evidence in the sample, bounded by 2**BITS, and is broadcast. It is
-fitted in one task on the TRAIN_ROWS labelled rows with the smallest hash of their doc_id (a bound, so the fit is the
-same work at any size); every row is scored.
+fitted on the TRAIN_ROWS labelled rows with the smallest hash of their doc_id (a bound). All tasks look for these rows
+and write their features; one task then fits on that table, so the fit is the same work at any size. Every row is scored.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0. No other column than the text enters a
 score.
 
 Defined cases: a null or empty text has the score of the prior; a null doc_id counts as the empty text for the hash
-(held out); several labels of a doc_id count as toxic if one is; null labels are left out; without labels all scores
+(held out); several labels of a doc_id count as toxic if one is; of several texts of a labelled doc_id the one with the
+smallest hash is learnt from; null labels are left out; without labels all scores
 are the prior 1/20; repeated rows have equal scores; an empty table gives an empty result.
 """
 
@@ -30,13 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docslice.runtime import arrow_rows, table
+from docslice.runtime import arrow_rows, materialise, table
 
 BITS = 20
-STEMS = (4, 6)
+STEMS = (3, 5, 7)
+TIMES = (2, 4, 8)
 TRAIN_ROWS = 8192
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
+#: Each epoch takes the rows in an order of its own, drawn from this seed.
+SEED = 11
 FOLDS, HELD = 5, 0
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SHIFT = np.uint64(64 - BITS)
@@ -87,21 +91,32 @@ def features(text: bytes) -> np.ndarray:
     one = h[0]
     pair = (one[:-1] * _A + one[1:]) * _B
     skip = (one[:-2] * _C + one[2:]) * _A
-    return (np.concatenate([h.ravel(), pair, skip]) >> _SHIFT).astype(np.int32)
+    often = []
+    for stem in h[1:]:
+        stem = np.sort(stem)
+        for n in TIMES:
+            some = stem[: max(0, len(stem) - n + 1)]
+            often.append((some[some == stem[n - 1 :]] + np.uint64(n)) * _C)
+    return (np.concatenate([h.ravel(), pair, skip, *often]) >> _SHIFT).astype(np.int32)
 
 
 def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, x))))
 
 
+def orders(n: int, epochs: int) -> list[list[int]]:
+    draw = np.random.default_rng(SEED)
+    return [draw.permutation(n).tolist() for _ in range(epochs)]
+
+
 def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, coordinates and weights from (label, distinct coordinates) rows, in the order given."""
+    """Bias, coordinates and weights from (label, distinct coordinates) rows."""
     ones = sum(y for y, _ in rows)
     bias = math.log((ones + 1) / (len(rows) - ones + 19))
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     shift = bias_n = 0.0
-    for _ in range(epochs):
-        for y, at in rows:
+    for order in orders(len(rows), epochs):
+        for y, at in (rows[i] for i in order):
             za, na = z[at], n[at]
             root = np.sqrt(na)
             w = np.where(np.abs(za) <= L1, 0.0, (np.sign(za) * L1 - za) / ((BETA + root) / ALPHA + L2))
@@ -148,8 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[f
         bias, at, w = fit([sample[k] for k in sorted(sample)])
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([w], pa.list_(pa.float64()))], ["bias", "at", "w"])
 
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_k", "_y", "text")
-    model = arrow_rows(arrow_rows(joined, featurise, "k int, y int, at array<int>").coalesce(1), learn, "bias double, at array<int>, w array<double>").first()
+    text = F.col("text").cast("binary")
+    joined = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    joined = joined.groupBy("_k", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    made = materialise(arrow_rows(joined, featurise, "k int, y int, at array<int>"), "toxicity-features")
+    # at most `rows` rows are left for the one task that learns
+    model = arrow_rows(made.coalesce(1), learn, "bias double, at array<int>, w array<double>").first()
     weights = np.zeros(1 << BITS)
     if model is None:
         return math.log(1 / 19), weights

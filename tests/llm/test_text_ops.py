@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 
@@ -76,6 +77,43 @@ def test_token_files(spark, sf, docs, odd, none):
 # toxicity
 
 
+def slow_fit(rows, epochs):
+    """FTRL-proximal with dictionaries and one coordinate at a time."""
+    ones = sum(y for y, _ in rows)
+    bias, z, n = math.log((ones + 1) / (len(rows) - ones + 19)), {}, {}
+    shift = bias_n = 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for order in toxicity.orders(len(rows), epochs):
+        for y, at in (rows[i] for i in order):
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-(bias + shift + sum(w.values())))) - y
+            for i in at:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += g * g
+            shift -= 0.02 * g / (1 + math.sqrt(bias_n))
+    return bias + shift, {i: weight(i) for i in z if weight(i)}
+
+
+def test_fit_is_the_plain_loop():
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        y = int(k % 4 == 0)
+        at = np.unique(np.concatenate([r.integers(0, 400, 12), [500 + y, 600 + r.integers(2)]])).astype(np.int32)
+        rows.append((y, at))
+    bias, at, w = toxicity.fit(rows)
+    want_bias, want = slow_fit([(y, x.tolist()) for y, x in rows], toxicity.EPOCHS)
+    assert len(want) > 1 and at.tolist() == sorted(want) and bias == pytest.approx(want_bias)
+    assert w.tolist() == pytest.approx([want[i] for i in at.tolist()])
+
+
 def test_toxicity(spark, sf, docs, odd, none):
     rows = {r["doc_id"]: r for r in toxicity.op6_toxicity(spark, sf).collect()}
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows.values())
@@ -86,6 +124,8 @@ def test_toxicity(spark, sf, docs, odd, none):
     held = scored.filter("held_out").join(labels, "doc_id").select("predicted", "toxic", "score").collect()
     pos, neg = [r["score"] for r in held if r["toxic"]], [r["score"] for r in held if not r["toxic"]]
     assert np.mean([r["predicted"] == r["toxic"] for r in held]) > 0.95
+    assert np.mean([r["predicted"] for r in held if r["toxic"]]) >= 0.9
+    assert np.mean([r["predicted"] for r in held if not r["toxic"]]) <= 0.01
     assert np.mean([np.mean([p > n for n in neg]) for p in pos]) > 0.95
     empty = toxicity.train(none, labels)
     model = toxicity.train(odd, spark.createDataFrame([(4, 1), (4, 0), (6, None), (None, 1)], "doc_id long, toxic int"))
@@ -136,7 +176,8 @@ def test_decontamination(spark, sf, docs, odd, none):
     want = {r["doc_id"]: slow_hits(r["text"], items) for r in docs.filter("doc_id < 60").collect()}
     assert all(got[i] == w for i, w in want.items()) and len(got) == docs.count()
     kept = {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()}
-    assert kept == {i for i, r in got.items() if not r[4]}
+    assert kept == {i for i, r in got.items() if not r[1]}
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, bench, 1 / decontam.SHARE).collect()} == {i for i, r in got.items() if not r[4]}
     odd_bench = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "the SAME text", 1), (3, "the SAME text", 1), (None, "one", 1), (4, "word " * 30, 1)], "item_id long, text string, doc_id int")
     rows = decontam.score(odd, odd_bench).collect()
     by = {r["doc_id"]: r for r in rows}
@@ -146,11 +187,15 @@ def test_decontamination(spark, sf, docs, odd, none):
     assert (spans[4, "3"]["doc_start"], spans[4, "3"]["n_words"]) == (0, 3)
 
 
-def test_blocks_of_the_benchmark_agree(spark, docs, sf, monkeypatch):
+def test_blocks_of_the_benchmark_agree(spark, docs, odd, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, decontam.score(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
-    assert sorted(map(tuple, decontam.score(docs, bench).collect())) == one
+    assert len(decontam.split_tests(bench, 4000)) > 1
+    assert sorted(map(tuple, decontam.score(docs, bench, block_bytes=4000).collect())) == one
+    left = decontam.decontaminate(docs, bench, block_bytes=4000)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(map(tuple, decontam.decontaminate(docs, bench).collect()))
+    odd_one, odd_many = (sorted(map(str, decontam.score(odd, bench.unionByName(bench.selectExpr("item_id", "'one' AS text")), block_bytes=n).collect())) for n in (1 << 20, 4000))
+    assert odd_one == odd_many
 
 
 # SimHash
