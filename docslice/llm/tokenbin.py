@@ -8,16 +8,20 @@ Each id takes the fewest bits that hold the vocabulary. A file is a row of block
 A byte 0x0A follows each block and the footer (the row separator of Spark's text writer, which writes the files, so
 that they are committed by task attempt and can go to any store that Spark knows). The trailer has the counts from
 which the footer's parts are found, as in columnar formats, so a reader needs the end of a file and then only the
-blocks that it wants. Files of a folder follow one another by name, in ascending doc_id order.
+blocks that it wants. Files of a folder follow one another by the numbers in their names, in ascending doc_id order. A
+file has FILE_BLOCKS blocks at most (the writer begins another one at a document's start; empty rows fill up the last
+blocks, so that Spark's own limit of rows a file cuts where the footer ends), so no key, however hot, makes a file that
+is too large to read.
 
 Defined cases: a null text counts as empty and holds the end id alone; null doc_ids come first; rows with the same
-doc_id follow each other by the hash of their texts; an empty table gives no rows. Other columns are ignored.
+doc_id follow each other by the hash of their texts, and can be dealt to several tasks by it; an empty table gives no rows; a document of over BLOCK_IDS * FILE_BLOCKS
+ids (268 million) is an error. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,12 +30,18 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docslice.runtime import arrow_rows, scratch, table
+from docslice.runtime import arrow_rows, materialise, scratch, table
 
 BLOCK_IDS = 1 << 16
+FILE_BLOCKS = 4096
+#: Bytes of text that a task writes, about.
+TASK_BYTES = 32 << 20
+UNKNOWN_SIZE = 1 << 60
 END_ID = 0
 MAGIC = b"DSTB"
 #: magic, bits per id, ids per block, blocks, documents, ids, bytes of the footer before the trailer
@@ -68,8 +78,11 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
 class FileWriter:
     """Rows (blocks, then the footer) of one file."""
 
-    def __init__(self, bits: int, block_ids: int = BLOCK_IDS):
-        self.bits, self.block_ids = bits, block_ids
+    def __init__(self, bits: int, block_ids: int = BLOCK_IDS, file_blocks: int = FILE_BLOCKS):
+        self.bits, self.block_ids, self.file_blocks = bits, block_ids, file_blocks
+        self._begin()
+
+    def _begin(self) -> None:
         self.held: list[np.ndarray] = []
         self.n_held = self.at = self.ids = 0
         self.docs: list[int] = []
@@ -77,6 +90,11 @@ class FileWriter:
         self.offsets: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[bytes]:
+        if len(ids) > self.block_ids * self.file_blocks:
+            raise ValueError(f"a document of over {self.block_ids * self.file_blocks} ids does not fit in a file")
+        if self.docs and len(self.offsets) - (-(self.n_held + len(ids)) // self.block_ids) > self.file_blocks:
+            yield from self.finish(True)
+            self._begin()
         self.docs.append(NULL_DOC if doc_id is None else doc_id)
         self.lengths.append(len(ids))
         self.held.append(ids)
@@ -95,8 +113,11 @@ class FileWriter:
             yield row
         self.held, self.n_held = [flat[whole:]], len(flat) - whole
 
-    def finish(self) -> Iterator[bytes]:
+    def finish(self, more: bool = False) -> Iterator[bytes]:
+        """The last block and the footer; more: another file follows, so empty rows bring this one to its full number."""
         yield from self._flush(True)
+        if more:
+            yield from [b""] * (self.file_blocks - len(self.offsets))
         body = np.array(self.docs, "<i8").tobytes() + np.array(self.lengths, "<u4").tobytes() + np.array(self.offsets, "<u8").tobytes()
         yield body + TRAILER.pack(MAGIC, self.bits, self.block_ids, len(self.offsets), len(self.docs), self.ids, len(body))
 
@@ -143,9 +164,11 @@ class CachedEncoder:
     Units met once are most of a vocabulary and little of a text, so a full cache drops those that did not come again.
     """
 
-    WHOLE = re.compile(r" \s(?<=\s \s)| \Z(?<=\s )|<\||\x01")
+    #: White space as the tokenizers know it, for Arrow's regular expressions.
+    SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    WHOLE = rf"{SPACE} (?:{SPACE}|\z)|<\||\x01"
     #: A line end beside other white space is part of a run that the library cuts its own way.
-    LINES = re.compile(r"\n\s|\n(?<=\s\n)")
+    LINES = rf"\n{SPACE}|{SPACE}\n"
     UNITS, CHARS = 400_000, 16_000_000
 
     def __init__(self, path: str):
@@ -153,6 +176,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.cuts = cuts_at_spaces(path)
         size = self.lib.get_vocab_size()
         self.spaced = np.array([(self.lib.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.lined = np.array([self.lib.id_to_token(i) == "\u010a" for i in range(size)])
@@ -217,35 +241,64 @@ class CachedEncoder:
         self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.chars += sum(map(len, new))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > self.UNITS or self.chars > self.CHARS:
-            self._trim()
+    def _numbers(self, units: pa.Array) -> np.ndarray:
+        """Numbers of units; Python sees each distinct one once."""
+        coded = units.dictionary_encode()
+        own = coded.dictionary.to_pylist()
         get = self.numbers.get
-        heads, units, ends = [], [], []
-        for t in texts:
-            if self.WHOLE.search(t):
-                heads.append(t)
-                ends.append(len(units))
-                continue
-            # a line end between words starts a unit as well
-            head, *rest = (t if self.LINES.search(t) else t.replace("\n", f" {MARK}\n")).split(" ")
-            heads.append(head)
-            units += rest
-            ends.append(len(units))
-        idx = list(map(get, units))
+        idx = list(map(get, own))
         if None in idx:
             gaps = [j for j, i in enumerate(idx) if i is None]
-            missed = [units[j] for j in gaps]
-            self._learn(list(dict.fromkeys(missed)))
-            for j, i in zip(gaps, map(get, missed), strict=True):
-                idx[j] = i
-        idx = np.array(idx, np.int64)
-        self.hits += np.bincount(idx, minlength=len(self.hits))
+            self._learn([own[j] for j in gaps])
+            for j in gaps:
+                idx[j] = get(own[j])
+        numbers = np.array(idx, np.int64)[coded.indices.to_numpy()]
+        self.hits += np.bincount(numbers, minlength=len(self.hits))
+        return numbers
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        if not self.cuts:
+            return [np.array(x, np.uint32) for x in self._ids(texts.to_pylist())]
+        if len(self.numbers) > self.UNITS or self.chars > self.CHARS:
+            self._trim()
+        whole = pc.match_substring_regex(texts, self.WHOLE)
+        lines = pc.or_(whole, pc.match_substring_regex(texts, self.LINES))
+        # a line end between words starts a unit as well
+        marked = pc.if_else(lines, texts, pc.replace_substring(texts, "\n", f" {MARK}\n"))
+        parts = pc.split_pattern(pc.if_else(whole, "", marked), " ")
+        offsets, flat = parts.offsets.to_numpy(), parts.flatten()
+        offsets = offsets - offsets[0]
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True
+        heads = pc.if_else(whole, texts, flat.take(pa.array(offsets[:-1]))).to_pylist()
+        idx = self._numbers(flat.filter(pa.array(~first)))
         sizes = self.sizes[idx]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.offsets[idx] - upto[:-1], sizes) + np.arange(upto[-1])]
-        cuts = upto[np.array([0, *ends])]
-        return [np.concatenate([np.array(h, np.uint32), ids[a:z]]) for h, a, z in zip(self._ids(heads), cuts[:-1], cuts[1:], strict=True)]
+        cuts = upto[offsets - np.arange(len(offsets))]  # each text before has one head, which is no unit
+        return [np.concatenate([np.array(h, np.uint32), ids[a:z]]) for h, a, z in zip(self._ids(heads), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file is a byte-level BPE whose pre-tokenizer alone decides where words are cut, and which
+    changes no text before it: what CachedEncoder relies on. Others get whole texts by the library."""
+    with open(path, encoding="utf-8") as f:  # a file that all executors have
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    return (
+        spec.get("model", {}).get("type") == "BPE"
+        and spec.get("normalizer") is None
+        and pre.get("type") == "ByteLevel"
+        and pre.get("use_regex", True)
+        and not pre.get("add_prefix_space", False)
+        and all("<|" in t["content"] for t in spec.get("added_tokens", []))
+    )
 
 
 @lru_cache(maxsize=2)
@@ -254,18 +307,29 @@ def encoder_of(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
-def _parts(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[tuple[list, list]]:
-    """doc_ids and texts in runs of about so many characters."""
-    docs, texts, n = [], [], 0
-    for doc, t in zip(batch.column(0), batch.column(1), strict=True):
-        docs.append(doc.as_py())
-        texts.append(t.as_py() or "")
-        n += len(texts[-1])
-        if n >= chars:
-            yield docs, texts
-            docs, texts, n = [], [], 0
-    if docs:
-        yield docs, texts
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[tuple[list, pa.Array]]:
+    """doc_ids and texts in runs of about so many bytes of text, over the bounds of batches."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def made() -> tuple[list, pa.Array]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t.column(0).to_pylist(), pa.concat_arrays(t.column(1).chunks)
+
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < b.num_rows:
+            base = int(upto[a - 1]) if a else 0
+            z = min(b.num_rows, int(np.searchsorted(upto, base + size - n)) + 1)
+            held.append(b.slice(a, z - a))
+            n += int(upto[z - 1]) - base
+            a = z
+            if n >= size:
+                yield made()
+                held, n = [], 0
+    if held:
+        yield made()
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> int:
@@ -282,11 +346,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         def batch(data: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["value"])
 
-        for b in batches:
-            encoder = encoder_of(tokenizer)
-            for some, part in _parts(b):
-                made = [r for doc, x in zip(some, encoder.encode(part), strict=True) for r in out.add(doc, np.concatenate([x, end]))]
-                if made:
+        encoder = encoder_of(tokenizer)
+        for some, part in _parts(batches):
+            for doc, x in zip(some, encoder.encode(part), strict=True):
+                if made := list(out.add(doc, np.concatenate([x, end]))):
                     yield batch(made)
         if out.docs:
             for r in out.finish():
@@ -294,10 +357,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (32 << 20), 200_000))
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_DOC))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, key).sortWithinPartitions(key, F.xxhash64("text"))
-    arrow_rows(ordered, rows, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    if size >= UNKNOWN_SIZE:  # what Spark says of inputs that it has no statistics of
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    key = [F.coalesce(F.col("doc_id"), F.lit(NULL_DOC)), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, *key).sortWithinPartitions(*key)
+    packed = arrow_rows(ordered, rows, "value binary").select(F.col("value").cast("string").alias("value"))
+    packed.write.option("maxRecordsPerFile", FILE_BLOCKS + 1).text(path)
     return bits
 
 
@@ -338,15 +404,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 yield from _document_rows(name, data.as_py())
 
-    # a row for each file; files are of tens of MB, so this is small at any size
-    tails = files.select("path", F.substring("content", -1 - TRAILER.size, TRAILER.size)).collect()
-    counts = sorted(((name, TRAILER.unpack(tail)[5] if len(tail) == TRAILER.size else 0) for name, tail in tails), key=lambda x: x[0].rpartition("/")[2])
-    at, starts = 0, []
-    for name, n in counts:
-        starts.append((name, at))
-        at += n
     rows = arrow_rows(files.select("path", "content"), documents, "file string, doc_id long, at long, n_tokens long, ids_crc32 long, bits int")
-    return rows.join(F.broadcast(spark.createDataFrame(starts, "file string, before long")), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "bits")
+    # a file's place: its task's number, then its own among those of the task
+    number = lambda p: F.regexp_extract("file", p, 1).cast("long")
+    rows = materialise(rows.withColumns({"part": number(r"part-(\d+)"), "nth": F.coalesce(number(r"-c(\d+)"), F.lit(0))}).drop("file"), "token-rows")
+    # ids before a file: those of earlier stretches of files, and of earlier ones in its own
+    counts = rows.groupBy("part", "nth").agg(F.sum("n_tokens").alias("ids")).withColumn("stretch", F.floor(F.col("part") / 1024))
+    earlier = lambda *by: F.coalesce(F.sum("ids").over((Window.partitionBy(*by[:-1]) if by[:-1] else Window).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = counts.groupBy("stretch").agg(F.sum("ids").alias("ids")).select("stretch", earlier(["stretch"]).alias("past"))
+    starts = counts.withColumn("own", earlier("stretch", ["part", "nth"])).join(stretches, "stretch").select("part", "nth", (F.col("past") + F.col("own")).alias("before"))
+    return rows.join(starts, ["part", "nth"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "bits")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -58,6 +59,35 @@ def test_trimmed_cache_still_right():
         assert [x.tolist() for x in e.encode(t)] == [x.ids for x in e.lib.encode_batch(t, add_special_tokens=False)]
 
 
+def test_files_begin_anew_at_their_limit():
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 2**9, n).astype(np.uint32) for n in (10, 256, 0, 64, 200, 1, 250, 63, 64, 65, 3)]
+    w = tokenbin.FileWriter(9, block_ids=64, file_blocks=4)
+    rows = [x for k, d in enumerate(docs) for x in w.add(k, d)]
+    rows += list(w.finish())
+    files, held = [], []
+    for x in rows:  # all but the last file have five rows
+        held.append(x)
+        if x[-tokenbin.TRAILER.size :][:4] == tokenbin.MAGIC:
+            files.append(tokenbin.FileReader(b"".join(y + b"\n" for y in held)))
+            assert len(held) == 5 or x is rows[-1]
+            held = []
+    assert not held and len(files) > 3
+    with pytest.raises(ValueError):
+        list(w.add(9, np.zeros(257, np.uint32)))
+    assert [f.document(i).tolist() for f in files for i in range(len(f.docs))] == [d.tolist() for d in docs]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    spec = json.load(open(tokenbin.tokenizer_path()))
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        path = str(tmp_path / "other.json")
+        json.dump(spec | change, open(path, "w"))
+        e = tokenbin.CachedEncoder(path)
+        texts = ["Some words\nAnd MORE words ", None, ""]
+        assert not e.cuts and [x.tolist() for x in e.encode(texts)] == [e.lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files(spark, sf, docs, odd, none):
     lib = tokenbin.encoder_of(tokenbin.tokenizer_path()).lib
     for frame, got in ((docs, tokenbin.op3_token_binary(spark, sf)), (odd, tokenbin.encode_and_read(odd))):
