@@ -26,7 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +169,7 @@ class CachedEncoder:
     WHOLE = rf"{SPACE} (?:{SPACE}|\z)|<\||\x01"
     #: A line end beside other white space is part of a run that the library cuts its own way.
     LINES = rf"\n{SPACE}|{SPACE}\n"
-    UNITS, CHARS = 400_000, 16_000_000
+    UNITS, BYTES = 400_000, 32_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -180,10 +180,9 @@ class CachedEncoder:
         size = self.lib.get_vocab_size()
         self.spaced = np.array([(self.lib.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.lined = np.array([self.lib.id_to_token(i) == "\u010a" for i in range(size)])
-        self.numbers: dict[str, int] = {}  # units without their leading space, which all but the first of a text have
-        self.chars = 0
-        self.flat, self.offsets, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.hits = np.zeros(0, np.int64)
+        self.keys = pa.array([], pa.string())  # units without their leading space, which all but the first of a text have
+        self.flat, self.offsets, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hits = np.zeros(0, np.int32)
 
     def _trim(self) -> None:
         """Keep the units met most, at most half of the room."""
@@ -191,69 +190,67 @@ class CachedEncoder:
         while (self.hits >= least).sum() > self.UNITS // 2:
             least += 1
         keep = self.hits >= least
-        if self.chars > self.CHARS:
-            keep &= np.fromiter(map(len, self.numbers), np.int64, len(keep)) < 64
-        keys, at = list(compress(self.numbers, keep.tolist())), np.flatnonzero(keep)  # numbers follow the dict's order
+        if self.keys.nbytes > self.BYTES:
+            keep &= pc.binary_length(self.keys).to_numpy() < 64
+        at = np.flatnonzero(keep)
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         n = int(ends[-1]) if len(ends) else 0
         self.flat = self.flat[np.repeat(self.offsets[at] - (ends - sizes), sizes) + np.arange(n)]
         self.offsets, self.sizes, self.hits = ends - sizes, sizes, self.hits[at] // 2
-        self.numbers = dict(zip(keys, range(len(keys)), strict=True))
-        self.chars = sum(map(len, keys))
+        self.keys = self.keys.take(pa.array(at))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _side_by_side(self, texts: list[str], start: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    def _side_by_side(self, texts: pa.Array, start: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and sizes of units encoded in long texts: each begins where an id of `start` does. None if one of them
         holds such an id further on."""
-        lines = ["".join(texts[i : i + 500]) for i in range(0, len(texts), 500)]
-        ids = np.array(list(chain.from_iterable(self._ids(lines))), np.uint32)
+        ends = np.unique(np.append(np.arange(0, len(texts), 500), len(texts)))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), "").to_pylist()
+        ids = np.fromiter(chain.from_iterable(self._ids(lines)), np.uint32)
         at = np.flatnonzero(start[ids])
-        return (ids, np.diff(np.concatenate([at, [len(ids)]]))) if len(at) == len(texts) else None
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new units. Those without white space at an end are encoded side by side."""
-        kinds: list[list[str]] = [[], [], []]
-        for u in new:
-            mark = u[:1] == MARK
-            core = u[2:] if mark else u
-            kinds[2 if not core or core.strip() != core else mark].append(u)
-        plain, lines, odd = kinds
-        parts = []
-        for units, start in ((plain, self.spaced), (lines, self.lined)):
-            texts = [u[1:] if u[:1] == MARK else f" {u}" for u in units]
-            got = self._side_by_side(texts, start) if units else None
-            if units and got is None:
-                odd += units
-            elif got:
+        return (ids, np.diff(np.append(at, len(ids)))) if len(at) == len(texts) else None
+
+    def _learn(self, new: pa.Array) -> pa.Array:
+        """Add new units, in the order returned. Those without white space at an end are encoded side by side."""
+        mark = pc.starts_with(new, MARK)
+        core = pc.if_else(mark, pc.utf8_slice_codeunits(new, 2), new)
+        odd = pc.match_substring_regex(core, rf"^(?:{self.SPACE}|\z)|{self.SPACE}\z")
+        text = pc.if_else(mark, pc.utf8_slice_codeunits(new, 1), pc.binary_join_element_wise("", new, " "))
+        parts, left = [], odd
+        for kind, start in ((pc.invert(mark), self.spaced), (mark, self.lined)):
+            chosen = pc.and_(kind, pc.invert(odd))
+            units = new.filter(chosen)
+            if not len(units):
+                continue
+            if got := self._side_by_side(text.filter(chosen), start):
                 parts.append((units, *got))
-        if odd:
-            one = self._ids([u[1:] if u[:1] == MARK else f" {u}" for u in odd])
-            parts.append((odd, np.array(list(chain.from_iterable(one)), np.uint32), np.fromiter(map(len, one), np.int64, len(one))))
-        n = len(self.numbers)
-        self.numbers.update(zip(chain.from_iterable(p[0] for p in parts), range(n, n + len(new)), strict=True))
+            else:
+                left = pc.or_(left, chosen)
+        if len(units := new.filter(left)):
+            one = self._ids(text.filter(left).to_pylist())
+            parts.append((units, np.fromiter(chain.from_iterable(one), np.uint32), np.fromiter(map(len, one), np.int64, len(one))))
+        units = pa.concat_arrays([p[0] for p in parts])
         sizes = np.concatenate([p[2] for p in parts])
+        self.keys = pa.concat_arrays([self.keys, units])
         self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
         self.flat = np.concatenate([self.flat, *(p[1] for p in parts)])
-        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
-        self.chars += sum(map(len, new))
+        self.hits = np.concatenate([self.hits, np.zeros(len(units), np.int32)])
+        return units
 
     def _numbers(self, units: pa.Array) -> np.ndarray:
-        """Numbers of units; Python sees each distinct one once."""
+        """Numbers of units; each distinct one is looked up once, and none becomes an object of Python."""
         coded = units.dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        get = self.numbers.get
-        idx = list(map(get, own))
-        if None in idx:
-            gaps = [j for j, i in enumerate(idx) if i is None]
-            self._learn([own[j] for j in gaps])
-            for j in gaps:
-                idx[j] = get(own[j])
-        numbers = np.array(idx, np.int64)[coded.indices.to_numpy()]
-        self.hits += np.bincount(numbers, minlength=len(self.hits))
+        own = coded.dictionary
+        found = pc.index_in(own, value_set=self.keys)
+        idx = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            n, missed = len(self.keys), own.filter(pc.is_null(found))
+            idx[idx < 0] = n + pc.index_in(missed, value_set=self._learn(missed)).to_numpy()
+        numbers = idx[coded.indices.to_numpy()]
+        self.hits += np.bincount(numbers, minlength=len(self.hits)).astype(np.int32)
         return numbers
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
@@ -265,7 +262,7 @@ class CachedEncoder:
         texts = pc.fill_null(texts, "")
         if not self.cuts:
             return [np.array(x, np.uint32) for x in self._ids(texts.to_pylist())]
-        if len(self.numbers) > self.UNITS or self.chars > self.CHARS:
+        if len(self.keys) > self.UNITS or self.keys.nbytes > self.BYTES:
             self._trim()
         whole = pc.match_substring_regex(texts, self.WHOLE)
         lines = pc.or_(whole, pc.match_substring_regex(texts, self.LINES))
