@@ -8,13 +8,17 @@ probes are equal. Candidates are verified by their cosine in double precision.
 K grows with the logarithm of the number of vectors, so that buckets stay small; tables and probes grow with K so
 that a pair at the threshold is missed less than once in 10,000 times (figures in the README).
 
-Equal vectors are one class and never meet each other. Keys held by one class are dropped before any vector moves.
-Rows of a key over BLOCK are cut into blocks and each pair of blocks is a task's run. A run gives sums of links and a
-forest, never its pairs; a pair found under several keys counts under the smallest one that both vectors have.
+Equal vectors (by 128 bits of hash) are one class, with a number of its own, and never meet each other. Keys held by
+one class are dropped before anything else moves. Rows of a key over BLOCK are cut into blocks and each pair of blocks
+is a task's run. Runs are first sifted on SKETCH sign bits of the same rotations: rows that differ from every other one
+of the run in more than FAR bits leave it, which are most of those that met by chance. Pairs at the threshold differ in
+a tenth of the bits (26, deviation below 5), so that one is lost so about once in 10**13. Vectors then move to what is
+left of the runs. (Vectors of 16 components or fewer are not sifted: their bits depend on each other.) A run gives sums of links and a forest, never its pairs; a pair found under several keys counts under
+the smallest one that both vectors have.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths don't link; a null vec_id links with nothing, its component is null and it is not kept; a vec_id
-names one vector, so rows that repeat one are copies; an empty table gives an empty result; labels are ignored.
+different lengths don't link; a null vec_id links with nothing, its component is null and it is not kept; rows that
+repeat a vec_id are vectors of their own, each with its own links and component; an empty table gives an empty result; labels are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ COSINE = 0.95
 AXES = 3
 BLOCK = 2048
 SEED = 7
+SKETCH, FAR = 256, 64
 
 
 def shape(n: int) -> tuple[int, int, int]:
@@ -45,19 +50,21 @@ def shape(n: int) -> tuple[int, int, int]:
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, not scaled."""
-    n, d = x.shape
+    """Fast Walsh-Hadamard transform of the columns, not scaled."""
+    d, n = x.shape
     h = 1
     while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, d)
+        y = x.reshape(d // (2 * h), 2, h, n)
+        x = np.empty_like(y)
+        np.add(y[:, 0], y[:, 1], out=x[:, 0])
+        np.subtract(y[:, 0], y[:, 1], out=x[:, 1])
         h *= 2
-    return x
+    return x.reshape(d, n)
 
 
 @lru_cache(maxsize=8)
 def signs(d: int, k: int, tables: int) -> np.ndarray:
-    return np.random.default_rng((SEED, d, k)).choice([-1.0, 1.0], size=(tables, k, 3, d))
+    return np.random.default_rng((SEED, d, k)).choice([-1.0, 1.0], size=(tables, k, 3, d)).astype(np.float32)
 
 
 @lru_cache(maxsize=8)
@@ -65,34 +72,42 @@ def choices(k: int) -> np.ndarray:
     return np.array(list(itertools.product(range(AXES), repeat=k)))
 
 
-def keys_of(vectors: np.ndarray, k: int, tables: int, probes: int) -> np.ndarray:
-    """Keys of unit vectors: n rows of tables * probes."""
+def keys_of(vectors: np.ndarray, k: int, tables: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of unit vectors: n rows of tables * probes; and sign bits of the first rotations: n rows of SKETCH / 8 bytes."""
     n, own = vectors.shape
     d = 1 << max(2, (own - 1).bit_length())
-    x = np.zeros((n, d))
-    x[:, :own] = vectors
-    out = np.empty((n, tables * probes), np.int64)
-    all_choices = choices(k)
+    x = np.zeros((d, n), np.float32)  # a column each, so that steps of the transform run over many vectors at once
+    x[:own] = vectors.T
+    out, bits, had = np.empty((n, tables * probes), np.int64), np.zeros((SKETCH, n), bool), 0
+    all_choices, each = choices(k), np.arange(n)
     for t in range(tables):
-        code, loss = np.empty((k, n, AXES), np.int64), np.empty((k, n, AXES))
+        code, loss = np.empty((k, AXES, n), np.int64), np.empty((k, AXES, n), np.float32)
         for j in range(k):
             y = x
             for s in signs(d, k, tables)[t, j]:
-                y = hadamard(y * s)
-            size = np.abs(y) / d**1.5
-            top = np.argpartition(-size, AXES - 1, axis=1)[:, :AXES]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable"), 1)
-            code[j] = top * 2 + (np.take_along_axis(y, top, 1) < 0)
-            best = np.take_along_axis(size, top, 1)
-            loss[j] = (best[:, :1] - best) ** 2
-        total = sum(loss[j][:, all_choices[:, j]] for j in range(k))
-        pick = np.argsort(total, axis=1, kind="stable")[:, :probes]
-        key = np.zeros((n, probes), np.int64)
+                y = hadamard(y * s[:, None])
+            if had < SKETCH and d >= 32:
+                some = y[: SKETCH - had]
+                bits[had : had + len(some)] = some < 0
+                had += len(some)
+            size = np.abs(y)
+            size /= np.float32(d**1.5)
+            for i in range(AXES):
+                top = size.argmax(0)
+                best = size[top, each]
+                if i == 0:
+                    most = best
+                code[j, i] = top * 2 + (y[top, each] < 0)
+                loss[j, i] = (most - best) ** 2
+                size[top, each] = -1
+        total = sum(loss[j][all_choices[:, j]] for j in range(k))
+        pick = np.argsort(total, axis=0, kind="stable")[:probes]
+        key = np.zeros((probes, n), np.int64)
         for j in range(k):
-            key = key * (2 * d) + np.take_along_axis(code[j], all_choices[pick, j], 1)
+            key = key * (2 * d) + code[j][all_choices[pick, j], each]
         # table first, so that keys sort by table; the length keeps vectors of other lengths apart
-        out[:, t * probes : (t + 1) * probes] = (t << 57) | (((key * 0x9E3779B1 + own) ^ (key >> 31)) & ((1 << 57) - 1))
-    return out
+        out[:, t * probes : (t + 1) * probes] = ((t << 57) | (((key * 0x9E3779B1 + own) ^ (key >> 31)) & ((1 << 57) - 1))).T
+    return out, np.packbits(bits, axis=0, bitorder="little").T.copy()
 
 
 def _first(a: np.ndarray, b: np.ndarray, key: np.ndarray, probes: int) -> np.ndarray:
@@ -195,11 +210,12 @@ def _hash(batches: Iterator[pa.RecordBatch], k: int, tables: int, probes: int) -
     for b in batches:
         for at in range(0, b.num_rows, 2048):
             some = b.slice(at, 2048)
-            ids = some.column(0).to_numpy()
-            keys = np.empty((len(ids), tables * probes), np.int64)
+            n = some.num_rows
+            keys, bits = np.empty((n, tables * probes), np.int64), np.empty((n, SKETCH // 8), np.uint8)
             for rows, v in unit_rows(some.column(1))[1].values():
-                keys[rows] = keys_of(v, k, tables, probes)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["class", "keys"])
+                keys[rows], bits[rows] = keys_of(v, k, tables, probes)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (tables * probes)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([some.column(0), lists, pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH // 8), n, [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())], ["class", "keys", "bits"])
 
 
 SHORT = 16
@@ -215,14 +231,12 @@ def padded(keys: pa.ListArray) -> np.ndarray:
 
 def _verify(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
     """Rows key, x, y, block, class, n, embedding, keys sorted by (key, x, y): sums and a forest of their links."""
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
+    for t in whole_runs(batches):
         run = Run(probes)
-        t = t.combine_chunks()
         key, x, y, block, ids, sizes = (t.column(c).to_numpy() for c in ("key", "x", "y", "block", "class", "n"))
         by_length = unit_rows(t.column("embedding").combine_chunks())[1]
         codes = padded(t.column("keys").combine_chunks())
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
+        cut = bounds(key, x, y)
         size = np.diff(cut)
         short = np.repeat(size <= SHORT, size)
         for rows, v in by_length.values():
@@ -236,14 +250,17 @@ def _verify(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.Recor
                 at = np.intersect1d(np.arange(cut[i], cut[i + 1]), rows)
                 if len(at):
                     run.long(int(key[at[0]]), ids[at], sizes[at], full[at], codes[at], (block[at] == x[at]))
-        return run.batch()
+        yield run.batch()
+
 
+def whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Rows sorted by (key, x, y), cut so that no run of equal ones is parted."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n < 20_000:
+        if n < rows:
             continue
         t = pa.Table.from_batches(held)
         last = [t.column(c)[-1].as_py() for c in ("key", "x", "y")]
@@ -252,10 +269,49 @@ def _verify(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.Recor
             same &= t.column(c).to_numpy() == v
         whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         if whole:
-            yield solve(t.slice(0, whole))
+            yield t.slice(0, whole).combine_chunks()
         held, n = t.slice(whole).to_batches(), t.num_rows - whole
-    if held:
-        yield solve(pa.Table.from_batches(held))
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def bounds(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
+
+
+def sifted(bits: np.ndarray, cut: np.ndarray, block: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Which rows (of runs that begin at cut) differ in at most FAR bits from another one that they are compared to. bits: n rows of
+    SKETCH / 64 words."""
+    near, size = np.zeros(len(bits), bool), np.diff(cut)
+    number, short = np.repeat(np.arange(len(size)), size), np.repeat(size <= SHORT, size)
+    for d in range(1, min(SHORT, int(size.max(initial=0)))):
+        at = np.flatnonzero((number[d:] == number[:-d]) & short[:-d] & (~cross[d:] | (block[d:] != block[:-d])))
+        at = at[np.bitwise_count(bits[at] ^ bits[at + d]).sum(1, dtype=np.int64) <= FAR]
+        near[at] = near[at + d] = True
+    for i in np.flatnonzero(size > SHORT):
+        own = np.arange(cut[i], cut[i + 1])
+        left = block[own] == block[own[0]]
+        sides = (own[left], own[~left]) if cross[own[0]] else (own, own)
+        for a in range(0, len(sides[0]), 256):
+            some = sides[0][a : a + 256]
+            apart = np.zeros((len(some), len(sides[1])), np.int16)
+            for w in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[some, w][:, None] ^ bits[sides[1], w])
+            close = (apart <= FAR) & (some[:, None] != sides[1])
+            near[some] |= close.any(1)
+            near[sides[1]] |= close.any(0)
+    return near
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, x, y, block, class, bits sorted by (key, x, y), less those that are near no other one of their run."""
+    for t in whole_runs(batches):
+        key, x, y, block = (t.column(c).to_numpy() for c in ("key", "x", "y", "block"))
+        raw = t.column("bits").combine_chunks()
+        bits = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(key), SKETCH // 64)
+        keep = t.select(["key", "x", "y", "block", "class"]).filter(pa.array(sifted(bits, bounds(key, x, y), block, x != y)))
+        yield from keep.combine_chunks().to_batches()
 
 
 def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -266,8 +322,10 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     kind = vectors.schema[embedding].dataType.simpleString()
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind if kind in ("array<float>", "array<double>") else "array<double>").alias("embedding"))
     base = base.withColumn("embedding", F.when(F.coalesce(sound, F.lit(False)), v))
-    good = base.filter(v.isNotNull())
-    classes = materialise(good.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("n")), "emb-classes")
+    # two hashes of different seeds stand for a vector, so that it need not move to meet its equals
+    base = base.withColumns({"h1": F.when(v.isNotNull(), F.xxhash64("embedding")), "h2": F.when(v.isNotNull(), F.xxhash64(F.lit(SEED), "embedding"))})
+    classes = base.filter(v.isNotNull()).groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "emb-classes")  # numbers hold once they are written
     k, tables, probes = shape(classes.count())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,22 +334,28 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _verify(batches, probes)
 
-    keys = materialise(arrow_rows(classes.select("class", "embedding"), spread, "class long, keys array<long>"), "emb-keys")
+    keys = materialise(arrow_rows(classes.select("class", "embedding"), spread, "class long, keys array<long>, bits binary"), "emb-keys")
     keyed = keys.select("class", F.explode("keys").alias("key"))
     held = materialise(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "emb-held")
     # blocks of a large key meet in pairs, each pair in a run of its own
     met = keyed.join(held, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     met = materialise(met.select("key", "x", "y", "block", "class"), "emb-met")
-    full = met.join(classes.join(keys, "class"), "class")
+    place = ["key", "x", "y"]
+    sketched = met.join(keys.select("class", "bits"), "class").select(*place, "block", "class", "bits").repartition(*place).sortWithinPartitions(*place)
+    near = materialise(arrow_rows(sketched, _sift, "key long, x int, y int, block int, class long"), "emb-near")
+    full = near.join(classes.select("class", "n", "embedding").join(keys.select("class", "keys"), "class"), "class")
     # who counts a pair is told by the keys of the tables up to this one; the others need not move
     own = F.slice("keys", F.lit(1), ((F.shiftright("key", 57) + 1) * probes).cast("int"))
-    runs = full.select("key", "x", "y", "block", "class", "n", "embedding", own.alias("keys")).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    runs = full.select(*place, "block", "class", "n", "embedding", own.alias("keys")).repartition(*place).sortWithinPartitions(*place)
     found = materialise(arrow_rows(runs, verify, "a long, b long, n long"), "emb-found")
     sums = found.filter("b < 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("b >= 0").select("a", "b")).select(F.col("node").alias("class"), "component")
-    named = materialise(classes.drop("keys").join(sums, "class", "left").join(roots, "class", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id")), "emb-named")
-    out = base.join(named, "embedding", "left")
+    named = classes.select("class", "h1", "h2", "n", "least").join(sums, "class", "left").join(roots, "class", "left")
+    named = materialise(named.select("h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "class").alias("root")), "emb-named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "root").select("h1", "h2", "n_links", "component_id")
+    out = base.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
 
 

@@ -3,6 +3,8 @@ import json
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docslice.llm import chat, components, embeddings, html, warc
 from docslice.runtime import scratch
@@ -90,8 +92,39 @@ def test_recall_at_the_threshold():
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * z
     for n in (1000, 10**6, 10**8):
         k, tables, probes = embeddings.shape(n)
-        a, b = embeddings.keys_of(x, k, tables, probes), embeddings.keys_of(y, k, tables, probes)
+        (a, near_a), (b, near_b) = embeddings.keys_of(x, k, tables, probes), embeddings.keys_of(y, k, tables, probes)
         assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.999, n
+        assert np.bitwise_count(near_a ^ near_b).sum(1).max() <= embeddings.FAR - 10
+
+
+@pytest.mark.parametrize("d", [6, 48])
+def test_repeated_ids_are_vectors_of_their_own(spark, d):
+    r = np.random.default_rng(6)
+    e = np.linalg.qr(r.normal(size=(d, d)))[0]
+    near = lambda i: (e[i] + 0.01 * e[5]).tolist()
+    rows = [(1, e[0].tolist()), (1, e[1].tolist()), (2, near(0)), (3, near(1)), (7, e[2].tolist()), (7, e[2].tolist()), (7, near(2)), (9, e[3].tolist()), (9, e[4].tolist())]
+    got = sorted(tuple(x) for x in embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 2, 7, True), (7, 2, 7, True), (7, 2, 7, True), (9, 0, 9, True), (9, 0, 9, True)])
+
+
+@settings(max_examples=30, deadline=None)
+@given(seed=st.integers(0, 2**32 - 1), sizes=st.lists(st.integers(1, 40), min_size=1, max_size=8))
+def test_sifting_keeps_what_is_near(seed, sizes):
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**63, (3, 4)).astype(np.uint64)
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    bits = base[r.integers(0, 3, cut[-1])] ^ (r.integers(0, 2**63, (cut[-1], 4)) & r.integers(0, 2**63, (cut[-1], 4)) & r.integers(0, 2**63, (cut[-1], 4))).astype(np.uint64)
+    cross, block = np.repeat(r.random(len(sizes)) < 0.5, sizes), np.zeros(cut[-1], np.int64)
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        if cross[a]:
+            block[a:z] = r.integers(0, 2, z - a)
+    want = np.zeros(cut[-1], bool)
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        for i in range(a, z):
+            for j in range(a, z):
+                if i != j and (not cross[a] or block[i] != block[j]) and np.bitwise_count(bits[i] ^ bits[j]).sum() <= embeddings.FAR:
+                    want[i] = True
+    assert (embeddings.sifted(bits, cut, block, cross) == want).all()
 
 
 # web pages
