@@ -1,5 +1,7 @@
+import bisect
 import hashlib
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -154,7 +156,10 @@ def test_html(spark, sf):
     assert len(pages) == spark.read.parquet(f"{sf}/pages.parquet").count() and all(r["n_chars"] == len(r["text"]) > 0 for r in pages)
 
 
-def test_longest_common_subsequence():
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
+def test_longest_common_subsequence(monkeypatch, cells):
+    monkeypatch.setattr(html, "CELLS", cells)
+
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
@@ -171,6 +176,63 @@ def test_longest_common_subsequence():
         assert all(x in it for x in a[got].tolist())
 
 
+def test_lines_of_very_long_pages_take_linear_memory():
+    r = np.random.default_rng(1)
+    a = np.arange(8000)
+    b = r.permutation(a)
+    tracemalloc.start()
+    got = html.common(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # of ascending numbers, a longest increasing subsequence of b
+    ends: list[int] = []
+    for v in b.tolist():
+        i = bisect.bisect_left(ends, v)
+        ends[i : i + 1] = [v]
+    assert got.sum() == len(ends) and peak < 30e6
+
+
+def slow_difference(rows):
+    """Text of pages (key, host, path, lines) of one host that mark no article: sorted by path, less the lines of a
+    longest common subsequence with the nearer neighbour that is no near copy."""
+    firsts = {}
+    for row in sorted(rows, key=lambda x: (x[1], x[0])):
+        firsts.setdefault(tuple(row[2]), row)
+    order = sorted(firsts.values(), key=lambda x: (x[1], x[0]))
+    out = {}
+    for i, (_, path, lines) in enumerate(order):
+        best = None
+        for side in (order[max(0, i - html.WINDOW) : i][::-1], order[i + 1 : i + 1 + html.WINDOW]):
+            for _, other_path, other in side:
+                same = html.common(np.array([hash(x) for x in lines]), np.array([hash(x) for x in other]))
+                if not same.all() and same.sum() < html.NEAR * max(len(lines), len(other)):
+                    far = html.leading(other_path, path)
+                    if best is None or far > best[0]:
+                        best = far, same
+                    break
+        out[tuple(lines)] = "\n\n".join(x for x, s in zip(lines, best[1] if best else [False] * len(lines), strict=True) if not s)
+    return {key: out[tuple(lines)] for key, _, lines in rows}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_differencing_is_the_slow_one(spark, monkeypatch, parts):
+    r = np.random.default_rng(8)
+    frame, rows = [f"frame line {i}" for i in range(9)], []
+    for k in range(60):
+        own = [f"text {k} {i} {r.integers(1000)}" for i in range(r.integers(1, 6))] if k % 7 or not rows else rows[-1][2]
+        lines = own if own and own[0] in frame else [x for x in frame[:4] if r.random() < 0.8] + own + [x for x in frame[4:] if r.random() < 0.8] if k % 7 else own
+        rows.append((k, f"/s{k % 5}/p{r.integers(1000)}", lines))
+    table = spark.createDataFrame([(k, f"http://host.example{path}", "".join(f"<p>{x}</p>" for x in lines)) for k, path, lines in rows], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {x["page_id"]: x["text"] for x in html.main_text(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # pages of one path and the same lines tie by a hash of their key, which the slow rule does not know
+    assert len({x[1] for x in rows}) == len(rows) and got == slow_difference(rows)
+
+
 # archive
 
 
