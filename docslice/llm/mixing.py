@@ -2,8 +2,8 @@
 
 Documents are aggregated by membership pattern (the set of sources that hold them). Patterns are nodes with a
 capacity of their size per repetition; the k-th repetition costs k - 1 a word (convex, so a flow fills whole passes
-before it repeats). Sources are nodes with a quota. Successive shortest paths route capacity to quotas; the flow
-through a pattern says how often it is read: `floor` whole passes for all its documents, and one more for a part.
+before it repeats). Sources are nodes with a quota. Successive shortest paths, all of one cost at a time, route
+capacity to quotas, whether patterns overlap or not; the flow through a pattern says how often it is read: `floor` whole passes for all its documents, and one more for a part.
 That part is chosen by seeded hash order up to the wanted words, to the nearest document.
 
 The flow network has a node per pattern and per source and is bounded by `max_patterns`, checked before anything is
@@ -16,8 +16,6 @@ give, targets are capped and the excess is dealt out again by weight.
 
 from __future__ import annotations
 
-import heapq
-import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,67 +50,90 @@ def targets(sizes: dict, weights: dict, max_repeats: int = MAX_REPEATS) -> dict:
     return out
 
 
+class Network:
+    """Maximum flow by layers (Dinic), without recursion. Capacities are whole numbers of any size."""
+
+    def __init__(self, nodes: int):
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.arcs: list[list[int]] = [[] for _ in range(nodes)]
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        """Number of a new arc; the next number is that of its way back."""
+        self.to += [b, a]
+        self.room += [room, 0]
+        self.arcs[a].append(len(self.to) - 2)
+        self.arcs[b].append(len(self.to) - 1)
+        return len(self.to) - 2
+
+    def _layers(self, start: int, end: int) -> list[int]:
+        layer = [-1] * len(self.arcs)
+        layer[start], now = 0, [start]
+        while now and layer[end] < 0:
+            after = []
+            for a in now:
+                for e in self.arcs[a]:
+                    b = self.to[e]
+                    if self.room[e] and layer[b] < 0:
+                        layer[b] = layer[a] + 1
+                        after.append(b)
+            now = after
+        return layer
+
+    def fill(self, start: int, end: int) -> None:
+        while True:
+            layer = self._layers(start, end)
+            if layer[end] < 0:
+                return
+            at, path, node = [0] * len(self.arcs), [], start
+            while True:
+                if node == end:
+                    least = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= least
+                        self.room[e ^ 1] += least
+                    cut = next(i for i, e in enumerate(path) if not self.room[e])
+                    node = self.to[path[cut] ^ 1]
+                    del path[cut:]
+                    continue
+                arcs = self.arcs[node]
+                while at[node] < len(arcs):
+                    e = arcs[at[node]]
+                    if self.room[e] and layer[self.to[e]] == layer[node] + 1:
+                        break
+                    at[node] += 1
+                if at[node] < len(arcs):
+                    path.append(e)
+                    node = self.to[e]
+                elif path:  # a dead end
+                    node = self.to[path.pop() ^ 1]
+                    at[node] += 1
+                else:
+                    break
+
+
 def min_cost_flow(patterns: dict[tuple, int], quotas: dict, max_repeats: int = MAX_REPEATS) -> dict[tuple[tuple, object], int]:
     """Words of each pattern that go to each source. patterns: capacity by tuple of sources; the k-th pass costs
-    k - 1 a word. Successive shortest paths from the pattern passes to the quotas, so quotas are filled as far as the
-    capacity goes at the least cost. A source's own component alone is closed form and skips the search."""
-    flow: dict[tuple[tuple, object], int] = {}
-    shared = {s for p in patterns if len(p) > 1 for s in p}
-    grown = True
-    while grown:  # what touches a shared source is routed by search
-        new = {s for p in patterns if shared.intersection(p) for s in p} - shared
-        shared |= new
-        grown = bool(new)
-    for p, size in patterns.items():
-        if len(p) == 1 and p[0] not in shared:
-            flow[p, p[0]] = min(quotas.get(p[0], 0), max_repeats * size)
-    rest = {p: size for p, size in patterns.items() if size and shared.intersection(p)}
-    need = {s: quotas.get(s, 0) for s in shared}
-    used = dict.fromkeys(rest, 0)
-
-    def price(p: tuple) -> int:
-        return used[p] // rest[p]
-
-    while rest:
-        # Dijkstra over patterns: from patterns with room, by an arc to a source, back by a flow to another pattern
-        dist, back, heap, done = {}, {}, [], None
-        for i, p in enumerate(sorted(rest, key=repr)):
-            if used[p] < max_repeats * rest[p]:
-                dist[p] = price(p)
-                heapq.heappush(heap, (dist[p], i, p))
-        order = {p: i for i, p in enumerate(sorted(rest, key=repr))}
-        while heap:
-            d, _, p = heapq.heappop(heap)
-            if d > dist[p]:
-                continue
-            if hit := next((s for s in p if need[s] > 0), None):
-                done = (p, hit)
-                break
-            if any(s is None and need[s] > 0 for s in p):
-                done = (p, None)
-                break
-            for s in p:
-                for q in rest:
-                    if q != p and flow.get((q, s), 0) > 0 and d < dist.get(q, math.inf):
-                        dist[q], back[q] = d, (p, s)
-                        heapq.heappush(heap, (d, order[q], q))
-        if done is None:
-            break
-        p, s = done
-        path, at = [(p, s)], p
-        while at in back:
-            prev, via = back[at]
-            path.append((prev, via))
-            at = prev
-        room = rest[at] - used[at] % rest[at]
-        amount = min([need[s], room, *(flow[path[i][0], path[i + 1][1]] for i in range(len(path) - 1))])
-        for i, (q, via) in enumerate(path):
-            flow[q, via] = flow.get((q, via), 0) + amount
-            if i + 1 < len(path):
-                flow[q, path[i + 1][1]] -= amount
-        used[at] += amount
-        need[s] -= amount
-    return {k: v for k, v in flow.items() if v}
+    k - 1 a word.
+
+    A shortest path through the network costs what the next pass of the pattern that it starts from does: re-routing
+    other patterns changes nothing in how often they are read. So successive shortest paths use all paths of the first
+    pass, then those of the second, and so on: a maximum flow for each pass, on top of the one before."""
+    own = sorted((p for p, size in patterns.items() if size and p), key=repr)
+    sources = sorted({s for p in own for s in p}, key=lambda s: (s is None, str(s)))
+    place = {s: 1 + len(own) + i for i, s in enumerate(sources)}
+    start, end = 0, 1 + len(own) + len(sources)
+    net = Network(end + 1)
+    passes = [net.arc(start, 1 + i, 0) for i in range(len(own))]
+    most = sum(patterns.values()) * max_repeats
+    arcs = [(p, s, net.arc(1 + i, place[s], most)) for i, p in enumerate(own) for s in dict.fromkeys(p)]
+    for s in sources:
+        net.arc(place[s], end, quotas.get(s, 0))
+    for _ in range(max_repeats):
+        for p, e in zip(own, passes, strict=True):
+            net.room[e] += patterns[p]
+        net.fill(start, end)
+    return {(p, s): net.room[e ^ 1] for p, s, e in arcs if net.room[e ^ 1]}
 
 
 def mix(docs: DataFrame, weights=None, max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = MAX_PATTERNS) -> DataFrame:

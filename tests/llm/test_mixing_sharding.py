@@ -1,9 +1,13 @@
+import random
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import product
 from zlib import crc32
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docslice.llm import mixing, sharding
 
@@ -42,6 +46,66 @@ def test_flow_is_least_cost(quotas):
     assert (-sum(sent.values()), cost(flow, patterns, most)) == best
 
 
+def slow_flow(patterns, quotas, most):
+    """Words sent and their cost: one word at a time along a cheapest path (Bellman-Ford)."""
+    used, flow, need = Counter(), Counter(), dict(quotas)
+    while True:
+        dist = {p: used[p] // size for p, size in patterns.items() if size and used[p] < most * size}
+        back = {}
+        for _ in range(len(patterns) + 1):
+            for p in list(dist):
+                for s in p:
+                    for q in patterns:
+                        if q != p and flow[q, s] and dist[p] < dist.get(q, 1 << 30):
+                            dist[q], back[q] = dist[p], (p, s)
+        ends = [(d, repr(p), repr(s), p, s) for p, d in dist.items() for s in p if need.get(s, 0) > 0]
+        if not ends:
+            return sum(flow.values()), cost(flow, patterns, most)
+        *_, p, s = min(ends)
+        need[s] -= 1
+        flow[p, s] += 1
+        while p in back:
+            before, via = back.pop(p)
+            flow[p, via] -= 1
+            flow[before, via] += 1
+            p = before
+        used[p] += 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(data=st.data())
+def test_flow_of_random_networks(data):
+    names = ["", "a", "b", None]
+    keys = data.draw(st.lists(st.lists(st.sampled_from(names), min_size=1, max_size=3, unique=True).map(tuple), min_size=1, max_size=6, unique=True))
+    patterns = {p: data.draw(st.integers(0, 4)) for p in keys}
+    quotas = {s: data.draw(st.integers(0, 9)) for s in names}
+    flow = mixing.min_cost_flow(patterns, quotas, 3)
+    sent = Counter()
+    for (p, s), v in flow.items():
+        assert s in p and v > 0
+        sent[s] += v
+    assert all(sent[s] <= quotas[s] for s in names)
+    assert all(sum(v for (q, _), v in flow.items() if q == p) <= 3 * size for p, size in patterns.items())
+    assert (sum(sent.values()), cost(flow, patterns, 3)) == slow_flow(patterns, quotas, 3)
+
+
+def test_flow_of_many_patterns_takes_seconds():
+    r = random.Random(2)
+    names = [f"s{i}" for i in range(40)]
+    patterns = {}
+    while len(patterns) < mixing.MAX_PATTERNS:
+        patterns[tuple(sorted(r.sample(names, r.randint(1, 6))))] = r.randint(1, 10**9)
+    began = time.process_time()
+    flow = mixing.min_cost_flow(patterns, {s: (i + 1) * 10**12 for i, s in enumerate(names)})
+    assert time.process_time() - began < 120 and sum(flow.values()) > 10**13
+
+
+def test_mix_through_a_source_without_a_name(spark):
+    rows = [(i, 10, ["", "a"]) for i in range(20)] + [(100 + i, 10, ["a"]) for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, size long, memberships array<string>")).collect()
+    assert abs(sum(r["taken"] for r in got) - 400) <= 20 and sum(r["taken"] for r in got if r["doc_id"] < 100) > 0
+
+
 def test_mix(spark, sf, docs):
     rows = mixing.op1_mixing(spark, sf).collect()
     again = mixing.op1_mixing(spark, sf).collect()
