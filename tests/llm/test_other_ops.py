@@ -305,6 +305,76 @@ def test_chat(spark):
     assert chat.linked(frame.limit(0)).count() == 0
 
 
+def test_chat_loses_nothing(spark):
+    """Unknown fields at every depth, the `function` shape, arguments as JSON text, conversations null and "null"."""
+    schema = {"type": "object", "properties": {"n": {"type": ["integer", "null"], "minimum": 1, "maximum": 5}, "s": {"type": "string", "maxLength": 2}, "l": {"type": "array", "minItems": 1, "items": {"type": ["string", "integer"], "maximum": 3}}}, "required": ["n"]}
+    tool = {"type": "function", "function": {"name": "w", "parameters": schema, "strict": True}}
+    call = lambda i, args: {"id": i, "type": "function", "x": {"b": None, "a": [1]}, "function": {"name": "w", "arguments": args, "y": 1}}
+    good, bad = {"n": None, "s": "ab", "l": ["a", 3]}, {"n": 9, "s": "abc", "l": [4, True]}
+    docs = [
+        {"tools": [tool], "v": 2},
+        {"content": None, "tool_calls": [call("a", json.dumps(good)), call("b", json.dumps(bad)), call("c", "no json"), "odd"], "refusal": None, "extra": [{"z": 1, "y": 2}]},
+        {"tool_call_id": "a", "name": "w", "content": "1", "role": "other"},
+        {"tool_call_id": "b", "is_error": True},
+        {"tool_call_id": "c"},
+    ]
+    rows = [(None, k, "r", json.dumps(x)) for k, x in enumerate(docs)] + [("null", k, "user", f"t{k}") for k in range(3)]
+    got = {(r["conv_id"], r["position"]): r for r in chat.linked(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
+    assert len(got) == 8 and [got["null", k]["turn"] for k in range(3)] == [0, 1, 2]
+    canonical = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    called = {"role": "r", "extra": docs[1]["extra"], "tool_calls": [call("a", good), call("b", bad), call("c", "no json"), "odd"]}
+    assert [got[None, k]["line"] for k in range(5)] == [canonical(x) for x in (docs[0] | {"role": "r"}, called, docs[2] | {"role": "r"}, docs[3] | {"role": "r"}, docs[4] | {"role": "r"})]
+    assert sorted(got[None, 1]["issues"].split(",")) == sorted(["?:no_result", "?:no_schema", *(f"b:{x}" for x in ("range:n", "range:s", "range:l[0]", "type:l[1]")), "c:missing:n", "c:type:arguments"])
+    assert got[None, 2]["issues"] == "own_role:other"
+
+
+def slow_chat_links(messages):
+    """Positions and issues about links of one conversation's messages (turn, role, text), by plain loops."""
+    parts = []
+    for turn, role, text in messages:
+        x = json.loads(text) if text[:1] == "{" else {}
+        parts.append((turn, role, text, [(c["id"], c.get("depends_on", [])) for c in x.get("tool_calls", [])], x.get("tool_call_id")))
+    order = sorted(range(len(parts)), key=lambda i: parts[i][0])
+    first, answer = {}, {}
+    for i in order:
+        for c, _ in parts[i][3]:
+            first.setdefault(c, i)
+        if parts[i][4] is not None:
+            answer.setdefault(parts[i][4], i)
+    place, edges = {i: (parts[i][0], 0) for i in order}, set()
+    for i in order:
+        if parts[i][4] in first:
+            edges.add((first[parts[i][4]], i))
+        edges |= {(answer[d], i) for _, deps in parts[i][3] for d in deps if d in answer}
+    for _ in range(len(parts) + 1):
+        for a, b in edges:
+            place[b] = max(place[b], (place[a][0], place[a][1] + 1))
+    issues = {}
+    for i, (_, _, _, calls, result) in enumerate(parts):
+        issues[i] = {f"{c}:no_result" for c, _ in calls if c not in answer} | ({f"{result}:no_call"} if result is not None and result not in first else set())
+    return {parts[i][0]: (p, issues[i]) for p, i in enumerate(sorted(order, key=lambda i: (*place[i], parts[i][0])))}
+
+
+def test_links_of_random_conversations(spark):
+    r, rows = np.random.default_rng(9), []
+    for conv in range(25):
+        turns = r.permutation(40)[: r.integers(4, 24)].tolist()
+        names = [f"c{i}" for i in range(len(turns))]
+        for k, turn in enumerate(turns):
+            what = r.random()
+            if what < 0.35:  # calls depend on calls of a smaller number, so there are no cycles
+                calls = [{"id": names[k], "name": "f", "arguments": {}, "depends_on": [names[int(i)] for i in r.integers(0, k, r.integers(0, 3))] if k else []}]
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": calls})))
+            elif what < 0.75:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": names[int(r.integers(0, len(names)))]})))
+            else:
+                rows.append((conv, turn, "user", f"text {turn}"))
+    got = {}
+    for x in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        got.setdefault(x["conv_id"], {})[x["turn"]] = (x["position"], {i for i in x["issues"].split(",") if i.endswith(("no_result", "no_call"))})
+    assert got == {c: slow_chat_links([x[1:] for x in rows if x[0] == c]) for c in got} and len(got) == 25
+
+
 def test_chat_of_the_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     got = chat.op2_chat(spark, sf).collect()
