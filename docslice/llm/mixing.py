@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docslice.llm.simhash import unused
 from docslice.runtime import materialise, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -200,7 +201,9 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     taken = mix(sized(docs)).filter("repeats > 0")
     taken = materialise(taken.groupBy("doc_id", "twin").agg(F.max("repeats").alias("_repeats")).withColumnRenamed("doc_id", "_id"), "mix-taken")
     joined = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["_id"]) & (same == taken["twin"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*(docs[c] for c in docs.columns))
+    times = F.explode(F.sequence(F.lit(1), taken["_repeats"]))
+    copy = unused(docs, "_copy")
+    return joined.select(*(docs[c] for c in docs.columns), times.alias(copy)).drop(copy)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

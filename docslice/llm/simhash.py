@@ -237,6 +237,14 @@ def near_duplicates(docs: DataFrame, apart: int = BITS_APART, shingle: int = SHI
     return base.join(named, "print")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_one(docs: DataFrame, base: DataFrame, roots: DataFrame) -> DataFrame:
     """One row of docs, all columns, for each component: that of the smallest (doc_id, text_hash), ids before nulls.
     base: doc_id, text_hash, node of every row; roots: node, root of the nodes that have links."""
@@ -251,8 +259,9 @@ def keep_one(docs: DataFrame, base: DataFrame, roots: DataFrame) -> DataFrame:
     out = docs.join(once.hint("shuffle_hash"), same(once), "left_semi")
     if more.isEmpty():
         return out
-    repeated = docs.join(more, same(more), "left_semi").withColumn("_hash", F.xxhash64(F.col("text").cast("binary")))
-    return out.unionAll(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    own_hash = unused(docs, "_hash")
+    repeated = docs.join(more, same(more), "left_semi").withColumn(own_hash, F.xxhash64(F.col("text").cast("binary")))
+    return out.unionAll(repeated.dropDuplicates(["doc_id", own_hash]).drop(own_hash))
 
 
 def deduplicate(docs: DataFrame, apart: int = BITS_APART, shingle: int = SHINGLE) -> DataFrame:
