@@ -1,3 +1,3 @@
-"""docslice: document chunking and chunk analytics as Spark DataFrame operators."""
+"""docslice: cuts documents into chunks and analyses them, as Spark DataFrame operators."""
 
 __version__ = "0.1.0"

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docslice.functions import text as T
+from docslice.runtime import arrow_rows
 
 WORDS = r"[\p{L}\p{N}_]+"
 
@@ -55,14 +60,22 @@ def complexity(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return own.select(key, score.alias("score"), F.when(n > 0, F.round(diversity, 6)).alias("diversity"), F.when(n > 0, F.round(word, 6)).alias("word_length"), level.alias("readability"))
 
 
+def _entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        bits, distinct = [], []
+        for t in b.column(1):
+            n = np.bincount(np.frombuffer(t.as_buffer(), np.uint8), minlength=256) if t.is_valid and len(t.as_buffer()) else np.zeros(256, np.int64)
+            n = n[n > 0]
+            p = n / n.sum() if len(n) else np.ones(1)
+            bits.append(round(float(-(p * np.log2(p)).sum()) + 0.0, 6) if len(n) else None)
+            distinct.append(len(n) or None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.float64()), pa.array(distinct, pa.int64())], [b.schema.names[0], "entropy", "distinct_bytes"])
+
+
 def entropy(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Byte entropy and distinct bytes of each text, from counts by byte: partial aggregation before the shuffle."""
-    b = F.encode(T.filled(F.col(text)), "UTF-8")
-    each = docs.select(key, F.explode(F.regexp_extract_all(F.hex(b), F.lit(".."), F.lit(0))).alias("b"))
-    counts = each.groupBy(key, "b").agg(F.count("*").alias("n"))
-    # -sum(p log p) = log N - sum(n log n) / N
-    by = counts.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("x"), F.count("*").alias("distinct_bytes"))
-    return by.select(key, F.round(F.log2("total") - F.col("x") / F.col("total"), 6).alias("entropy"), "distinct_bytes")
+    """Byte entropy and distinct bytes of each text that has any: one count of bytes a text, no shuffle."""
+    own = docs.select(F.col(key), F.encode(T.filled(F.col(text)), "UTF-8").alias("b"))
+    return arrow_rows(own, _entropies, f"{key} {docs.schema[key].dataType.simpleString()}, entropy double, distinct_bytes long").filter(F.col("entropy").isNotNull())
 
 
 def language(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

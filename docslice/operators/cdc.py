@@ -1,7 +1,8 @@
-"""Content-defined chunking of bytes.
+"""Chunks of bytes whose cuts the content defines.
 
 Rules whose hash looks at a window of the last bytes only are evaluated for all positions at once with numpy, and cuts
-are then picked from the candidates; rules with state run byte by byte. Every kernel works on one text at a time, with
+are then picked from the candidates; of rules with state all but two are xors of prefixes as well, and these two run
+byte by byte. Every kernel works on one text at a time, with
 no shuffle. Sizes and offsets are bytes; a chunk's content is decoded with replacement where a cut splits a character,
 and its digest is of the bytes.
 """
@@ -9,6 +10,7 @@ and its digest is of the bytes.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
@@ -77,26 +79,56 @@ def fastcdc(data: bytes, least: int = MIN, avg: int = AVG, most: int = MAX, bits
         start = end
 
 
+def _turned(v: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """32-bit values (in 64 bits) rotated left."""
+    by = by & np.uint64(31)
+    return (v << by | v >> (np.uint64(32) - by)) & np.uint64(0xFFFFFFFF)
+
+
+class Turning:
+    """Values of a hash that is rotated by one bit and xored with a byte's value at each step, at any position and from
+    any start: each byte's value is kept in the frame of position 0, so that runs of bytes are xors of two prefixes."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        back = _turned(values, np.uint64(32) - np.arange(n, dtype=np.uint64) % np.uint64(32))
+        self.prefix = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(back)]) if n else np.zeros(1, np.uint64)
+
+    def at(self, first: int, ends: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from `first` to before each of `ends`."""
+        return _turned(self.prefix[ends] ^ self.prefix[first], (ends - 1).astype(np.uint64))
+
+
 def fastcdc_rolling(data: bytes, kind: str = "rabin", least: int = MIN, avg: int = AVG, most: int = MAX, bits: int = 13) -> Iterator[int]:
     """As fastcdc, with a hash over all bytes of the chunk: polynomial (rabin) or rotate and xor (buzhash)."""
     mask, wide, n, start = (1 << bits) - 1, (1 << (bits - 1)) - 1, len(data), 0
+    turning = Turning(np.frombuffer(data, np.uint8).astype(np.uint64) * np.uint64(0x9E3779B9) & np.uint64(0xFFFFFFFF)) if kind != "rabin" else None
     while start < n:
         if start + least >= n:
             yield n
             return
         top = min(start + most, n)
         zone = min(start + 2 * avg, top)
-        h, end = 0, 0
-        for p in range(start, zone):
-            if p >= start + least:
-                if not h & mask:
-                    end = p
-                    break
-                if not end and p >= start + avg and not h & wide:
-                    end = -p
-            b = data[p]
-            h = (h * 256 + b) % POLY if kind == "rabin" else ((h << 1 | h >> 31) ^ b * 0x9E3779B9) & 0xFFFFFFFF
-        end = abs(end) or top
+        first = max(start + avg, start + least)
+        if turning is not None:
+            at = np.arange(start + least, zone)  # the hash before each of these bytes
+            h = turning.at(start, at)
+            main = np.flatnonzero(h & np.uint64(mask) == 0)
+            second = np.flatnonzero((h & np.uint64(wide) == 0) & (at >= first))
+            end = int(at[main[0]]) if len(main) else int(at[second[0]]) if len(second) else top
+        else:
+            h, end = 0, 0
+            for b in data[start : start + least]:
+                h = (h * 256 + b) % POLY
+            for p, b in enumerate(data[start + least : zone], start + least):
+                if not h & wide:
+                    if not h & mask:
+                        end = p
+                        break
+                    if not end and p >= first:
+                        end = -p
+                h = (h * 256 + b) % POLY
+            end = abs(end) or top
         yield end
         start = end
 
@@ -126,36 +158,28 @@ def rolling_polynomial(data: bytes, window: int = 64, least: int = MIN, target:
     return picked(at, len(data), least, most)
 
 
-def _state(data: bytes, step: Callable, cut: Callable, least: int, most: int, window: int) -> Iterator[int]:
-    """Byte by byte; the state starts anew after each cut."""
-    n, start = len(data), 0
-    while start < n:
-        h, end = 0, min(start + most, n)
-        for p in range(start, end):
-            h = step(h, data[p], data[p - window] if p - start >= window else None)
-            if p - start + 1 >= least and cut(h, p - start + 1):
-                end = p + 1
-                break
-        yield end
-        start = end
-
-
 def rolling_rabin(data: bytes, window: int = 64, least: int = MIN, target: int = AVG, most: int = MAX) -> Iterator[int]:
+    """The state is shifted by a byte and cut to `degree` bits at each step, so it is what the last bytes, and those
+    that left the window, put in: positions are computed all at once. `least` must reach beyond window and state."""
     degree = POLY.bit_length() - 1
-    full, table = (1 << degree) - 1, _mod_table(degree)
-    shift = (window - 1) * 8 % degree
-
-    def step(h: int, b: int, out: int | None) -> int:
-        if out is not None:
-            h ^= table[out] << shift & full
-        return (h << 8 ^ b) & full
-
-    every = max(1, (1 << 20) // target)
-    return _state(data, step, lambda h, _: h % every == 0, least, most, window)
+    if least < window + degree // 8 + 2:
+        raise ValueError("least is below the window and the bytes of the state")
+    full, n = np.uint64((1 << degree) - 1), len(data)
+    # fixed rule: where a byte leaves the window its table value is shifted by the window's bits, modulo the degree
+    leaving = np.array([v << ((window - 1) * 8 % degree) & int(full) for v in _mod_table(degree)], np.uint64)
+    b = np.frombuffer(data, np.uint8)
+    put = b.astype(np.uint64)
+    out = np.zeros(n, np.uint64)
+    out[window:] = leaving[b[: max(0, n - window)]]
+    h = np.zeros(n, np.uint64)
+    for j in range(min(n, degree // 8 + 1)):
+        h[j:] ^= (put[: n - j] << np.uint64(8 * j) ^ (out[: n - j] << np.uint64(8 * j) & full) << np.uint64(8)) & full
+    return picked(np.flatnonzero(h % np.uint64(max(1, (1 << 20) // target)) == 0) + 1, n, least, most)
 
 
 @lru_cache(maxsize=2)
 def _mod_table(degree: int) -> list[int]:
+    """Each byte's remainder, as the rule has it."""
     out = []
     for i in range(256):
         v = i << (degree - 8)
@@ -165,47 +189,77 @@ def _mod_table(degree: int) -> list[int]:
     return out
 
 
-def _rotated(v: int, by: int) -> int:
-    by %= 32
-    return (v << by | v >> (32 - by)) & 0xFFFFFFFF if by else v
-
-
 def buzhash(data: bytes, window: int = 64, mask: int = 0x1FFF, least: int = MIN, most: int = MAX, every: int | None = None) -> Iterator[int]:
-    """The byte that leaves is taken out before the next rotation, so the state keeps a trace of earlier bytes."""
-    table = gear_table("draw").tolist()
-    gone = [_rotated(v, window) for v in table]
-
-    def step(h: int, b: int, out: int | None) -> int:
-        if out is not None:
-            h ^= gone[out]
-        return ((h << 1 | h >> 31) & 0xFFFFFFFF) ^ table[b]
-
-    return _state(data, step, (lambda h, _: h % every == 0) if every else (lambda h, _: not h & mask), least, most, window)
+    """The byte that leaves is taken out before the next rotation, so the state keeps a trace of earlier bytes: after it
+    left, a byte is in the state twice, one step apart. Both are xors of prefixes, taken in stretches of a chunk."""
+    turning, n, start = Turning(gear_table("draw")[np.frombuffer(data, np.uint8)]), len(data), 0
+    while start < n:
+        top = min(start + most, n)
+        end = top
+        for a in range(start + max(1, least), top + 1, 4096):
+            ends = np.arange(a, min(a + 4096, top + 1))
+            h = turning.at(start, ends)
+            gone = ends - start > window
+            left = ends[gone] - window
+            h[gone] ^= _turned(turning.prefix[left] ^ turning.prefix[start], ends[gone].astype(np.uint64))
+            hit = np.flatnonzero(h % np.uint64(every) == 0 if every else h & np.uint64(mask) == 0)
+            if len(hit):
+                end = int(ends[hit[0]])
+                break
+        yield end
+        start = end
 
 
-def _rabin_step(window: int) -> Callable:
+@lru_cache(maxsize=4)
+def _leaving(window: int) -> list[int]:
+    """Fixed rule: what each byte has put in by the time that it leaves the window."""
     power = 1
     for _ in range(window - 1):
         power = power * 256 % M53
         if power >= TOP:
             power = (power ^ POLY) & M53
+    return [b * power for b in range(256)]
 
-    def step(h: int, b: int, out: int | None) -> int:
-        if out is not None:
-            h = (h - out * power) % M53
-        h = (h * 256 + b) % M53
-        return (h ^ POLY) & M53 if h >= TOP else h
 
-    return step
+def _folded(data: bytes, window: int, least: int, most: int, modulus: int, cut: Callable[[int, int], bool]) -> Iterator[int]:
+    """Chunks under a polynomial hash that is folded (fixed rule: from TOP on xored with POLY), so that it must be
+    followed byte by byte from each chunk's start. cut(hash, size) is only asked where hash % modulus is 0."""
+    n, start, leaving = len(data), 0, _leaving(window)
+    while start < n:
+        end, h, size = min(start + most, n), 0, 0
+        for b in data[start : min(start + window, end)]:
+            h = (h * 256 + b) % M53
+            if h >= TOP:
+                h = (h ^ POLY) & M53
+            size += 1
+            if size >= least and h % modulus == 0 and cut(h, size):
+                break
+        else:
+            quiet = min(end, max(start + window, start + least - 1))
+            for b, out in zip(data[start + window : quiet], data[start : max(start, quiet - window)], strict=True):
+                h = ((h - leaving[out]) * 256 + b) % M53
+                if h >= TOP:
+                    h = (h ^ POLY) & M53
+            size = max(size, quiet - start)
+            for b, out in zip(data[quiet:end], data[max(0, quiet - window) : end - window], strict=False):
+                h = ((h - leaving[out]) * 256 + b) % M53
+                if h >= TOP:
+                    h = (h ^ POLY) & M53
+                size += 1
+                if h % modulus == 0 and size >= least and cut(h, size):
+                    break
+        yield start + size
+        start += size
 
 
 def rabin(data: bytes, window: int = 48, mask: int = 0x1FFF, least: int = MIN, most: int = MAX) -> Iterator[int]:
-    return _state(data, _rabin_step(window), lambda h, _: not h & mask, least, most, window)
+    return _folded(data, window, least, most, mask + 1, lambda h, _: not h & mask)
 
 
 def tttd(data: bytes, window: int = 48, primary: int = 1024, secondary: int = 4096, least: int = MIN, target: int = AVG, most: int = MAX, hit: tuple[int, int] = (0, 0)) -> Iterator[int]:
     """A hit of the rare divisor cuts at once, one of the frequent divisor from half of the target on."""
-    return _state(data, _rabin_step(window), lambda h, size: h % secondary == hit[1] or (h % primary == hit[0] and size >= target // 2), least, most, window)
+    modulus = math.gcd(primary, secondary) if hit == (0, 0) else 1
+    return _folded(data, window, least, most, modulus, lambda h, size: h % secondary == hit[1] or (h % primary == hit[0] and size >= target // 2))
 
 
 def gear_cdc(data: bytes, window: int = 32, mask: int = (1 << 22) - 1, zeros: int = 13, least: int = MIN, most: int = MAX) -> Iterator[int]:

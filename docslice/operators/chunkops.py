@@ -158,26 +158,35 @@ def characters(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\S"), F.lit(0)))
 
 
-def longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring, by binary search over lengths and hashed substrings."""
-    lo, hi = 0, min(len(a), len(b))
+def longest_common(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common substring, known to be `least` or more. Hashed substrings of one length tell whether
+    there is one; lengths are first tried in growing steps, so that short ones cost little, then halved."""
+
+    def there(n: int) -> bool:
+        if n > min(len(a), len(b)):
+            return False
+        have = {a[i : i + n] for i in range(len(a) - n + 1)}
+        return any(b[i : i + n] in have for i in range(len(b) - n + 1))
+
+    lo, step = least, 1
+    while there(lo + step):
+        lo, step = lo + step, step * 2
+    hi = lo + step - 1
     while lo < hi:
         mid = (lo + hi + 1) // 2
-        have = {a[i : i + mid] for i in range(len(a) - mid + 1)}
-        if any(b[i : i + mid] in have for i in range(len(b) - mid + 1)):
-            lo = mid
-        else:
-            hi = mid - 1
+        lo, hi = (mid, hi) if there(mid) else (lo, mid - 1)
     return lo
 
 
-def _overlap(units: list[str]) -> Iterator[tuple]:
-    total, shared = sum(map(len, units)), 0
-    for i, a in enumerate(units):
-        for b in units[i + 1 :]:
-            if (n := longest_common(a, b)) > 10:
-                shared += n
-    ratio = shared / total if total else 0.0
+def _overlap(units: list[str], least: int = 11) -> Iterator[tuple]:
+    """Pairs that share no run of `least` characters add nothing; only the others are measured."""
+    holders: dict[str, list[int]] = {}
+    for i, u in enumerate(units):
+        for gram in {u[k : k + least] for k in range(len(u) - least + 1)}:
+            holders.setdefault(gram, []).append(i)
+    pairs = {(a, b) for own in holders.values() if len(own) > 1 for k, a in enumerate(own) for b in own[k + 1 :]}
+    total = sum(map(len, units))
+    ratio = sum(longest_common(units[a], units[b], least) for a, b in pairs) / total if total else 0.0
     yield "", 1 - max(0.0, 1 - ratio / 0.2)
 
 

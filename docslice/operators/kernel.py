@@ -16,6 +16,19 @@ from docslice.runtime import arrow_rows
 SCHEMA = "chunk_index long, content string, size long"
 
 
+#: Bytes of input for each core below which rows are dealt to all cores first.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input (which may be a single row group, so a single task) over all cores. The shuffle is bounded by the
+    cores' number times SPREAD_BYTES; larger inputs have tasks enough and stay as they are. Results are the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    small = int(str(plan.stats().sizeInBytes())) < cores * SPREAD_BYTES
+    return df.repartition(cores) if small and "Repartition" not in plan.toString() else df
+
+
 def chunk_rows(df: DataFrame, chunks: Callable[..., Iterable], inputs: list[str], schema: str = "", key: str = "doc_id", most: int = 4000) -> DataFrame:
     """key, chunk_index, content, size and the columns of `schema` for each chunk of each row. chunks: takes the
     values of `inputs` and gives texts, or tuples of a text and the further columns."""
@@ -39,4 +52,4 @@ def chunk_rows(df: DataFrame, chunks: Callable[..., Iterable], inputs: list[str]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return arrow_rows(df.select(F.col(key), *inputs), rows, full)
+    return arrow_rows(spread(df.select(F.col(key), *inputs)), rows, full)

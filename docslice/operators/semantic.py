@@ -1,4 +1,4 @@
-"""Semantic chunking on sentences: features, similarity of neighbours, boundaries, and the chunks between them.
+"""Chunks by meaning, on sentences: features, similarity of neighbours, boundaries, and the chunks between them.
 
 Sentences stay rows (doc_id, i, sentence); neighbours come from windows over a document. TF-IDF is fitted on each
 document by itself, with smoothed inverse document frequencies and unit length.
@@ -136,12 +136,12 @@ def semantic_chunks(sentences: DataFrame, cuts: DataFrame, least: int = 2, most:
 
 
 def tfidf(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc, i, term, weight: unit-length TF-IDF of each sentence in its document."""
-    each = sentences.select(key, "i", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
-    tf = each.groupBy(key, "i", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(key, "term").agg(F.count("*").alias("df"))
-    n = sentences.groupBy(key).agg(F.count("*").alias("n"))
-    raw = tf.join(df, [key, "term"]).join(n, key).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    """doc, i, term, weight: unit-length TF-IDF of each sentence in its document. Sentences are dealt by document once;
+    counts, document frequencies and norms all come from that."""
+    whole = F.count("*").over(Window.partitionBy(key)).alias("n")
+    each = sentences.select(key, "i", "sentence", whole).select(key, "i", "n", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
+    tf = each.groupBy(key, "i", "n", "term").agg(F.count("*").alias("tf"))
+    raw = tf.withColumn("df", F.count("*").over(Window.partitionBy(key, "term"))).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, "i")))
     return raw.select(key, "i", "term", (F.col("w") / norm).alias("weight"))
 
@@ -172,40 +172,58 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 20) -> list[int]:
 
 
 def _ward(x: np.ndarray, k: int) -> list[int]:
-    """Agglomeration by the least growth of squared distances."""
-    groups = [[i] for i in range(len(x))]
-    mean, size = x.astype(float).copy(), np.ones(len(x))
-    while len(groups) > k:
-        d = ((mean[:, None] - mean[None]) ** 2).sum(2) * (size[:, None] * size[None] / (size[:, None] + size[None]))
-        np.fill_diagonal(d, np.inf)
-        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-        mean[i] = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        groups[i] += groups.pop(j)
-        mean, size = np.delete(mean, j, 0), np.delete(size, j)
-    label = [0] * len(x)
-    for g, members in enumerate(groups):
-        for m in members:
-            label[m] = g
-    return label
+    """Agglomeration by the least growth of squared distances. A chain of nearest neighbours finds all merges (two groups
+    that are each other's nearest can merge at once), with a row of distances at a time: memory is that of the vectors."""
+    n = len(x)
+    mean, size, alive, merges, chain = x.astype(float).copy(), np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        i = chain[-1]
+        d = ((mean - mean[i]) ** 2).sum(1) * (size * size[i] / (size + size[i]))
+        d[~alive] = np.inf
+        d[i] = np.inf
+        j = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            j = chain[-2]
+            del chain[-2:]
+            merges.append((float(d[j]), i, j))
+            mean[j] = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
+            size[j] += size[i]
+            alive[i] = False
+        else:
+            chain.append(j)
+    # the lowest merges give k groups; one that a group takes part in never lies below those that made it
+    parent = list(range(n))
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: n - k]:
+        parent[root(i)] = root(j)
+    return [root(v) for v in range(n)]
 
 
 def _dbscan(x: np.ndarray, eps: float, least: int) -> list[int]:
-    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
-    core, label, group = near.sum(1) >= least, [-1] * len(x), 0
-    for i in range(len(x)):
+    """Density clusters; distances are taken a block of rows, then a row, at a time."""
+    reach, n = eps * eps, len(x)
+    rows = max(1, (1 << 22) // max(1, x.size))
+    many = np.concatenate([(((x[a : a + rows, None] - x[None]) ** 2).sum(2) <= reach).sum(1) for a in range(0, n, rows)])
+    core, label, group = many >= least, np.full(n, -1), 0
+    for i in range(n):
         if label[i] >= 0 or not core[i]:
             continue
         queue = [i]
         label[i] = group
         while queue:
-            for q in np.flatnonzero(near[queue.pop()]).tolist():
-                if label[q] < 0:
-                    label[q] = group
-                    if core[q]:
-                        queue.append(q)
+            new = np.flatnonzero((((x - x[queue.pop()]) ** 2).sum(1) <= reach) & (label < 0))
+            label[new] = group
+            queue += new[core[new]].tolist()
         group += 1
-    return label
+    return label.tolist()
 
 
 def cluster_labels(vectors: list[list[float]], method: str, most: int) -> list[int]:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from docslice.functions import analyze
 from docslice.functions import text as T
 from docslice.operators import cdc, chunkops, closed, pack
-from docslice.plans.chunking import LINED, SPACE, STRIP, WORDS, _char_sql, blank_lined
+from docslice.plans.splits import LINED, SPACE, STRIP, WORDS, _char_sql, blank_lined
+from docslice.operators.kernel import spread
 from docslice.runtime import table
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +164,7 @@ _LANG = ", ".join(
     f"round(0.7 * (CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in analyze.COMMON[lang])}))) / len(w) ELSE 0 END) + 0.3 * (CASE WHEN length(h) > 0 THEN least(1.0, 1000 * len(regexp_extract_all(h, '{analyze.MARKS[lang]}')) / length(h) / 100) ELSE 0 END), 6) AS {lang}" for lang in analyze.COMMON
 )
 def _union() -> str:
-    from docslice.plans.chunking import ORACLE_SQL as O
+    from docslice.plans.splits import ORACLE_SQL as O
 
     return " UNION ALL ".join(f"SELECT '{name}' AS strategy, doc_id, size FROM ({sql})" for name, sql in (("fixed", _char_sql(500, 0)), ("words", O["q_word_windows"]), ("universal", O["q_univ_fixed"])))
 

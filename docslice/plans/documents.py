@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from docslice.functions import text as T
 from docslice.operators import code, markup, semantic, structured, vectors
-from docslice.plans.chunking import LINED, SENTENCES, SPACE, joined_sql
+from docslice.plans.splits import LINED, SENTENCES, SPACE, joined_sql
+from docslice.operators.kernel import spread
 from docslice.runtime import table
 
 ORDER_HEADER = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
@@ -53,7 +54,7 @@ def _line(x: Column, i: Column) -> Column:
 
 def markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with marks on some of their lines and blank lines between."""
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), _line), "\n\n").alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), _line), "\n\n").alias("text"))
 
 
 _MD = "(SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 7 = 0 THEN '# ' || x WHEN (i - 1) % 7 = 3 THEN '## ' || x WHEN (i - 1) % 7 = 5 THEN '- ' || x ELSE x END), chr(10) || chr(10)) AS text FROM documents)"
@@ -95,7 +96,7 @@ def selectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:

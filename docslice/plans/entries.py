@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docslice.plans import chunking, chunks, documents, extra, more
+from docslice.plans import chunks, documents, extra, more, splits
 
-MODULES = (chunking, chunks, documents, extra, more)
+MODULES = (splits, chunks, documents, extra, more)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

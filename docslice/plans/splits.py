@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docslice.operators import closed, pack
+from docslice.operators.kernel import spread
 from docslice.runtime import table
 
 CH = "doc_id, chunk_index, content, size"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def blank_lined(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 _SHIPPED: set[str] = set()
 #: Bytes of an Arrow batch for Python workers. Spark's own limit is 16 times that, held by both sides of each task.
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -40,17 +41,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a new one;
+    a cluster has no folder of its own that could serve, so that is an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docslice.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="docslice-")
         spark.conf.set("docslice.shared.dir", base)
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/docslice/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of this application."""
+    return f"{shared_dir(spark)}/docslice/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Results that were not written elsewhere are gone then."""
+    drop_path(spark, f"{shared_dir(spark)}/docslice/{spark.sparkContext.applicationId}")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -71,8 +80,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def arrow_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """df.mapInArrow(rows, schema) whose workers give the memory of past batches back. Arrow's pool keeps it otherwise,
-    in each worker, from its largest batch to the end of the application. Batches are of BATCH_BYTES at most (a session
-    setting; a longer row is a batch of its own)."""
+    in each worker, from its largest batch to the end of the application. Batches are of BATCH_BYTES at most (a longer
+    row is a batch of its own), unless the session has a limit of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = pa.default_memory_pool()
@@ -88,7 +97,8 @@ def arrow_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterato
         finally:
             pool.release_unused()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if df.sparkSession.conf.get(BATCH_SETTING, "1b") == "1b":  # Spark has no such limit for one frame
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

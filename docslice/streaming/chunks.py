@@ -1,4 +1,4 @@
-"""Incremental chunking with Structured Streaming.
+"""Chunks of growing texts with Structured Streaming.
 
 A source's text comes in pieces (source, seq, text). State is kept by source: what is not yet cut, the pieces that came
 out of order, and how many chunks and characters went out. Chunks are emitted as soon as no later text can change them;

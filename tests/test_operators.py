@@ -1,7 +1,9 @@
 """Kernels against slow versions of their rules, and edge cases."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,6 +66,142 @@ def test_cdc_rules(n):
     assert list(cdc.gear_cdc(data, 32, least=128, most=1024)) == slow_window(data, 128, 1024, 32, 0, lambda h, b: h ^ table[b], lambda h: 32 - (h & (1 << 22) - 1).bit_length() >= 13)
 
 
+def slow_state(data, step, cut, least, most, window):
+    """Byte by byte; the state starts anew after each cut."""
+    out, start, n = [], 0, len(data)
+    while start < n:
+        h, end = 0, min(start + most, n)
+        for p in range(start, end):
+            h = step(h, data[p], data[p - window] if p - start >= window else None)
+            if p - start + 1 >= least and cut(h, p - start + 1):
+                end = p + 1
+                break
+        out.append(end)
+        start = end
+    return out
+
+
+def slow_polynomial_step(window):
+    power = 1
+    for _ in range(window - 1):
+        power = power * 256 % cdc.M53
+        if power >= cdc.TOP:
+            power = (power ^ cdc.POLY) & cdc.M53
+
+    def step(h, b, out):
+        h = (h - (out * power if out is not None else 0)) % cdc.M53
+        h = (h * 256 + b) % cdc.M53
+        return (h ^ cdc.POLY) & cdc.M53 if h >= cdc.TOP else h
+
+    return step
+
+
+def slow_rabin_step(window):
+    degree = cdc.POLY.bit_length() - 1
+    full, table = (1 << degree) - 1, []
+    for i in range(256):
+        v = i << (degree - 8)
+        for _ in range(8):
+            v = (v << 1 ^ cdc.POLY if v >> (degree - 1) & 1 else v << 1) & full
+        table.append(v)
+    return lambda h, b, out: ((h ^ (table[out] << (window - 1) * 8 % degree & full if out is not None else 0)) << 8 ^ b) & full
+
+
+def slow_turn(v, by):
+    by %= 32
+    return (v << by | v >> (32 - by)) & 0xFFFFFFFF if by else v
+
+
+def slow_buzhash_step(window):
+    table = cdc.gear_table("draw").tolist()
+    return lambda h, b, out: slow_turn(h ^ (slow_turn(table[out], window) if out is not None else 0), 1) ^ table[b]
+
+
+def slow_fastcdc_rolling(data, kind, least, avg, most, bits):
+    out, start, n = [], 0, len(data)
+    while start < n:
+        if start + least >= n:
+            return [*out, n]
+        top = min(start + most, n)
+        h, end, second = 0, None, None
+        for p in range(start, min(start + 2 * avg, top)):
+            if p >= start + least:
+                if h % (1 << bits) == 0:
+                    end = p
+                    break
+                if second is None and p >= start + avg and h % (1 << bits - 1) == 0:
+                    second = p
+            h = (h * 256 + data[p]) % cdc.POLY if kind == "rabin" else slow_turn(h, 1) ^ data[p] * 0x9E3779B9 & 0xFFFFFFFF
+        out.append(end or second or top)
+        start = out[-1]
+    return out
+
+
+def slow_sum_rule(data, target, least, most):
+    out, start, n = [], 0, len(data)
+    window = min(32, (most - least) // 4)
+    while start < n:
+        if start + least >= n:
+            return [*out, n]
+        last = min(start + most, n)
+        first = max(start + least, start + target - target // 2)
+        end = next((p for p in range(first, last - window + 1) if sum(data[p : p + window]) % 256 == target % 256), None)
+        if end is None:
+            back = min(100, last - start - least)
+            space = next((p for p in range(last, last - back, -1) if p < n and data[p : p + 1] == b" "), -1)
+            end = space if space > start else last
+        out.append(end)
+        start = end
+    return out
+
+
+def slow_sha1_rule(data, least, most, mask, window):
+    out, start, n = [], 0, len(data)
+    while start < n:
+        end = min(start + most, n)
+        for p in range(start + least - 1, end):
+            if int(hashlib.sha1(data[p + 1 - window : p + 1]).hexdigest()[:8], 16) & mask == 0:
+                end = p + 1
+                break
+        out.append(end)
+        start = end
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(seed=st.integers(0, 2**32), n=st.sampled_from([0, 1, 47, 48, 49, 64, 65, 300, 3000, 20000]), letters=st.sampled_from([1, 3, 40, 256]), least=st.integers(80, 300), window=st.sampled_from([16, 48, 64]))
+def test_every_cdc_rule_byte_by_byte(seed, n, letters, least, window):
+    r = random.Random(seed)
+    data, most = bytes(r.randrange(letters) for _ in range(n)), least + 700
+    step = slow_polynomial_step(window)
+    assert list(cdc.rabin(data, window, 127, least, most)) == slow_state(data, step, lambda h, _: h & 127 == 0, least, most, window)
+    assert list(cdc.rabin(data, window, 31, 9, most)) == slow_state(data, step, lambda h, _: h & 31 == 0, 9, most, window)
+    assert list(cdc.tttd(data, window, 64, 256, least, 600, most)) == slow_state(data, step, lambda h, k: h % 256 == 0 or (h % 64 == 0 and k >= 300), least, most, window)
+    assert list(cdc.tttd(data, window, 60, 250, least, 600, most, (3, 7))) == slow_state(data, step, lambda h, k: h % 250 == 7 or (h % 60 == 3 and k >= 300), least, most, window)
+    step = slow_rabin_step(window)
+    assert list(cdc.rolling_rabin(data, window, least, 1 << 13, most)) == slow_state(data, step, lambda h, _: h % 128 == 0, least, most, window)
+    step = slow_buzhash_step(window)
+    assert list(cdc.buzhash(data, window, 127, least, most)) == slow_state(data, step, lambda h, _: h & 127 == 0, least, most, window)
+    assert list(cdc.buzhash(data, window, 0, 5, most, every=37)) == slow_state(data, step, lambda h, _: h % 37 == 0, 5, most, window)
+    for kind in ("rabin", "buzhash"):
+        assert list(cdc.fastcdc_rolling(data, kind, least, 400, most, 7)) == slow_fastcdc_rolling(data, kind, least, 400, most, 7)
+    assert list(cdc.universal_rolling(data, 512, least, most)) == slow_sum_rule(data, 512, least, most)
+
+
+@pytest.mark.parametrize("level", sorted(cdc.LEVELS))
+def test_every_level_byte_by_byte(level):
+    least, most, mask, kind = cdc.LEVELS[level]
+    r = random.Random(level)
+    data = bytes(r.randrange(256) for _ in range(min(3 * least + 5000, 300_000)))
+    if kind == "polynomial":
+        m = 10**9 + 7
+        want = slow_window(data, least, most, 48, 0, lambda h, b: (h * 256 + b) % m, lambda h: h & mask == 0)
+    else:
+        want = slow_sha1_rule(data, least, most, mask, 48)
+    assert list(cdc.ml_cdc(data, level)) == want and len(want) > 1
+    assert list(cdc.ml_cdc(data)) == list(cdc.ml_cdc(data, cdc.level_for(len(data))))
+
+
 @pytest.mark.parametrize("rule", [cdc.fastcdc, cdc.fastcdc_rolling, cdc.rolling_polynomial, cdc.rolling_rabin, cdc.buzhash, cdc.rabin, cdc.tttd, cdc.gear_cdc, cdc.ml_cdc, cdc.universal_rolling])
 @settings(max_examples=15, deadline=None)
 @given(data=st.binary(max_size=9000))
@@ -133,6 +271,54 @@ def test_duplicates_and_overlap():
     assert chunkops.longest_common("xxabcdyy", "zabcdz") == 4
 
 
+@settings(max_examples=60, deadline=None)
+@given(units=st.lists(st.text("ab ", max_size=40), max_size=6))
+def test_overlap_of_all_pairs(units):
+    def common(a, b):
+        return max((k for i in range(len(a)) for k in range(1, len(a) - i + 1) if a[i : i + k] in b), default=0)
+
+    shared = sum(n for i, a in enumerate(units) for b in units[i + 1 :] if (n := common(a, b)) > 10)
+    total = sum(map(len, units))
+    [(_, got)] = chunkops._overlap(units)
+    assert got == pytest.approx(min(1.0, (shared / total if total else 0) / 0.2))
+
+
+def slow_ward(x, k):
+    groups = [[i] for i in range(len(x))]
+    grow = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+    while len(groups) > k:
+        _, i, j = min((grow(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+def slow_density(x, eps, least):
+    near = [[j for j in range(len(x)) if ((x[i] - x[j]) ** 2).sum() <= eps * eps] for i in range(len(x))]
+    label, group = [-1] * len(x), 0
+    for i in range(len(x)):
+        if label[i] < 0 and len(near[i]) >= least:
+            queue = [i]
+            label[i] = group
+            while queue:
+                for j in near[queue.pop(0)]:
+                    if label[j] < 0:
+                        label[j] = group
+                        if len(near[j]) >= least:
+                            queue.append(j)
+            group += 1
+    return label
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_clusters_by_slow_rules(seed):
+    x = np.random.default_rng(seed).normal(size=(40, 3))
+    for k in (2, 5, 8):
+        label = semantic._ward(x, k)
+        assert {frozenset(i for i in range(40) if label[i] == g) for g in set(label)} == slow_ward(x, k)
+    for eps in (0.3, 0.6, 1.0):
+        assert semantic._dbscan(x, eps, 3) == slow_density(x, eps, 3)
+
+
 def test_clusters():
     v = [[0.0, 0], [0, 0.1], [5, 5], [5, 5.1], [9, 0], [9, 0.1]]
     for method in ("kmeans", "ward"):
