@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"\S+"
@@ -91,3 +96,56 @@ def plain_quotes(c: Column) -> Column:
 
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
+
+
+def sentences_by(c: Column, separators: str = ".!?。！？") -> Column:
+    """Split after each run of separators, with the white space and one quote that follow it."""
+    marks = "".join(f"\\{x}" for x in separators)
+    return kept(F.split(F.regexp_replace(c, rf"""([{marks}]+\s*["']?\s*)""", f"$1{CUT}"), CUT))
+
+
+def bare_words(c: Column) -> Column:
+    """Runs of letters, digits and underscores."""
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def truncated(c: Column, most: int) -> Column:
+    """The first `most` characters, to the last space among them if it lies in their last fifth."""
+    head = F.substring(c, 1, most)
+    last = most - F.locate(" ", F.reverse(head))
+    cut = (F.locate(" ", F.reverse(head)) > 0) & (last > 0.8 * most)
+    return F.when(F.length(c) <= most, c).when(cut, head.substr(F.lit(1), last)).otherwise(head)
+
+
+def without_comments(c: Column, family: str) -> Column:
+    """Without comments of the `hash` family (on lines without quotes) or the `slash` family (strings are not told apart)."""
+    if family == "hash":
+        return F.regexp_replace(c, r"""(?m)^([^"'#\n]*)#[^"'\n]*$""", "$1")
+    return F.regexp_replace(F.regexp_replace(c, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
+
+
+#: What tells a line that begins a function or a class, whatever the language.
+FUNCTION_WORDS = ("def ", "function ", "func ", "fn ", "sub ", "procedure ")
+CLASS_WORDS = ("class ", "interface ", "struct ", "type ", "enum ")
+
+
+def code_outline(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, line (from 1), kind, content of the lines that name a function or a class."""
+    each = df.select(key, F.posexplode(F.split(filled(F.col(text)), "\n")).alias("p", "l")).select(key, (F.col("p") + 1).cast("long").alias("line"), strip(F.col("l")).alias("content"))
+    has = lambda words: reduce(lambda a, b: a | b, (F.col("content").contains(w) for w in words))
+    return each.select(key, "line", F.when(has(FUNCTION_WORDS), "function").when(has(CLASS_WORDS), "class").alias("kind"), "content").filter(F.col("kind").isNotNull())
+
+
+def _nfkc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in b.column(1).to_pylist()], pa.string())], b.schema.names)
+
+
+def normalised(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key and text in NFKC (Spark has no function for it), its spaces, dashes and quotes plain."""
+    from docslice.runtime import arrow_rows
+
+    made = arrow_rows(df.select(F.col(key), F.col(text)), _nfkc, f"{key} {df.schema[key].dataType.simpleString()}, {text} string")
+    c = F.regexp_replace(F.col(text), "[\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000]", " ")
+    c = F.regexp_replace(F.regexp_replace(c, "[\u2010-\u2015]", "-"), "[\u2018\u2019]", "'")
+    return made.select(key, F.regexp_replace(c, "[\u201c\u201d]", '"').alias(text))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,29 +192,52 @@ class Elements(HTMLParser):
                 e.whole.append(data)
 
 
-def _tags(page: str | None, tags: tuple[str, ...], shortest: int) -> Iterator[tuple]:
-    for e in Elements(page).found:
+def xml_elements(page: str | None) -> list[Element]:
+    """Elements of an XML document in the order in which they begin, names without their spaces; none if it is not
+    well-formed."""
+    try:
+        root = ElementTree.fromstring(page or "")
+    except (ElementTree.ParseError, ValueError):
+        return []
+    out: list[Element] = []
+    stack = [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        own = [node.text or "", *(child.tail or "" for child in node)]
+        local = lambda name: name.rpartition("}")[2]
+        if isinstance(node.tag, str):
+            out.append(Element(local(node.tag), {local(k): v for k, v in node.attrib.items()}, depth, own, list(node.itertext())))
+        stack += [(child, depth + 1) for child in reversed(node)]
+    return out
+
+
+def elements(page: str | None, form: str) -> list[Element]:
+    return xml_elements(page) if form == "xml" else Elements(page).found
+
+
+def _tags(page: str | None, tags: tuple[str, ...], shortest: int, form: str = "html") -> Iterator[tuple]:
+    for e in elements(page, form):
         if e.tag in tags and len(t := e.text) >= shortest:
             yield t, e.tag
 
 
-def html_tags(df: DataFrame, tags: tuple[str, ...] = ("p", "h1", "li"), shortest: int = 50, html: str = "html", key: str = "page_id") -> DataFrame:
+def html_tags(df: DataFrame, tags: tuple[str, ...] = ("p", "h1", "li"), shortest: int = 50, html: str = "html", key: str = "page_id", form: str = "html") -> DataFrame:
     """Text of each element with one of the tags; nested ones repeat text."""
-    return chunk_rows(df, partial(_tags, tags=tags, shortest=shortest), [html], "tag string", key)
+    return chunk_rows(df, partial(_tags, form=form, tags=tags, shortest=shortest), [html], "tag string", key)
 
 
-def html_semantic(df: DataFrame, shortest: int = 50, html: str = "html", key: str = "page_id") -> DataFrame:
-    return html_tags(df, SEMANTIC, shortest, html, key)
+def html_semantic(df: DataFrame, shortest: int = 50, html: str = "html", key: str = "page_id", form: str = "html") -> DataFrame:
+    return html_tags(df, SEMANTIC, shortest, html, key, form)
 
 
-def _hierarchy(page: str | None, depth: int, shortest: int) -> Iterator[tuple]:
-    for e in Elements(page).found:
+def _hierarchy(page: str | None, depth: int, shortest: int, form: str = "html") -> Iterator[tuple]:
+    for e in elements(page, form):
         if e.depth <= depth and len(t := e.own_text) >= shortest:
             yield t, e.tag, e.depth
 
 
-def html_hierarchy(df: DataFrame, depth: int = 6, shortest: int = 20, html: str = "html", key: str = "page_id") -> DataFrame:
-    return chunk_rows(df, partial(_hierarchy, depth=depth, shortest=shortest), [html], "tag string, depth int", key)
+def html_hierarchy(df: DataFrame, depth: int = 6, shortest: int = 20, html: str = "html", key: str = "page_id", form: str = "html") -> DataFrame:
+    return chunk_rows(df, partial(_hierarchy, form=form, depth=depth, shortest=shortest), [html], "tag string, depth int", key)
 
 
 def _grouped(pairs: Iterator[tuple[str, str]], limit: int | None, shortest: int) -> Iterator[tuple]:
@@ -233,25 +257,25 @@ def _grouped(pairs: Iterator[tuple[str, str]], limit: int | None, shortest: int)
             yield now, name
 
 
-def _by_type(page: str | None, limit: int, shortest: int) -> Iterator[tuple]:
-    return _grouped(((e.tag, e.own_text) for e in Elements(page).found), limit, shortest)
+def _by_type(page: str | None, limit: int, shortest: int, form: str = "html") -> Iterator[tuple]:
+    return _grouped(((e.tag, e.own_text) for e in elements(page, form)), limit, shortest)
 
 
-def html_by_type(df: DataFrame, limit: int = 2000, shortest: int = 50, html: str = "html", key: str = "page_id") -> DataFrame:
-    return chunk_rows(df, partial(_by_type, limit=limit, shortest=shortest), [html], "tag string", key)
+def html_by_type(df: DataFrame, limit: int = 2000, shortest: int = 50, html: str = "html", key: str = "page_id", form: str = "html") -> DataFrame:
+    return chunk_rows(df, partial(_by_type, form=form, limit=limit, shortest=shortest), [html], "tag string", key)
 
 
-def _by_attribute(page: str | None, name: str, shortest: int) -> Iterator[tuple]:
-    return _grouped(((e.attributes[name], e.text) for e in Elements(page).found if e.attributes.get(name)), None, shortest)
+def _by_attribute(page: str | None, name: str, shortest: int, form: str = "html") -> Iterator[tuple]:
+    return _grouped(((e.attributes[name], e.text) for e in elements(page, form) if e.attributes.get(name)), None, shortest)
 
 
-def html_by_attribute(df: DataFrame, name: str = "class", shortest: int = 1, html: str = "html", key: str = "page_id") -> DataFrame:
-    return chunk_rows(df, partial(_by_attribute, name=name, shortest=shortest), [html], "value string", key)
+def html_by_attribute(df: DataFrame, name: str = "class", shortest: int = 1, html: str = "html", key: str = "page_id", form: str = "html") -> DataFrame:
+    return chunk_rows(df, partial(_by_attribute, form=form, name=name, shortest=shortest), [html], "value string", key)
 
 
-def _by_size(page: str | None, limit: int, overlap: int) -> Iterator[str]:
+def _by_size(page: str | None, limit: int, overlap: int, form: str = "html") -> Iterator[str]:
     now = ""
-    for e in Elements(page).found:
+    for e in elements(page, form):
         t = e.own_text
         if not t:
             continue
@@ -264,8 +288,8 @@ def _by_size(page: str | None, limit: int, overlap: int) -> Iterator[str]:
         yield now
 
 
-def html_by_size(df: DataFrame, limit: int = 1000, overlap: int = 0, html: str = "html", key: str = "page_id") -> DataFrame:
-    return chunk_rows(df, partial(_by_size, limit=limit, overlap=overlap), [html], key=key)
+def html_by_size(df: DataFrame, limit: int = 1000, overlap: int = 0, html: str = "html", key: str = "page_id", form: str = "html") -> DataFrame:
+    return chunk_rows(df, partial(_by_size, form=form, limit=limit, overlap=overlap), [html], key=key)
 
 
 def html_counts(df: DataFrame, html: str = "html") -> DataFrame:

@@ -251,42 +251,6 @@ def cluster_chunks(vectors: DataFrame, method: str = "kmeans", least: int = 2, m
     return chunk_rows(by, partial(_cluster_chunks, method=method, least=least, most=most), ["units", "vectors"], key=key)
 
 
-# discourse ---------------------------------------------------------------------------------------------------------
-
-MARKERS = {
-    "contrast": (r"\b(however|but|nevertheless|although|whereas|yet)\b", 0.8),
-    "addition": (r"\b(moreover|furthermore|also|besides|additionally)\b", 0.4),
-    "cause": (r"\b(therefore|thus|hence|consequently|because)\b", 0.6),
-    "sequence": (r"\b(first|second|third|next|then|finally)\b", 0.7),
-    "example": (r"\b(for example|for instance|such as|namely)\b", 0.3),
-    "conclusion": (r"\b(in conclusion|in summary|to sum up|overall)\b", 0.9),
-    "topic": (r"\b(regarding|concerning|turning to|as for)\b", 0.9),
-    "time": (r"\b(meanwhile|later|afterwards|before|during)\b", 0.5),
-    "emphasis": (r"\b(indeed|in fact|certainly|clearly)\b", 0.3),
-}
-
-
-def discourse(sentences: DataFrame, sensitivity: float = 1.0, key: str = "doc_id") -> DataFrame:
-    """doc, i, marker, score: the strongest marker of each sentence that has one."""
-    low = F.lower("sentence")
-    scores = []
-    for name, (pattern, weight) in MARKERS.items():
-        at = F.regexp_instr(low, F.lit(pattern))
-        value = weight * sensitivity * F.when(at - 1 < 0.2 * F.length(low), 1.2).otherwise(1.0) * F.when(F.col("i") == 0, 1.1).otherwise(1.0)
-        scores.append(F.when(at > 0, F.struct(F.round(F.least(F.lit(1.0), value), 6).alias("score"), F.lit(name).alias("marker"))))
-    best = F.array_max(F.array_compact(F.array(*scores)))
-    return sentences.select(key, "i", best.alias("b")).filter(F.col("b").isNotNull()).select(key, "i", "b.marker", "b.score")
-
-
-def discourse_score(sims: DataFrame, markers: DataFrame, threshold: float = 0.6, key: str = "doc_id") -> DataFrame:
-    """Boundaries after sentence i by dissimilarity, the next sentence's marker and the shift of topic around it."""
-    nxt = markers.select(key, (F.col("i") - 1).alias("i"), "score")
-    shift = 1 - F.avg("sim").over(order(key).rowsBetween(-1, 1))
-    out = sims.withColumn("shift", shift).join(nxt, [key, "i"], "left")
-    score = F.round((1 - F.col("sim")) * 0.3 + F.coalesce("score", F.lit(0.0)) * 0.3 + F.col("shift") * 0.4, 6)
-    return out.select(key, "i", score.alias("score")).filter(F.col("score") >= threshold)
-
-
 # context-enriched packing ------------------------------------------------------------------------------------------
 
 

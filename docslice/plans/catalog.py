@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docslice.functions import text as T
-from docslice.operators import cdc, chunkops, closed, markup, pack, plugins, semantic, structured
+from docslice.operators import cdc, chunkops, closed, discourse, markup, pack, plugins, semantic, structured
 
 Strategy = Callable[..., DataFrame]
 
@@ -25,9 +25,11 @@ def _context(df: DataFrame, **settings) -> DataFrame:
     return semantic.context_enriched(s, semantic.by_spread(semantic.consecutive(semantic.with_vectors(s))), **settings)
 
 
-def _discourse(df: DataFrame, **settings) -> DataFrame:
+def _discourse(df: DataFrame, least: float = 0.6, sensitivity: float = 0.7, **_) -> DataFrame:
     s = semantic.sentence_table(df)
-    return semantic.segments(s, semantic.discourse_score(semantic.consecutive(semantic.with_vectors(s)), semantic.discourse(s), **settings))
+    cuts = semantic.by_threshold(semantic.consecutive(semantic.with_vectors(s)))
+    found = discourse.boundaries(s, cuts, discourse.topic_shift(s), least=least, sensitivity=sensitivity)
+    return discourse.chunks(s, found, discourse.markers(s, sensitivity))
 
 
 def _clustered(df: DataFrame, method: str = "kmeans", **settings) -> DataFrame:
@@ -59,6 +61,8 @@ STRATEGIES: dict[str, tuple[Strategy, str, float, float]] = {
     "sentiment_groups": (plugins.sentiment_groups, "custom", 0.7, 0.5),
     "balanced_length": (plugins.balanced_length, "custom", 0.6, 0.7),
     "json": (structured.json_objects, "data", 0.9, 0.7),
+    "html": (partial(markup.html_semantic, html="text", key="doc_id"), "document", 0.5, 0.7),
+    "xml": (partial(markup.html_semantic, html="text", key="doc_id", form="xml"), "document", 0.5, 0.7),
     **{name: (partial(cdc.content_defined, rule=rule), "content_defined", 0.6, 0.5) for name, rule in (("fastcdc", cdc.fastcdc), ("rolling_hash", cdc.rolling_polynomial), ("rabin_fingerprinting", cdc.rabin), ("buzhash", cdc.buzhash), ("gear_cdc", cdc.gear_cdc), ("ml_cdc", cdc.ml_cdc), ("tttd", cdc.tttd), ("universal_rolling", cdc.universal_rolling))},
 }
 
@@ -77,6 +81,32 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, c, s, q) for k, (_, c, s, q) in STRATEGIES.items()], "strategy string, category string, speed double, quality double")
 
 
+#: Kinds of content, and the file endings, that a category of strategies takes.
+TAKES = {"general": (("text", "mixed"), ()), "text": (("text",), (".txt", ".md")), "document": (("text",), (".md", ".html", ".xml", ".docx", ".odt", ".rtf", ".pdf")), "data": (("text", "table"), (".json", ".jsonl", ".csv")), "content_defined": (("text", "mixed"), (".bin", ".zip")), "custom": (("text",), ())}
+
+
+def described(spark: SparkSession) -> DataFrame:
+    """The catalogue with complexity (low, medium, high by speed), modalities, endings and memory."""
+    rows = []
+    for name, (function, category, speed, quality) in STRATEGIES.items():
+        kinds, endings = TAKES.get(category, (("text",), ()))
+        about = (function.func if isinstance(function, partial) else function).__doc__ or ""
+        rows.append((name, category, speed, quality, "low" if speed >= 0.8 else "medium" if speed >= 0.5 else "high", list(kinds), list(endings), "a batch of rows" if category == "content_defined" else "a row", " ".join(about.split())))
+    return spark.createDataFrame(rows, "strategy string, category string, speed double, quality double, complexity string, modalities array<string>, endings array<string>, memory string, about string")
+
+
+def fitting(spark: SparkSession, category: str | None = None, modality: str | None = None, complexity: str | None = None) -> DataFrame:
+    """Strategies of a category, that take a modality, of a complexity, by name."""
+    out = described(spark)
+    if category is not None:
+        out = out.filter(F.col("category") == category)
+    if modality is not None:
+        out = out.filter(F.array_contains("modalities", modality))
+    if complexity is not None:
+        out = out.filter(F.col("complexity") == complexity)
+    return out.orderBy("strategy")
+
+
 def recommended(spark: SparkSession, priority: str = "balanced", most: int = 5) -> DataFrame:
     score = {"speed": F.col("speed"), "quality": F.col("quality"), "balanced": (F.col("speed") + F.col("quality")) / 2}[priority]
     return catalogue(spark).withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "strategy").limit(most)

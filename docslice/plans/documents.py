@@ -201,8 +201,6 @@ QUERIES = {
     "q_kmeans_boundaries": lambda s, sf: semantic.cluster_chunks(semantic.with_vectors(_sentences(s, sf))),
     "q_ward_boundaries": lambda s, sf: semantic.cluster_chunks(semantic.with_vectors(_sentences(s, sf)), "ward"),
     "q_dbscan_boundaries": lambda s, sf: semantic.cluster_chunks(semantic.with_vectors(_sentences(s, sf)), "dbscan"),
-    "q_discourse_markers": lambda s, sf: semantic.discourse(_sentences(s, sf)),
-    "q_discourse_score": lambda s, sf: semantic.discourse_score(_sims(s, sf), semantic.discourse(_sentences(s, sf))),
     "q_top_words": lambda s, sf: semantic.top_words(_docs(s, sf).select("doc_id", F.col("text").alias("content")), 20),
     "q_vector_norm": vector_norm,
     "q_vector_cosine_topk": vector_top_k,

@@ -11,7 +11,7 @@ from docslice.functions.analyze import encoding, modality, select_strategy
 
 
 def text_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """path, text: a row for each file, decoded by its mark or as UTF-8, else Latin-1."""
+    """path, text: a row for each file that is not empty, decoded by its mark or as UTF-8, else Latin-1."""
     files = binary_files(spark, path, glob, recursive)
     code = encoding(F.col("content"))
     text = F.when(code == "utf-8-sig", F.decode(F.substring("content", 4, 2**31 - 1), "UTF-8")).when(code == "utf-16", F.decode("content", "UTF-16")).when(code == "latin-1", F.decode("content", "ISO-8859-1")).otherwise(F.decode("content", "UTF-8"))

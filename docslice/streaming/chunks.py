@@ -105,14 +105,19 @@ def chunk_stream(pieces: DataFrame, cutter: Cutter) -> DataFrame:
     return grouped.applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need a time with a zone; one without is taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts by event type in tumbling windows of event time; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sliding_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", slide: str = "15 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def distinct_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
