@@ -37,9 +37,9 @@ STARTS: dict[str, list[tuple[str, re.Pattern]]] = {
 }
 LINES: dict[str, list[tuple[str, re.Pattern]]] = {
     "c": [("preprocessor", re.compile(r"^\s*#\s*(\w+)"))],
-    "javascript": [("import", re.compile(r"^\s*import\s+(.*)$")), ("export", re.compile(r"^\s*export\s+\{(.*)$"))],
+    "javascript": [("import", re.compile(r"^\s*import\s+(.*?);?\s*$")), ("export", re.compile(r"^\s*export\s+\{(.*)$"))],
     "go": [("package", re.compile(r"^package\s+(\w+)")), ("import", re.compile(r"^import\s+(\"[^\"]+\"|\w+)")), ("type", re.compile(r"^type\s+(\w+)\s+(?!struct\b|interface\b)\S"))],
-    "java": [("package", re.compile(r"^package\s+([\w.]+)")), ("import", re.compile(r"^import\s+([\w.*\s]+);")), ("field", re.compile(r"^\s+(?:private|public|protected|static|final|\s)*[\w<>\[\],]+\s+(\w+)\s*(?:=[^;(]*)?;"))],
+    "java": [("package", re.compile(r"^package\s+([\w.]+)")), ("import", re.compile(r"^import\s+([\w.*\s]+);")), ("field", re.compile(r"^\s+(?!return\b|throw\b|break\b|continue\b|assert\b|yield\b)(?:(?:private|public|protected|static|final|volatile|transient)\s+)*[\w<>\[\],.]+\s+(\w+)\s*(?:=[^;(]*)?;"))],
 }
 CONTROL = frozenset("if for while switch catch return else do try sizeof".split())
 QUIET = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)")
@@ -76,11 +76,13 @@ def python_elements(code: str) -> list[Found] | None:
 
 def brace_elements(code: str, language: str) -> list[Found]:
     """Elements that open a brace, members included, and one-line elements."""
-    lines = quiet(code).split("\n")
+    lines, whole = quiet(code).split("\n"), code.split("\n")
     out: list[Found] = []
     for i, line in enumerate(lines):
+        # names may hold strings, so these patterns see the line as it is, if what it begins with is code
+        begun = whole[i].split(maxsplit=1)[:1] == line.split(maxsplit=1)[:1]
         for kind, pattern in LINES[language]:
-            if m := pattern.match(line):
+            if begun and (m := pattern.match(whole[i])):
                 out.append((kind, m[1].strip(), i + 1, i + 1))
                 break
         else:
@@ -233,17 +235,57 @@ def code_indentation(df: DataFrame, max_lines: int = 50, text: str = "text", key
     return chunk_rows(df, partial(indented, most=max_lines), [text], key=key)
 
 
-HINTS = {
-    "python": r"(?m)^\s*(def|class)\s+\w+.*:\s*$|^\s*(from\s+\S+\s+)?import\s", "java": r"\bpublic\s+(static\s+)?(class|void|int|String)\b|\bSystem\.out\b", "go": r"(?m)^package\s+\w+|^func\s|:=",
-    "javascript": r"\b(const|let|var)\s+\w+\s*=|=>|\bfunction\s*\w*\(|\brequire\(", "c": r"(?m)^\s*#include|\bint\s+main\s*\(|->|::", "css": r"(?m)^[.#]?[\w-]+[^{;\n]*\{\s*$|:\s*[^;{]+;\s*$",
+#: File endings of the languages.
+ENDINGS: dict[str, tuple[str, ...]] = {
+    "python": (".py", ".pyx", ".pyi"), "javascript": (".js", ".jsx", ".ts", ".tsx"), "java": (".java",), "c_cpp": (".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".hxx"), "go": (".go",), "rust": (".rs",), "ruby": (".rb", ".rbw"),
+    "php": (".php", ".phtml", ".php3", ".php4", ".php5"), "csharp": (".cs",), "swift": (".swift",), "kotlin": (".kt", ".kts"), "scala": (".scala", ".sc"), "r": (".r", ".R"), "shell": (".sh", ".bash", ".zsh", ".fish"),
+    "perl": (".pl", ".pm"), "lua": (".lua",), "sql": (".sql",), "matlab": (".m",),
 }
-
-
-def guess_language(c: Column) -> Column:
-    """Language with the most hints; the first of equals."""
-    counts = {k: F.regexp_count(c, F.lit(p)) for k, p in HINTS.items()}
-    best = F.greatest(*counts.values())
-    return F.when(best == 0, "text").otherwise(F.coalesce(*(F.when(n == best, k) for k, n in counts.items())))
+#: What a text holds in each language; the first language with an entry all of whose words are there, and
+#: none of the words behind a minus.
+CONTENT: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = (
+    ("python", (("def ", ":", "-end"),)),
+    ("ruby", (("def ", "end"), ("class ", "@"))),
+    ("javascript", (("function ",), ("=>",), ("const ",))),
+    ("java", (("public class ",), ("import java.",), ("public static void main",))),
+    ("c_cpp", (("#include",), ("int main(",), ("using namespace",))),
+    ("go", (("func ", "package "),)),
+    ("rust", (("fn ", "use ", "mod "),)),
+    ("php", (("<?php",), ("function ", "$"))),
+    ("csharp", (("using System",), ("namespace ", "class "))),
+    ("swift", (("import Foundation",), ("func ", "var "))),
+    ("kotlin", (("fun ",), ("val ",), ("var ", "kotlin"))),
+    ("scala", (("def ", "object "), ("trait ",))),
+    ("r", (("function(",), ("<-", "library("))),
+    ("shell", (("#!/bin/bash",), ("#!/bin/sh",), ("echo ",))),
+    ("perl", (("sub ", "$", "@"),)),
+    ("lua", (("function ", "end", "local "),)),
+    ("sql", (("SELECT ",), ("CREATE TABLE",))),
+    ("matlab", (("function ", "=", "%"),)),
+)
+#: Languages whose words count in any case.
+ANY_CASE = {"sql": F.upper, "kotlin": F.lower}
+
+
+def guess_language(c: Column, path: Column | None = None) -> Column:
+    """Language by the ending of a path, else by what the text holds; `generic` if nothing tells."""
+
+    def holds(language: str, words: tuple[str, ...]) -> Column:
+        ok = F.lit(True)
+        for w in words:
+            changed = ANY_CASE[language](c) if language == "sql" or w == "kotlin" else c
+            ok &= ~c.contains(w[1:]) if w.startswith("-") else changed.contains(w)
+        return ok
+
+    found = F.lit("generic")
+    for language, ways in reversed(CONTENT):
+        for words in ways:
+            found = F.when(holds(language, words), language).otherwise(found)
+    if path is None:
+        return found
+    ending = F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1)
+    known = F.create_map(*(F.lit(x) for language, endings in ENDINGS.items() for e in endings for x in (e, language)))
+    return F.coalesce(F.element_at(known, ending), F.element_at(known, F.lower(ending)), found)
 
 
 def without_comments(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -331,11 +332,19 @@ def boundaries(text: str, form: str) -> list[tuple[int, int, str]]:
 
 def disjoint(spans: list[tuple[int, int, str]], shortest: int = 20, share: float = 0.3) -> list[tuple[int, int, str]]:
     """Spans by priority and place, less those that overlap one taken before by over `share` of the shorter."""
-    kept: list[tuple[int, int, str]] = []
+    kept: list[tuple[int, int, str]] = []  # by place; only those that begin before the end and reach the start can overlap
+    longest = 0
     for a, z, kind in sorted((s for s in spans if s[1] - s[0] >= shortest), key=lambda s: (PRIORITY.get(s[2], 10), s[0])):
-        if not any(min(z, y) - max(a, x) > share * min(z - a, y - x) for x, y, _ in kept):
-            kept.append((a, z, kind))
-    return sorted(kept)
+        i = bisect_left(kept, (z,))
+        while i and kept[i - 1][0] > a - longest:
+            x, y, _ = kept[i - 1]
+            if min(z, y) - max(a, x) > share * min(z - a, y - x):
+                break
+            i -= 1
+        else:
+            insort(kept, (a, z, kind))
+            longest = max(longest, z - a)
+    return kept
 
 
 def boundary_chunks(text: str | None, form: str, target: int, longest: int, shortest: int) -> Iterator[tuple]:

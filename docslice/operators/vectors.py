@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docslice.operators.semantic import dot
+from docslice.runtime import arrow_rows, materialise
 
 #: Query vectors of one block; a block is broadcast, so its size is bounded whatever the table's is.
 BLOCK = 4096
@@ -23,37 +24,46 @@ def normalised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return out.withColumn(column, F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n"))).otherwise(F.col("_v"))).drop("_v", "_n")
 
 
+def _nearest(ids: list, unit: np.ndarray, k: int, key: str):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, own_unit = shared.value
+        scores, names = np.full((len(own_ids), 0), 0.0), np.zeros((len(own_ids), 0), np.int64)
+        for b in batches:
+            if not b.num_rows or not len(own_ids):
+                continue
+            own = b.column(0).to_numpy()
+            x = _unit(b.column(1).flatten().to_numpy().astype(float).reshape(b.num_rows, -1))
+            s = own_unit @ x.T
+            s[np.array(own_ids)[:, None] == own[None]] = -np.inf
+            scores, names = np.concatenate([scores, s], 1), np.concatenate([names, np.broadcast_to(own, s.shape)], 1)
+            top = np.lexsort((names, -np.round(scores, 9)), axis=1)[:, :k]
+            scores, names = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
+        if scores.shape[1]:
+            n = scores.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(own_ids, np.int64), n)), pa.array(names.ravel()), pa.array(np.round(scores.ravel(), 9))], ["query_id", key, "cosine"])
+
+    from pyspark import SparkContext
+
+    shared = SparkContext.getOrCreate().broadcast((ids, unit))
+    return best, shared
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, vec_id, rank, cosine: exact nearest vectors of each query among all others. Queries go out in blocks
-    of BLOCK; a task keeps the k best of each query, so k rows a query and task are shuffled."""
-    spark = queries.sparkSession
-    q = [(r[0], r[1]) for r in queries.select(key, column).toLocalIterator()]
-    out = None
-    for a in range(0, max(1, len(q)), BLOCK):
-        some = spark.sparkContext.broadcast(([i for i, _ in q[a : a + BLOCK]], _unit(np.array([v for _, v in q[a : a + BLOCK]], float).reshape(len(q[a : a + BLOCK]), -1))))
-
-        def best(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            ids, unit = some.value
-            scores, names = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                own = b.column(0).to_numpy()
-                x = _unit(b.column(1).flatten().to_numpy().astype(float).reshape(b.num_rows, -1))
-                s = unit @ x.T
-                s[np.array(ids)[:, None] == own[None]] = -np.inf
-                scores, names = np.concatenate([scores, s], 1), np.concatenate([names, np.broadcast_to(own, s.shape)], 1)
-                top = np.lexsort((names, -np.round(scores, 9)), axis=1)[:, :k]
-                scores, names = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
-            if scores.shape[1]:
-                n = scores.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(names.ravel()), pa.array(np.round(scores.ravel(), 9))], ["query_id", key, "cosine"])
-
-        part = vectors.select(F.col(key).cast("long"), F.col(column).cast("array<double>")).mapInArrow(best, f"query_id long, {key} long, cosine double")
+    """query_id, vec_id, rank, cosine: exact nearest vectors of each query among all others. Queries go out in blocks of
+    about BLOCK, one after another: the driver and each broadcast hold one block, whatever the number of queries; a task
+    keeps the k best of each query, so k rows a query and task are shuffled."""
+    n = max(1, -(-queries.count() // BLOCK))
+    w, out = Window.partitionBy("query_id").orderBy(F.desc("cosine"), key), None
+    for b in range(n):
+        q = [(r[0], r[1]) for r in queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(key, column).collect()]
+        best, shared = _nearest([i for i, _ in q], _unit(np.array([v for _, v in q], float).reshape(len(q), -1)), k, key)
+        part = arrow_rows(vectors.select(F.col(key).cast("long"), F.col(column).cast("array<double>")), best, f"query_id long, {key} long, cosine double")
+        part = part.filter(F.col("cosine") >= -1.5).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+        if n > 1:
+            part = materialise(part, "top-k")
+            shared.destroy()
         out = part if out is None else out.unionAll(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), key)
-    ranked = out.filter(F.col("cosine") >= -1.5).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", key, "rank", F.round("cosine", 6).alias("cosine"))
+    return out.select("query_id", key, "rank", F.round("cosine", 6).alias("cosine"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

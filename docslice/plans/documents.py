@@ -89,6 +89,15 @@ def _brace(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def guessed(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of all templates by their text, and of made-up paths."""
+    out = None
+    for name, template in {"python": PYTHON, "css": CSS, **BRACES}.items():
+        some = code_text(template)(spark, sf).select("doc_id", F.lit(name).alias("template"), code.guess_language(F.col("text")).alias("language"), code.guess_language(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit("a/b.RS")).otherwise(F.lit("x"))).alias("by_path"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 def selectors(spark: SparkSession, sf: str) -> DataFrame:
     rules = code.code(code_text(CSS)(spark, sf), "css", ("rule",))
     n = lambda p: T.count(F.col("name"), p)
@@ -155,7 +164,7 @@ QUERIES = {
     "q_csv_groups": lambda s, sf: structured.csv_groups(order_rows(s, sf), ORDER_HEADER, "o_orderstatus"),
     "q_csv_memory": lambda s, sf: structured.csv_memory(order_rows(s, sf), ORDER_HEADER, 64),
     "q_csv_header_sections": lambda s, sf: structured.csv_sections(order_rows(s, sf).withColumn("cells", F.when(F.col("place") % 3 == 0, F.transform("cells", lambda x: F.concat(F.lit("X"), F.upper(x)))).otherwise(F.col("cells"))), ORDER_HEADER),
-    "q_csv_parse": lambda s, sf: structured.parse_csv(csv_text(s, sf)),
+    "q_csv_parse": lambda s, sf: structured.parse_csv(csv_text(s, sf)).select("doc_id", "place", F.array_join("cells", "^").alias("cells")),
     "q_json_objects": lambda s, sf: structured.json_objects(event_json(s, sf), 5),
     "q_json_key_groups": lambda s, sf: structured.json_key_groups(event_json(s, sf), "kind"),
     "q_json_array": lambda s, sf: structured.json_arrays(nested_json(s, sf), 10),
@@ -183,7 +192,7 @@ QUERIES = {
     "q_css_selectors": selectors,
     "q_code_lines": lambda s, sf: code.code_lines(code_text(PYTHON)(s, sf), 4),
     "q_code_indentation": lambda s, sf: code.code_indentation(code_text(PYTHON)(s, sf), 6),
-    "q_code_language": lambda s, sf: code_text(BRACES["go"])(s, sf).select("doc_id", code.guess_language(F.col("text")).alias("language")),
+    "q_code_language": guessed,
     "q_surface_features": _vectors(semantic.surface_features),
     "q_word_features": _vectors(semantic.word_features),
     "q_consecutive_similarity": lambda s, sf: _sims(s, sf).select("doc_id", "i", F.round("sim", 6).alias("sim")),

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docslice.operators import adapt, cdc, chunkops, closed, code, markup, pack, semantic, structured
+from docslice.operators import adapt, cdc, chunkops, closed, code, markup, pack, semantic, structured, vectors
 from docslice.plans import catalog
 from docslice.streaming import chunks as streams
 
@@ -283,6 +283,59 @@ def test_overlap_of_all_pairs(units):
     assert got == pytest.approx(min(1.0, (shared / total if total else 0) / 0.2))
 
 
+@settings(max_examples=200, deadline=None)
+@given(spans=st.lists(st.tuples(st.integers(0, 300), st.integers(1, 120), st.sampled_from(["header", "list", "paragraph", "other"])), max_size=25))
+def test_disjoint_spans_of_all_pairs(spans):
+    spans = [(a, a + n, kind) for a, n, kind in spans]
+    kept = []
+    for a, z, kind in sorted((s for s in spans if s[1] - s[0] >= 20), key=lambda s: (markup.PRIORITY.get(s[2], 10), s[0])):
+        if not any(min(z, y) - max(a, x) > 0.3 * min(z - a, y - x) for x, y, _ in kept):
+            kept.append((a, z, kind))
+    assert markup.disjoint(spans) == sorted(kept)
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    v = r.normal(size=(60, 5))
+    frame = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    got = {(x["query_id"], x["rank"]): x["vec_id"] for x in vectors.top_k(frame.filter("vec_id % 3 = 0"), frame, 4).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 60, 3):
+        order = [int(i) for i in np.argsort(-(u @ u[q]), kind="stable") if i != q][:4]
+        want |= {(q, k + 1): i for k, i in enumerate(order)}
+    assert got == want
+
+
+def test_byte_pieces(spark):
+    """A piece is its longest beginning that is whole characters."""
+    text = "aé漢😀" * 40
+    got = [r["content"] for r in closed.fixed_size(spark.createDataFrame([(1, text)], "doc_id long, text string"), 7, 2, unit="byte").orderBy("chunk_index").collect()]
+    data = text.encode()
+
+    def longest(piece):
+        for n in range(len(piece), 0, -1):
+            try:
+                return piece[:n].decode()
+            except UnicodeDecodeError:
+                pass
+        return ""
+
+    assert got == [longest(data[max(0, p - 2) : p + 7]) for p in range(0, len(data), 7)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(units=st.lists(st.lists(st.sampled_from("abcdefg"), max_size=9).map(" ".join), max_size=12), threshold=st.sampled_from([0.5, 0.8, 1.0]))
+def test_similar_units_of_all_pairs(units, threshold):
+    kept = []
+    for u in units:
+        s = set(u.split())
+        if not any(s and t and len(s & t) >= threshold * len(s | t) for _, t in kept):
+            kept.append((u, s))
+    assert list(chunkops.distinct_units(units, threshold)) == [u for u, _ in kept]
+
+
 def slow_ward(x, k):
     groups = [[i] for i in range(len(x))]
     grow = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
