@@ -5,8 +5,9 @@ runs on the driver, so its input must be bounded: a group larger than 1/2**14 of
 can be 2**14 of these at most); all other groups are first bundled by hash into 2**14 bundles. The rule is the same
 at every size, and with fewer groups than bundles it is plain LPT but for groups that share a bundle.
 
-Slots are dealt without a sort of a whole shard: an item's rows fall into cells of at most about 1/2**14 of all rows,
-the driver lays the cells of each shard end to end, and a row's slot is its cell's start plus its rank in the cell.
+Slots are dealt without a sort of a whole shard: an item's rows fall into cells of at most about 1/2**14 of all rows
+(by a hash of the row itself, so that null or repeated ids and equal texts are parted as well), the driver lays the
+cells of each shard end to end, and a row's slot is its cell's start plus its rank in the cell.
 
 Defined cases: a null text has size 8 (no bytes) and forms its own group, apart from the empty text; its crc32 is
 that of no bytes, 0. Repeated rows are kept and stay together. An empty table gives an empty result. Extra columns are
@@ -48,6 +49,7 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str = "
             (F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 8).alias("size"),
             F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
             F.when(body.isNull(), F.lit(-1)).otherwise(F.xxhash64(body)).alias("group"),
+            F.monotonically_increasing_id().alias("row"),  # holds once it is written
         ),
         "shard-base",
     )
@@ -69,7 +71,7 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str = "
     parts = {tuple(r["item"]): max(1, -(-r["rows"] * BUNDLES // max(all_rows, 1)) if r["rows"] > 64 else 1) for r in items}
     plan = spark.createDataFrame([(k, i, placed[(k, i)], parts[(k, i)]) for k, i in placed], "kind int, key long, shard int, parts long")
     rows = keyed(base).withColumns({"kind": F.col("item.kind"), "key": F.col("item.key")}).join(F.broadcast(plan), ["kind", "key"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("doc_id", "size", "text_crc32", "shard", "kind", "key", "part")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.col("parts"))).select("doc_id", "size", "text_crc32", "shard", "kind", "key", "part")
     cells = rows.groupBy("shard", "kind", "key", "part").agg(F.count("*").alias("n")).collect()  # at most 3 * BUNDLES
     start, at = [], [0] * shards
     for r in sorted(cells, key=tuple):
