@@ -48,19 +48,22 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 
 class Words:
-    """Hashes of words and of their stems, kept for the words met last."""
+    """Hashes of words and of their stems, kept for the words met last; with weights also which words bear any, by
+    themselves, by a stem, or by a stem that comes often."""
 
     ROOM = 150_000
 
-    def __init__(self):
+    def __init__(self, weights: np.ndarray | None = None):
+        self.bears = None if weights is None else weights != 0
         self._reset()
 
     def _reset(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.hashes = np.zeros((1 + len(STEMS), 0), np.uint64)
+        self.marked = np.zeros(0, bool)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """A row of hashes for the words, and one for each length of stem."""
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words, the columns of `hashes`."""
         if len(self.numbers) > self.ROOM:
             self._reset()
         get = self.numbers.get
@@ -70,11 +73,16 @@ class Words:
             missed = [words[j] for j in gaps]
             new, n = list(dict.fromkeys(missed)), len(self.numbers)
             self.numbers.update(zip(new, range(n, n + len(new)), strict=True))
-            made = [[xxhash.xxh64_intdigest(w) for w in new], *([xxhash.xxh64_intdigest(w[:k], k) for w in new] for k in STEMS)]
-            self.hashes = np.concatenate([self.hashes, np.array(made, np.uint64)], axis=1)
+            made = np.array([[xxhash.xxh64_intdigest(w) for w in new], *([xxhash.xxh64_intdigest(w[:k], k) for w in new] for k in STEMS)], np.uint64)
+            self.hashes = np.concatenate([self.hashes, made], axis=1)
+            if self.bears is not None:
+                marked = self.bears[(made >> _SHIFT).astype(np.int64)].any(0)
+                for k in TIMES:
+                    marked |= self.bears[((made[1:] + np.uint64(k)) * _C >> _SHIFT).astype(np.int64)].any(0)
+                self.marked = np.concatenate([self.marked, marked])
             for j, i in zip(gaps, map(get, missed), strict=True):
                 idx[j] = i
-        return self.hashes[:, np.array(idx, np.int64)]
+        return np.array(idx, np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -82,22 +90,30 @@ def _words() -> Words:
     return Words()
 
 
-def features(text: bytes) -> np.ndarray:
-    """Coordinates of a text's features, repeats included."""
-    words = text.translate(_KEEP).split()
-    if not words:
-        return np.zeros(0, np.int32)
-    h = _words().of(words)
-    one = h[0]
-    pair = (one[:-1] * _A + one[1:]) * _B
-    skip = (one[:-2] * _C + one[2:]) * _A
+def _alone(h: np.ndarray) -> list[np.ndarray]:
+    """Hashed features of words by themselves and by their stems."""
     often = []
     for stem in h[1:]:
         stem = np.sort(stem)
         for n in TIMES:
             some = stem[: max(0, len(stem) - n + 1)]
             often.append((some[some == stem[n - 1 :]] + np.uint64(n)) * _C)
-    return (np.concatenate([h.ravel(), pair, skip, *often]) >> _SHIFT).astype(np.int32)
+    return [h.ravel(), *often]
+
+
+def _together(one: np.ndarray) -> list[np.ndarray]:
+    return [(one[:-1] * _A + one[1:]) * _B, (one[:-2] * _C + one[2:]) * _A]
+
+
+def features(text: bytes) -> np.ndarray:
+    """Coordinates of a text's features, repeats included."""
+    words = text.translate(_KEEP).split()
+    if not words:
+        return np.zeros(0, np.int32)
+    own = _words()
+    at = own.numbered(words)
+    h = own.hashes[:, at]
+    return (np.concatenate([*_alone(h), *_together(h[0])]) >> _SHIFT).astype(np.int32)
 
 
 def sigmoid(x: float) -> float:
@@ -130,13 +146,26 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[float
     return bias + shift, at, w[at]
 
 
+class Scorer:
+    """Scores of texts by one model. Words that bear no weight are left out but for their pairs: the score is the same."""
+
+    def __init__(self, bias: float, weights: np.ndarray):
+        self.bias, self.weights, self.words = bias, weights, Words(weights)
+
+    def score(self, text: bytes) -> float:
+        words = text.translate(_KEEP).split()
+        if not words:
+            return sigmoid(self.bias)
+        idx = self.words.numbered(words)
+        some = self.words.hashes[:, idx[self.words.marked[idx]]]
+        at = (np.concatenate([*_alone(some), *_together(self.words.hashes[0, idx])]) >> _SHIFT).astype(np.int32)
+        at = at[self.words.bears[at]]
+        return sigmoid(self.bias + float(self.weights[np.unique(at)].sum()))
+
+
 def score_texts(texts: Iterable[bytes], bias: float, weights: np.ndarray) -> list[float]:
-    out = []
-    for t in texts:
-        at = features(t)
-        at = at[weights[at] != 0]
-        out.append(sigmoid(bias + float(weights[np.unique(at)].sum())))
-    return out
+    scorer = Scorer(bias, weights)
+    return [scorer.score(t) for t in texts]
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -182,9 +211,9 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, weights = shared.value
+        scorer = Scorer(*shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts((t.as_py() or b"" for t in b.column(1)), bias, weights), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py() or b"") for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
     found = arrow_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")), rows, f"doc_id {kind}, score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -196,9 +225,9 @@ def reject_toxic(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, weights = shared.value
+        scorer = Scorer(*shared.value)
         for b in batches:
-            s = score_texts((t.as_py() or b"" for t in b.column(at).cast(pa.binary())), bias, weights)
+            s = [scorer.score(t.as_py() or b"") for t in b.column(at).cast(pa.binary())]
             yield b.filter(pa.array(np.array(s) < 0.5))
 
     return arrow_rows(docs, rows, docs.schema)

@@ -144,6 +144,18 @@ def test_fit_is_the_plain_loop():
     assert w.tolist() == pytest.approx([want[i] for i in at.tolist()])
 
 
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["ab", "abc", "abcd", "abcdefgh", "abcdefxy", "Zz", "é", "x1"]), max_size=30).map(" ".join), max_size=5), seed=st.integers(0, 99))
+def test_scores_are_sums_of_all_features(texts, seed):
+    r = np.random.default_rng(seed)
+    weights = np.zeros(1 << toxicity.BITS)
+    every = np.unique(np.concatenate([np.zeros(0, np.int32), *(toxicity.features(t.encode()) for t in texts)]))
+    some = every[r.random(len(every)) < 0.2]
+    weights[some] = r.normal(size=len(some))
+    want = [1 / (1 + math.exp(-(-1 + sum(weights[i] for i in set(toxicity.features(t.encode()).tolist()))))) for t in texts]
+    assert toxicity.score_texts([t.encode() for t in texts], -1.0, weights) == pytest.approx(want)
+
+
 def test_toxicity(spark, sf, docs, odd, none):
     rows = {r["doc_id"]: r for r in toxicity.op6_toxicity(spark, sf).collect()}
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows.values())
