@@ -59,8 +59,8 @@ class Words:
 
     def _reset(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.hashes = np.zeros((1 + len(STEMS), 0), np.uint64)
-        self.marked = np.zeros(0, bool)
+        self.hashes = np.zeros((1 + len(STEMS), 1024), np.uint64)  # room for words, doubled as they come
+        self.marked = np.zeros(1024, bool)
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         """Numbers of words, the columns of `hashes`."""
@@ -74,12 +74,15 @@ class Words:
             new, n = list(dict.fromkeys(missed)), len(self.numbers)
             self.numbers.update(zip(new, range(n, n + len(new)), strict=True))
             made = np.array([[xxhash.xxh64_intdigest(w) for w in new], *([xxhash.xxh64_intdigest(w[:k], k) for w in new] for k in STEMS)], np.uint64)
-            self.hashes = np.concatenate([self.hashes, made], axis=1)
+            while n + len(new) > len(self.marked):
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
+                self.marked = np.concatenate([self.marked, np.zeros_like(self.marked)])
+            self.hashes[:, n : n + len(new)] = made
             if self.bears is not None:
                 marked = self.bears[(made >> _SHIFT).astype(np.int64)].any(0)
                 for k in TIMES:
                     marked |= self.bears[((made[1:] + np.uint64(k)) * _C >> _SHIFT).astype(np.int64)].any(0)
-                self.marked = np.concatenate([self.marked, marked])
+                self.marked[n : n + len(new)] = marked
             for j, i in zip(gaps, map(get, missed), strict=True):
                 idx[j] = i
         return np.array(idx, np.int64)
