@@ -50,8 +50,7 @@ ADVICE = {
 
 
 def _member(words: Column, of: tuple[str, ...]) -> Column:
-    known = F.array(*(F.lit(x) for x in of))
-    return F.size(F.filter(words, lambda x: F.array_contains(known, x)))
+    return F.size(F.filter(words, lambda x: x.isin(*of)))
 
 
 def scores(docs: DataFrame, sample: int = 1000, text: str = "text", key: str = "doc_id") -> DataFrame:
