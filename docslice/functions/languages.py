@@ -53,26 +53,36 @@ def _member(words: Column, of: tuple[str, ...]) -> Column:
     return F.size(F.filter(words, lambda x: x.isin(*of)))
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """df with its columns computed once for each row: projections above a generator are not folded into those below,
+    which would compute a column anew wherever it is used."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def scores(docs: DataFrame, sample: int = 1000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and a score for each language, on the first `sample` characters: .7 of the share of common words and .3 of
     the marks for each thousand characters, 1 at most."""
     head = F.lower(F.substring(T.filled(F.col(text)), 1, sample))
-    own = docs.select(key, F.col(text).alias("_text"), head.alias("h"), F.regexp_extract_all(head, F.lit(WORDS), F.lit(0)).alias("w"))
+    own = docs.select(key, F.col(text).alias("_text"), head.alias("h"), F.regexp_extract_all(head, F.lit(WORDS), F.lit(0)).alias("all"))
+    # only words of some list are looked for in each of them
+    known = sorted({x for table in (COMMON, MARKS) for own_words in table.values() for x in own_words})
+    own = _staged(own).select(key, "_text", "h", F.size("all").alias("n"), F.filter("all", lambda x: x.isin(*known)).alias("w"))
+    own = _staged(own)
     out = []
     for lang in COMMON:
-        share = _member(F.col("w"), COMMON[lang]) / F.size("w")
+        share = _member(F.col("w"), COMMON[lang]) / F.col("n")
         if lang in UNSPACED:
             marks = sum((F.length("h") - F.length(F.replace(F.col("h"), F.lit(m), F.lit(""))) for m in MARKS[lang]), F.lit(0))
         else:
             marks = _member(F.col("w"), MARKS[lang])
         value = 0.7 * share + 0.3 * F.least(F.lit(1.0), marks / F.length("h") * 1000)
-        out.append(F.round(F.when(F.size("w") > 0, value).otherwise(0.0), 6).alias(lang))
+        out.append(F.round(F.when(F.col("n") > 0, value).otherwise(0.0), 6).alias(lang))
     return own.select(key, "_text", *out)
 
 
 def script_names(c: Column) -> Column:
     """Scripts of at least 5 % of the characters that are of a known script, in their fixed order."""
-    counts = {k: F.regexp_count(c, F.lit(f"[{a}-{z}]")) for k, (a, z, _) in SCRIPTS.items()}
+    counts = {k: F.length(F.regexp_replace(c, f"[^{a}-{z}]+", "")) for k, (a, z, _) in SCRIPTS.items()}
     total = sum(counts.values(), F.lit(0))
     return F.array_compact(F.array(*(F.when((total > 0) & (n >= 0.05 * total), F.lit(k)) for k, n in counts.items())))
 
@@ -80,12 +90,12 @@ def script_names(c: Column) -> Column:
 def detect(docs: DataFrame, sample: int = 1000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, language, confidence, scripts, top (the three best, best first). Without words that tell, the first script
     decides, at confidence .3."""
-    own = scores(docs, sample, text, key).withColumn("scripts", script_names(T.filled(F.col("_text"))))
+    own = _staged(scores(docs, sample, text, key)).withColumn("scripts", script_names(T.filled(F.col("_text"))))
     ranked = F.array_sort(F.array(*(F.struct((-F.col(k)).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(COMMON))))
     ranked = F.filter(ranked, lambda x: x["s"] < 0)
     by_script = F.element_at(F.create_map(*(F.lit(x) for k, (_, _, lang) in SCRIPTS.items() for x in (k, lang))), F.try_element_at("scripts", F.lit(1)))
     blank = ~F.coalesce(F.col("_text").rlike(r"\S"), F.lit(False))
-    found = own.withColumn("r", F.when(blank, F.lit(None)).otherwise(ranked))
+    found = _staged(own.withColumn("r", F.when(blank, F.lit(None)).otherwise(ranked)))
     told = F.size("r") > 0
     script = F.when(blank, F.array().cast("array<string>")).otherwise(F.col("scripts"))
     return found.select(

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from docslice.functions import text as T
 from docslice.functions import tokens
-from docslice.operators import closed, discourse, markup, model, pdf, windows
+from docslice.operators import closed, discourse, markup, model, pdf, semantic, windows
 from docslice.plans import catalog
 from docslice.plans.documents import _CUT, _S, _docs, _sentences, _sims, code_text
 from docslice.plans.splits import SPACE, STRIP, _char_sql
-from docslice.operators import semantic
 from docslice.runtime import scratch, table
 from docslice.sources import files
 from docslice.streaming import chunks as streams
@@ -34,7 +33,7 @@ def shifts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cuts(spark: SparkSession, sf: str) -> DataFrame:
-    return semantic.by_threshold(_sims(spark, sf)).join(_sims(spark, sf).select("doc_id", "i", F.round("sim", 6).alias("s")), ["doc_id", "i"]).select("doc_id", "i", F.col("s").alias("sim"))
+    return semantic.by_threshold(_sims(spark, sf)).select("doc_id", "i", F.round("sim", 6).alias("sim"))
 
 
 def breaks(spark: SparkSession, sf: str) -> DataFrame:
