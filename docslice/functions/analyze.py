@@ -113,6 +113,35 @@ def encoding(content: Column) -> Column:
     return F.when(h.startswith("EFBBBF"), "utf-8-sig").when(h.startswith("FFFE0000") | h.startswith("0000FEFF"), "utf-32").when(h.startswith("FFFE") | h.startswith("FEFF"), "utf-16").when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("latin-1")
 
 
+#: Marks at the beginning of a text, the first that fits counts; and encodings that are tried in turn.
+BOMS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"))
+TRIED = ("utf-8", "utf-16", "utf-32", "ascii", "latin1", "cp1252", "iso-8859-1", "iso-8859-15")
+
+
+def _encodings(batches: Iterator[pa.RecordBatch], sample: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for c in b.column(1):
+            data = (c.as_py() or b"")[:sample]
+            found = ("utf-8", 1.0, "empty") if not data else next(((name, 1.0, "mark") for mark, name in BOMS if data.startswith(mark)), None)
+            for name in TRIED if found is None else ():
+                try:
+                    data.decode(name)
+                except UnicodeDecodeError:
+                    continue
+                found = (name, 0.9 if name == "utf-8" else 0.7, "trial")
+                break
+            out.append(found or ("utf-8", 0.5, "fallback"))
+        name, confidence, method = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.string()), pa.array(confidence, pa.float64()), pa.array(method, pa.string())], [b.schema.names[0], "encoding", "confidence", "method"])
+
+
+def detect_encoding(files: DataFrame, sample: int = 8192, content: str = "content", key: str = "path") -> DataFrame:
+    """key, encoding, confidence, method: by a mark, else the first of TRIED that decodes the first `sample` bytes. (Most
+    bytes of an even number decode as UTF-16; `encoding` is the rule that reading files uses.)"""
+    return arrow_rows(files.select(key, content), lambda batches: _encodings(batches, sample), f"{key} {files.schema[key].dataType.simpleString()}, encoding string, confidence double, method string")
+
+
 #: Strategy and size limit (bytes) by file ending; the last entry of an ending counts.
 BY_EXTENSION = {
     ".txt": "sentence_based", ".md": "markdown", ".markdown": "markdown", ".rst": "paragraph_based", ".log": "fixed_size", ".csv": "csv", ".tsv": "csv", ".json": "json", ".jsonl": "json", ".html": "markup",

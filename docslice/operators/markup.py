@@ -58,6 +58,19 @@ def markdown_headers(df: DataFrame, level: int = 2, shortest: int = 50, longest:
     return chunk_rows(df, partial(by_headers, level=level, shortest=shortest, longest=longest), [text], "title string, level int", key)
 
 
+def frontmatter(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, raw (what stands between the first two lines of dashes; null without), fields (its `name: value` lines as a
+    JSON object, names sorted, quotes taken off), body (the rest)."""
+    c = T.filled(F.col(text))
+    has = c.rlike(r"\A---\s*\n(?s:.*?)\n---\s*\n")
+    raw = F.when(has, F.regexp_extract(c, r"\A---\s*\n((?s:.*?))\n---\s*\n", 1))
+    pairs = F.transform(F.filter(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: x.rlike(r"^[\w.-]+:\s*\S")), lambda x: F.struct(F.regexp_extract(x, r"^([\w.-]+):", 1).alias("name"), F.regexp_replace(F.regexp_extract(x, r"^[\w.-]+:\s*(.*?)\s*$", 1), r"^[\"'](.*)[\"']$", "$1").alias("value")))
+    # a name that stands twice counts where it stands last
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda y: y["name"] == x["name"]))
+    fields = F.to_json(F.map_from_entries(F.array_sort(last)))
+    return df.select(key, raw.alias("raw"), F.when(has, fields).alias("fields"), F.when(has, F.regexp_replace(c, r"\A---\s*\n(?s:.*?)\n---\s*\n", "")).otherwise(c).alias("body"))
+
+
 def sections_of(text: str) -> list[str]:
     out: list[list[str]] = []
     for p in (x.strip() for x in text.split("\n\n")):

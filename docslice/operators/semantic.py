@@ -135,12 +135,22 @@ def semantic_chunks(sentences: DataFrame, cuts: DataFrame, least: int = 2, most:
 # TF-IDF per document -----------------------------------------------------------------------------------------------
 
 
-def tfidf(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
+def tfidf(sentences: DataFrame, pairs: bool = False, most: int | None = None, stop: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
     """doc, i, term, weight: unit-length TF-IDF of each sentence in its document. Sentences are dealt by document once;
-    counts, document frequencies and norms all come from that."""
+    counts, document frequencies and norms all come from that. pairs: pairs of words (that follow one another once words
+    of `stop` are out) are terms as well; most: only so many of a document's commonest terms (first by name of equals)."""
     whole = F.count("*").over(Window.partitionBy(key)).alias("n")
-    each = sentences.select(key, "i", "sentence", whole).select(key, "i", "n", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
-    tf = each.groupBy(key, "i", "n", "term").agg(F.count("*").alias("tf"))
+    words = F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    if stop:
+        words = F.filter(words, lambda x: ~x.isin(*stop))
+    own = sentences.select(key, "i", words.alias("w"), whole)
+    if pairs:
+        two = F.filter(F.transform("w", lambda x, k: F.concat_ws(" ", x, F.try_element_at("w", k + 2))), lambda x: x.contains(" "))
+        own = own.withColumn("w", F.concat("w", two))
+    tf = own.select(key, "i", "n", F.explode("w").alias("term")).groupBy(key, "i", "n", "term").agg(F.count("*").alias("tf"))
+    if most is not None:
+        total = tf.withColumn("_all", F.sum("tf").over(Window.partitionBy(key, "term")))
+        tf = total.withColumn("_place", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc("_all"), "term"))).filter(F.col("_place") <= most).drop("_all", "_place")
     raw = tf.withColumn("df", F.count("*").over(Window.partitionBy(key, "term"))).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, "i")))
     return raw.select(key, "i", "term", (F.col("w") / norm).alias("weight"))

@@ -134,22 +134,29 @@ def _loads(text: str | None) -> object:
             return None
 
 
-def array_blocks(text: str | None, block: int) -> Iterator[tuple]:
-    """Blocks of each array that is reached through objects, with its path."""
+def _nested(path: list[str], v: object) -> object:
+    for name in reversed(path):
+        v = {name: v}
+    return v
+
+
+def array_blocks(text: str | None, block: int, rebuild: bool = False) -> Iterator[tuple]:
+    """Blocks of each array that is reached through objects, with its path; on demand inside the objects of the path."""
 
-    def walk(v: object, path: str) -> Iterator[tuple]:
+    def walk(v: object, path: list[str]) -> Iterator[tuple]:
         if isinstance(v, list):
             for i in range(0, len(v), block):
-                yield _dumps(v[i : i + block]), path, i
+                part = v[i : i + block]
+                yield _dumps(_nested(path, part) if rebuild else part), ".".join(path), i
         elif isinstance(v, dict):
             for k, x in v.items():
-                yield from walk(x, f"{path}.{k}" if path else k)
+                yield from walk(x, [*path, k])
 
-    return walk(_loads(text), "")
+    return walk(_loads(text), [])
 
 
-def json_arrays(df: DataFrame, block: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return chunk_rows(df, partial(array_blocks, block=block), [text], "path string, first long", key)
+def json_arrays(df: DataFrame, block: int = 100, rebuild: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+    return chunk_rows(df, partial(array_blocks, block=block, rebuild=rebuild), [text], "path string, first long", key)
 
 
 def shallow(v: object, depth: int, at: int = 0) -> object:

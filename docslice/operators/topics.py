@@ -64,7 +64,7 @@ def topic_coherence(sentences: DataFrame, labels: DataFrame, key: str = "doc_id"
     """key, topic, n, coherence: mean cosine of the topic's sentences, TF-IDF within the topic; 1 for a single one."""
     own = sentences.join(labels, [key, "i"]).withColumn("_g", F.concat_ws("\x01", F.col(key).cast("string"), "topic"))
     sizes = own.groupBy("_g", key, "topic").agg(F.count("*").alias("n"))
-    w = tfidf(own.select("_g", "i", "sentence"), "_g")
+    w = tfidf(own.select("_g", "i", "sentence"), key="_g")
     lengths = w.groupBy("_g").agg(F.count_distinct("i").alias("filled"))
     sums = w.groupBy("_g", "term").agg(F.sum("weight").alias("s")).groupBy("_g").agg(F.sum(F.col("s") * F.col("s")).alias("whole"))
     full = sizes.join(sums, "_g", "left").join(lengths, "_g", "left")
@@ -81,7 +81,7 @@ def topic_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 def topic_keywords(sentences: DataFrame, labels: DataFrame, ranked: int = 10, kept: int = 5, least: float = 0.1, key: str = "doc_id") -> DataFrame:
     """key, topic, place, term: of a topic's `ranked` terms of the largest mean weight those over `least`, `kept` at most."""
     n = labels.groupBy(key, "topic").agg(F.count("*").alias("n"))
-    means = tfidf(sentences, key).join(labels, [key, "i"]).groupBy(key, "topic", "term").agg(F.sum("weight").alias("s")).join(n, [key, "topic"])
+    means = tfidf(sentences, key=key).join(labels, [key, "i"]).groupBy(key, "topic", "term").agg(F.sum("weight").alias("s")).join(n, [key, "topic"])
     means = means.select(key, "topic", "term", F.round(F.col("s") / F.col("n"), 9).alias("mean"))
     place = F.row_number().over(Window.partitionBy(key, "topic").orderBy(F.desc("mean"), "term")).cast("long")
     out = means.withColumn("place", place).filter((F.col("place") <= min(ranked, kept)) & (F.col("mean") > least))
@@ -93,7 +93,7 @@ def similarity_breaks(sentences: DataFrame, threshold: float = 0.7, weight: floa
     in documents of three sentences or more."""
     n = F.count("*").over(Window.partitionBy(key))
     pairs = sentences.select(key, "i", n.alias("n")).filter((F.col("n") >= 3) & (F.col("i") < F.col("n") - 1))
-    full = pairs.join(tfidf_similarity(tfidf(sentences, key), key), [key, "i"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    full = pairs.join(tfidf_similarity(tfidf(sentences, key=key), key), [key, "i"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     return full.filter(F.col("sim") < threshold).select(key, (F.col("i") + 1).alias("position"), F.lit("semantic_break").alias("kind"), F.round((1 - F.col("sim")) * weight, 9).alias("confidence"))
 
 

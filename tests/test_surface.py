@@ -4,13 +4,14 @@ import json
 import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docslice.__main__ import main
+from docslice.functions import analyze, tokens
 from docslice.functions import text as T
-from docslice.functions import tokens
-from docslice.operators import feedback, model, pdf, windows
+from docslice.operators import feedback, media, model, pdf, topics, windows
 from docslice.plans import catalog, config
 from docslice.sources import files
 from docslice.streaming import chunks as streams
@@ -215,3 +216,52 @@ def test_quick_benchmark_and_sentence_flush(spark):
     assert len(got) == 2 and got[0]["seconds"] <= got[1]["seconds"]
     cut = streams.sentences(2, flush_at=100)
     assert cut("x" * 101, False) == (["x" * 101], "") and cut("A. B. C", False) == (["A. B. "], "C")
+
+
+def test_structural_similarity_by_direct_sums():
+    r = np.random.default_rng(1)
+    k = np.exp(-(np.arange(-5, 6) ** 2) / 4.5)
+    k = np.outer(k, k) / k.sum() ** 2
+
+    def at(x, i, j):
+        """Weighted mean around a place, the image mirrored at its edges."""
+        mirror = lambda p, n: abs(p) if p < n else 2 * (n - 1) - p
+        return sum(k[a + 5, b + 5] * x[mirror(i + a, x.shape[0]), mirror(j + b, x.shape[1])] for a in range(-5, 6) for b in range(-5, 6))
+
+    a, b = r.integers(0, 256, (9, 12)).astype(float), r.integers(0, 256, (9, 12)).astype(float)
+    c1, c2, total = 6.5025, 58.5225, 0.0
+    for i in range(9):
+        for j in range(12):
+            ma, mb = at(a, i, j), at(b, i, j)
+            va, vb, cov = at(a * a, i, j) - ma * ma, at(b * b, i, j) - mb * mb, at(a * b, i, j) - ma * mb
+            total += (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+    assert media.ssim(a, b) == pytest.approx(total / 108) and media.ssim(a, a) == pytest.approx(1.0)
+
+
+def test_encodings_that_are_tried(spark):
+    rows = [("a", b""), ("b", b"plain"), ("c", "ä".encode()), ("d", b"odds\xe9"), ("e", b"\xe9\x00ab"), ("f", b"\xff\xfe\x00\x00x"), ("g", None)]
+    got = {r["path"]: (r["encoding"], r["confidence"], r["method"]) for r in analyze.detect_encoding(spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in rows], "path string, content binary")).collect()}
+    want = {}
+    for k, v in rows:
+        v = v or b""
+        marked = next((n for m, n in analyze.BOMS if v.startswith(m)), None)
+        if not v or marked:
+            want[k] = (marked or "utf-8", 1.0, "mark" if marked else "empty")
+            continue
+        for name in analyze.TRIED:
+            try:
+                v.decode(name)
+            except UnicodeDecodeError:
+                continue
+            want[k] = (name, 0.9 if name == "utf-8" else 0.7, "trial")
+            break
+    assert got == want and got["d"][0] == "latin1" and got["f"][0] == "utf-16-le"
+
+
+def test_topics_are_nearest_to_their_own_mean():
+    words = [["apple", "pear"], ["apple", "pear", "plum"], ["car", "road"], ["road", "car", "bus"], ["apple", "plum"], ["bus", "road"]]
+    got = list(topics._labels(["s"] * 6, words, 1000))
+    label = [x[2] for x in got]
+    assert [x[1] for x in got] == list(range(6)) and len(set(label)) == 2
+    assert label[0] == label[1] == label[4] != label[2] == label[3] == label[5]
+    assert list(topics._labels(["a", "b"], [["x"], ["y"]], 10)) == []
