@@ -4,9 +4,10 @@ that the rule gives are written out; they were checked against the rule by eye,
 from __future__ import annotations
 
 from docslice.functions import analyze
+from docslice.operators import cdc
 from docslice.operators.code import ANY_CASE, CONTENT
-from docslice.plans.documents import _EVENT, _MD, _ROWS, _S, _FEATURES, _SURFACE, BRACES, CSS, PYTHON
-from docslice.plans.splits import FALLBACK, LINED, PARAGRAPHS, SENTENCES, SPACE, STRIP, joined_sql
+from docslice.plans.documents import _CUT, _EVENT, _MD, _ROWS, _S, _SIM, _SURFACE, BRACES, CSS, PYTHON
+from docslice.plans.splits import FALLBACK, LINED, PARAGRAPHS, SENTENCES, SPACE, STRIP, WORDS, joined_sql
 
 Row = tuple[str, str, int, int, str]  # kind, name, first and last line, content
 
@@ -139,7 +140,135 @@ _CATALOGUE = """(VALUES ('fixed_size', 'general', 1.0, 0.4), ('universal_fixed',
 ('html', 'document', 0.5, 0.7), ('xml', 'document', 0.5, 0.7), ('fastcdc', 'content_defined', 0.6, 0.5), ('rolling_hash', 'content_defined', 0.6, 0.5), ('rabin_fingerprinting', 'content_defined', 0.6, 0.5), ('buzhash', 'content_defined', 0.6, 0.5), ('gear_cdc', 'content_defined', 0.6, 0.5),
 ('ml_cdc', 'content_defined', 0.6, 0.5), ('tttd', 'content_defined', 0.6, 0.5), ('universal_rolling', 'content_defined', 0.6, 0.5)) v(strategy, category, speed, quality)"""
 
+_BYTES = "b AS (SELECT doc_id, unnest(hs) AS x, unnest(range(0, len(hs))) AS p FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS hs FROM documents)), v AS (SELECT doc_id, p, CAST('0x' || x AS INT) AS b FROM b)"
+_SIZES = "d AS MATERIALIZED (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents)"
+_CUT_ROWS = 'SELECT r.doc_id, k AS chunk_index, a AS "start", z - a AS n_bytes, md5(unhex(substring(h, 2 * a + 1, 2 * (z - a)))) AS digest FROM r JOIN d USING (doc_id)'
+
+
+def _cuts(candidates: str, lists: str, end: str) -> str:
+    """Chunks of bytes: candidates are CTEs that end in c(doc_id, and the lists of `lists`); end: where a chunk that begins
+    at a ends, from these lists and n."""
+    return f"""WITH RECURSIVE {_BYTES}, {candidates}, {_SIZES}, e AS MATERIALIZED (SELECT d.doc_id, n, {lists} FROM d LEFT JOIN c USING (doc_id) WHERE n > 0),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, CAST({end} AS BIGINT) AS z, n FROM (SELECT *, 0 AS a FROM e)
+UNION ALL SELECT doc_id, k, a, CAST({end} AS BIGINT), n FROM (SELECT r.doc_id, r.k + 1 AS k, r.z AS a, e.* EXCLUDE (doc_id) FROM r JOIN e USING (doc_id) WHERE r.z < r.n))
+{_CUT_ROWS}"""
+
+
+def _table(kind: str, bits: int) -> str:
+    return "[" + ", ".join(str(int(x) & ((1 << bits) - 1)) for x in cdc.gear_table(kind)) + "]"
+
+
+_GEAR = _cuts(
+    f"g AS (SELECT doc_id, p, bit_xor({_table('gear', 32)}[b + 1]) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS x FROM v), c AS (SELECT doc_id, list(p + 1 ORDER BY p) AS cs FROM g WHERE (x & {(1 << 22) - 1}) < {1 << 19} GROUP BY doc_id)",
+    "coalesce(cs, []) AS cs",
+    "least(a + 65536, n, coalesce(list_filter(cs, lambda x: x >= a + 2048)[1], n))",
+)
+
+
+def _fastcdc(least: int, avg: int, most: int, bits: int) -> str:
+    """The hash before byte p, of which only the last `bits` bytes are left in its low bits."""
+    low = " + ".join(f"coalesce(lag(g, {i + 1}) OVER w, 0) * {1 << i}" for i in range(bits))
+    zone = f"least(a + {2 * avg}, a + {most}, n)"
+    return _cuts(
+        f"""g AS (SELECT doc_id, p, {_table('crc', bits)}[b + 1] AS g FROM v), l AS (SELECT doc_id, p, ({low}) % {1 << bits} AS low FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+c AS (SELECT doc_id, list(p ORDER BY p) FILTER (WHERE low = 0) AS ms, list(p ORDER BY p) AS ss FROM l WHERE low % {1 << (bits - 1)} = 0 GROUP BY doc_id)""",
+        "coalesce(ms, []) AS ms, coalesce(ss, []) AS ss",
+        f"CASE WHEN a + {least} >= n THEN n ELSE coalesce(list_filter(ms, lambda x: x >= a + {least} AND x < {zone})[1], list_filter(ss, lambda x: x >= a + {max(avg, least)} AND x < {zone})[1], least(a + {most}, n)) END",
+    )
+
+
+_PRIME = 10**9 + 7
+
+
+def _power(base: int, j: str, bits: int = 27) -> str:
+    """base ** j modulo the prime, by the bits of j (below 2 ** bits)."""
+    out, c = "CAST(1 AS BIGINT)", base % _PRIME
+    for i in range(bits):
+        out, c = f"({out} * CASE WHEN {j} & {1 << i} > 0 THEN {c} ELSE 1 END) % {_PRIME}", c * c % _PRIME
+    return out
+
+
+def _polynomial(window: int) -> str:
+    """CTE h(doc_id, p, x): polynomial hash of the bytes that end at p, from terms that are turned back to position 0."""
+    back = _power(pow(256, -1, _PRIME), "p")
+    return f"""t AS (SELECT doc_id, p, b * ({back}) % {_PRIME} AS t FROM v), u AS (SELECT doc_id, p, CAST(sum(t) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS BIGINT) % {_PRIME} AS s FROM t),
+h AS (SELECT doc_id, p, s * ({_power(256, 'p')}) % {_PRIME} AS x FROM u)"""
+
+
+_POLY = _cuts(f"{_polynomial(64)}, c AS (SELECT doc_id, list(p + 1 ORDER BY p) AS cs FROM h WHERE x % 128 = 0 GROUP BY doc_id)", "coalesce(cs, []) AS cs", "least(a + 65536, n, coalesce(list_filter(cs, lambda x: x >= a + 2048)[1], n))")
+
+def _shifted() -> str:
+    """CTE h(doc_id, p, x): a state that each byte shifts by 8 bits and 53 are kept of; bytes that leave a window of 64 put
+    in their table's value, shifted by the window's bits modulo 53."""
+    full = (1 << 53) - 1
+    leaving = "[" + ", ".join(str((x << 63 * 8 % 53) & full) for x in cdc._mod_table(53)) + "]"
+    parts = [f"(coalesce(lag(b, {j}) OVER w, 0) << {8 * j})" for j in range(7)] + [f"((coalesce(lag(o, {j}) OVER w, 0) & {(1 << 53 - 8 * j) - 1}) << {8 * j + 8})" for j in range(7)]
+    x = parts[0]
+    for part in parts[1:]:
+        x = f"xor({x}, {part})"
+    return f"""o AS (SELECT doc_id, p, CAST(b AS BIGINT) AS b, CAST(coalesce({leaving}[lag(b, 64) OVER (PARTITION BY doc_id ORDER BY p) + 1], 0) AS BIGINT) AS o FROM v), h AS (SELECT doc_id, p, {x} & {full} AS x FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY p))"""
+
+
+_SHIFT_CUTS = _cuts(f"{_shifted()}, c AS (SELECT doc_id, list(p + 1 ORDER BY p) AS cs FROM h WHERE x % 256 = 0 GROUP BY doc_id)", "coalesce(cs, []) AS cs", "least(a + 4096, n, coalesce(list_filter(cs, lambda x: x >= a + 256)[1], n))")
+
+_SUMS = _cuts(
+    "g AS (SELECT doc_id, p - 31 AS p, sum(b) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS x FROM v), c AS (SELECT doc_id, list(p ORDER BY p) FILTER (WHERE p >= 0 AND x % 256 = 0) AS cs, any_value(ps) AS ps FROM g LEFT JOIN (SELECT doc_id, list(p ORDER BY p) FILTER (WHERE b = 32) AS ps FROM v GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)",
+    "coalesce(cs, []) AS cs, coalesce(ps, []) AS ps",
+    # the last space among the final bytes of the longest chunk, which may stand where the next one begins
+    "CASE WHEN a + 512 >= n THEN n ELSE coalesce(list_filter(cs, lambda x: x >= a + 512 AND x + 32 <= least(a + 2048, n))[1], list_max(list_filter(ps, lambda x: x > least(a + 2048, n) - least(100, least(a + 2048, n) - a - 512) AND x <= least(a + 2048, n) AND x > a)), least(a + 2048, n)) END",
+)
+
+_SEMANTIC = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT doc_id, list(sentence ORDER BY i) AS u FROM {_S} GROUP BY doc_id), b AS MATERIALIZED (SELECT doc_id, list(i + 1 ORDER BY i) AS bs FROM {_CUT} GROUP BY doc_id),
+d AS MATERIALIZED (SELECT doc_id, u, len(u) AS n, coalesce(bs, []) AS bs FROM u LEFT JOIN b USING (doc_id)),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS a, CAST(coalesce(list_filter(bs, lambda x: x >= 2)[1], n) AS BIGINT) AS z, n FROM d
+UNION ALL SELECT r.doc_id, r.z, CAST(coalesce(list_filter(d.bs, lambda x: x - r.z >= 2)[1], d.n) AS BIGINT), d.n FROM r JOIN d USING (doc_id) WHERE r.z < r.n),
+p AS (SELECT doc_id, z, unnest(range(a, z, 15)) AS s FROM r), c AS (SELECT p.doc_id, s, substring(array_to_string(list_slice(u, s + 1, least(s + 15, z)), ' '), 1, 5000) AS content FROM p JOIN d USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, content, CAST(length(content) AS BIGINT) AS size FROM c"""
+
+_WORD_LIST = WORDS.format(c="text")
+# the longest beginning of a piece that is whole characters: without a lead byte whose others are cut off, and nothing if
+# the first byte continues a character
+_WHOLE = "CASE WHEN regexp_matches(x, '^[89AB]') THEN '' ELSE decode(unhex(regexp_replace(x, '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$', '\\1'))) END"
+_BYTE_PIECES = f"SELECT doc_id, s // 512 AS chunk_index, {_WHOLE} AS content, CAST(length({_WHOLE}) AS BIGINT) AS size FROM (SELECT doc_id, s, substring(h, 2 * greatest(s - 16, 0) + 1, 2 * (least(s + 512, n) - greatest(s - 16, 0))) AS x FROM (SELECT doc_id, h, n, unnest(range(0, n, 512)) AS s FROM (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents)))"
+_HEADED = rf"""(SELECT doc_id, k, title, level, body, doc_id || '|' || k AS id, CASE WHEN length(body) <= 4000 THEN [body] ELSE {WORDS.format(c='body')} END AS u FROM (
+SELECT doc_id, k, max(CASE WHEN f = 1 THEN {STRIP.format(c="regexp_extract(l, '^#{1,2}[ 	]+(.+)$', 1)")} END) AS title, max(CASE WHEN f = 1 THEN length(regexp_extract(l, '^(#+)', 1)) ELSE 0 END) AS level, {STRIP.format(c='string_agg(l, chr(10) ORDER BY i)')} AS body FROM (
+SELECT doc_id, i, l, f, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(f) OVER (PARTITION BY doc_id) AS heads FROM (SELECT doc_id, i, l, CAST(regexp_matches(l, '^#{{1,2}}[ 	]+.+$') AS INT) AS f FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM {_MD})))
+WHERE k > 0 OR heads = 0 GROUP BY doc_id, k) WHERE body <> '' AND (k = 0 OR length(body) >= 50))"""
+_HEAD_CHUNKS = f"SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.k, j.chunk_index) - 1 AS chunk_index, j.content, j.size, h.title, CAST(h.level AS INT) AS level FROM ({joined_sql('u', chr(39) + ' ' + chr(39), 4000, _HEADED, extra=1, group_key='id')}) j JOIN {_HEADED} h USING (id)"
+
+# levels are below the threshold in the first 9 of each 37 steps, which is longer than the pause that ends a stretch
+_SILENCE = """WITH p AS (SELECT p_partkey AS media_id, CAST(p_size * 10 + 1 AS BIGINT) AS n FROM part), s AS (SELECT media_id, n, k * 37 + 9 AS a FROM p, range(0, 100) t(k) WHERE k * 37 + 9 < n),
+r AS (SELECT media_id, greatest(0.0::DOUBLE, a * 0.1::DOUBLE - 0.1::DOUBLE) AS a, least(n * 0.1::DOUBLE, least(a + 28, n) * 0.1::DOUBLE + 0.1::DOUBLE) AS z FROM s), m AS (SELECT *, greatest(1, CAST(ceil((z - a) / 2.0::DOUBLE) AS BIGINT)) AS n FROM r),
+e AS (SELECT media_id, round(a + (z - a) * k / n, 6) AS start, round(a + (z - a) * (k + 1) / n, 6) AS stop FROM (SELECT *, unnest(range(0, n)) AS k FROM m)) SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start) - 1 AS segment, start, stop FROM e"""
+# state: the first sentence of the chunk and its size so far; a sentence may close the chunk before it, after it, or both
+_TRAIL = "coalesce(list_min(list_filter(range({a}, {z}), lambda j: p[{z} + 1] - p[j + 1] <= 100)), {z})"
+_JOINED = "(p[{z} + 1] - p[{a} + 1] + greatest({z} - {a} - 1, 0))"
+_CONTEXT = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT doc_id, list(sentence ORDER BY i) AS u, list(length(sentence) ORDER BY i) AS l FROM {_S} GROUP BY doc_id),
+w AS (SELECT doc_id, i FROM (SELECT doc_id, i, sim, avg(sim) OVER (PARTITION BY doc_id) AS m, stddev_pop(sim) OVER (PARTITION BY doc_id) AS s FROM {_SIM}) WHERE sim < greatest(0.3, m - s)),
+d AS MATERIALIZED (SELECT u.doc_id, u, len(u) AS n, list_prepend(0, list_transform(range(1, len(u) + 1), lambda k: list_sum(list_slice(l, 1, k)))) AS p, coalesce(bs, []) AS bs FROM u LEFT JOIN (SELECT doc_id, list(i) AS bs FROM w GROUP BY doc_id) b USING (doc_id)),
+r AS (SELECT doc_id, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS size, CAST(NULL AS BIGINT) AS xa, CAST(NULL AS BIGINT) AS xz, CAST(NULL AS BIGINT) AS ya, CAST(NULL AS BIGINT) AS yz FROM d
+UNION ALL SELECT doc_id, i, CAST(CASE WHEN after THEN CASE WHEN i + 1 < n THEN {_TRAIL.format(a='b', z='(i + 1)')} ELSE i + 1 END ELSE b END AS BIGINT),
+CAST(CASE WHEN after THEN CASE WHEN i + 1 < n THEN {_JOINED.format(a=_TRAIL.format(a='b', z='(i + 1)'), z='(i + 1)')} ELSE 0 END ELSE grown END AS BIGINT), CASE WHEN early THEN a END, CASE WHEN early THEN i END, CASE WHEN after THEN b END, CASE WHEN after THEN i + 1 END
+FROM (SELECT *, (list_contains(bs, i) AND grown >= 300) OR grown >= 1000 AS after FROM (SELECT *, CASE WHEN early THEN {_JOINED.format(a='b', z='i')} ELSE size END + p[i + 2] - p[i + 1] + 1 AS grown FROM (
+SELECT *, CASE WHEN early THEN {_TRAIL.format(a='a', z='i')} ELSE a END AS b FROM (SELECT r.doc_id, r.i + 1 AS i, r.a, r.size, d.n, d.p, d.bs, r.a < r.i + 1 AND r.size + d.p[r.i + 3] - d.p[r.i + 2] + 1 > 1500 AS early FROM r JOIN d USING (doc_id) WHERE r.i + 1 < d.n))))),
+e AS (SELECT doc_id, i * 3 AS o, xa AS a, xz AS z FROM r WHERE xz IS NOT NULL UNION ALL SELECT doc_id, i * 3 + 1, ya, yz FROM r WHERE yz IS NOT NULL
+UNION ALL SELECT r.doc_id, r.i * 3 + 2, r.a, d.n FROM r JOIN d USING (doc_id) WHERE r.i = d.n - 1 AND r.a < d.n AND array_to_string(list_slice(u, r.a + 1, d.n), ' ') <> array_to_string(list_slice(u, {_TRAIL.format(a='0', z='d.n').replace('p[', 'd.p[')} + 1, d.n), ' ')),
+c AS (SELECT e.doc_id, o, array_to_string(list_slice(u, a + 1, z), ' ') AS content FROM e JOIN d USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS chunk_index, content, CAST(length(content) AS BIGINT) AS size FROM c"""
+
 ORACLE_SQL = {
+    "q_silence_segments": _SILENCE,
+    "q_context_enriched": _CONTEXT,
+    "q_fixed_byte": _BYTE_PIECES,
+    "q_md_headers": _HEAD_CHUNKS,
+    "q_md_fixed": joined_sql(_WORD_LIST, "' '", 1000, _MD, extra=1),
+    "q_semantic_chunks": _SEMANTIC,
+    "q_gear": _GEAR,
+    "q_rolling_poly": _POLY,
+    "q_rolling_rabin": _SHIFT_CUTS,
+    "q_fastcdc": _fastcdc(2048, 8192, 65536, 13),
+    "q_fastcdc_small": _fastcdc(256, 1024, 4096, 10),
+    "q_univ_rolling": _SUMS,
     "q_python_code": _rows(PYTHON_ROWS),
     "q_python_blocks": _rows(PYTHON_BLOCKS),
     "q_brace_code": " UNION ALL ".join(_rows(rows, f", '{name}' AS language") for name, rows in BRACE_ROWS.items()),
