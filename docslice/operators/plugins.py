@@ -31,11 +31,16 @@ def sections(c: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
     """Stripped parts that are left when each pattern in turn splits all parts; a pattern that leaves none is skipped."""
     now = F.array(c)
     for p in patterns:
-        split = T.kept(F.flatten(F.transform(now, lambda x, p=p: F.split(x, p))))
+        split = T.kept(F.flatten(F.transform(now, _by(p))))
         now = F.when(F.size(split) > 0, split).otherwise(now)
     return now
 
 
+def _by(pattern: str):
+    """A splitter of one parameter: of a function with two, the second would be given an element's index."""
+    return lambda x: F.split(x, pattern)
+
+
 def _within(part: str, most: int) -> Iterator[str]:
     """Packs of a long part's sentences, of about `most` characters."""
     held: list[str] = []

@@ -256,7 +256,32 @@ UNION ALL SELECT r.doc_id, r.i * 3 + 2, r.a, d.n FROM r JOIN d USING (doc_id) WH
 c AS (SELECT e.doc_id, o, array_to_string(list_slice(u, a + 1, z), ' ') AS content FROM e JOIN d USING (doc_id))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS chunk_index, content, CAST(length(content) AS BIGINT) AS size FROM c"""
 
+# parts without stops, and their places; a run closes when it reaches 700, or before it would pass 2000
+_SPANS = f"""(SELECT doc_id, text, a + length(x) - length(regexp_replace(x, '^{SPACE}+', '')) AS a, a + length(regexp_replace(x, '{SPACE}+$', '')) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS i FROM (
+SELECT doc_id, text, x, k + coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (SELECT doc_id, text, unnest(string_split(regexp_replace(text, '[.!?]', chr(1), 'g'), chr(1))) AS x, unnest(range(0, len(string_split(regexp_replace(text, '[.!?]', chr(1), 'g'), chr(1))))) AS k FROM documents)) WHERE regexp_matches(x, '[^ \t\n\v\f\r]'))"""
+_GREEDY = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM {_SPANS}), r AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS g, CAST(z - a AS BIGINT) AS total, z - a < 700 AS open FROM s WHERE i = 1
+UNION ALL SELECT doc_id, i, CASE WHEN NOT open OR over THEN g + 1 ELSE g END, CAST(CASE WHEN NOT open OR over THEN n ELSE total + n END AS BIGINT), CASE WHEN NOT open THEN n < 700 WHEN over THEN true ELSE total + n < 700 END
+FROM (SELECT r.doc_id, s.i, r.g, r.total, r.open, s.z - s.a AS n, r.total + s.z - s.a > 2000 AS over FROM r JOIN s ON r.doc_id = s.doc_id AND s.i = r.i + 1)),
+l AS (SELECT doc_id, max(g) AS g FROM r GROUP BY doc_id), o AS (SELECT r.doc_id, r.g, count(*) AS n, bool_and(open) AND max(total) < 200 AND count(*) = 1 AS small FROM r JOIN l ON r.doc_id = l.doc_id AND r.g = l.g GROUP BY r.doc_id, r.g),
+f AS (SELECT r.doc_id, r.i, CASE WHEN o.small AND r.g > 0 THEN r.g - 1 ELSE r.g END AS g FROM r LEFT JOIN o ON r.doc_id = o.doc_id AND r.g = o.g),
+c AS (SELECT f.doc_id, g, substring(any_value(text), CAST(min(a) AS BIGINT) + 1, CAST(max(z) - min(a) AS BIGINT)) AS content FROM f JOIN s ON f.doc_id = s.doc_id AND f.i = s.i GROUP BY f.doc_id, g)
+SELECT doc_id, g AS chunk_index, content, CAST(length(content) AS BIGINT) AS size FROM c UNION ALL SELECT doc_id, 0, text, CAST(length(text) AS BIGINT) FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM s)"""
+
+
+def _split_all(units: str, pattern: str) -> str:
+    parts = f"flatten(list_transform({units}, lambda y: list_filter(list_transform(string_split(regexp_replace(y, '{pattern}', chr(1), 'g'), chr(1)), lambda x: {STRIP.format(c='x')}), lambda x: x <> '')))"
+    return f"CASE WHEN len({parts}) > 0 THEN {parts} ELSE {units} END"
+
+
+_STAGES = "(SELECT doc_id, [text] AS u FROM documents)"
+for _pattern in (rf"(?ms)^#{{1,6}}{SPACE}+.*$", "\n\n+", rf"\n{SPACE}*[-*+]{SPACE}+", rf"\d+\.{SPACE}+"):
+    _STAGES = f"(SELECT doc_id, {_split_all('u', _pattern)} AS u FROM {_STAGES})"
+_PARTS = f"(SELECT doc_id, k, t, doc_id || '|' || k AS id, CASE WHEN length(t) > 2000 THEN list_filter(list_transform(string_split(regexp_replace(t, '[.!?]+', chr(1), 'g'), chr(1)), lambda x: {STRIP.format(c='x')}), lambda x: x <> '') ELSE [t] END AS u FROM (SELECT doc_id, unnest(u) AS t, unnest(range(0, len(u))) AS k FROM {_STAGES}) WHERE length(t) >= 50)"
+_SECTIONS = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, g) - 1 AS chunk_index, content, CAST(length(content) AS BIGINT) AS size FROM (SELECT p.doc_id, p.k, j.chunk_index AS g, CASE WHEN length(p.t) > 2000 THEN j.content || '.' ELSE j.content END AS content FROM ({joined_sql('u', chr(39) + '. ' + chr(39), 2000, _PARTS, count_sep=False, group_key='id')}) j JOIN {_PARTS} p USING (id))"
+
 ORACLE_SQL = {
+    "q_balanced_greedy": _GREEDY,
+    "q_pattern_sections": _SECTIONS,
     "q_silence_segments": _SILENCE,
     "q_context_enriched": _CONTEXT,
     "q_fixed_byte": _BYTE_PIECES,
