@@ -7,7 +7,7 @@ from docslice.functions import analyze
 from docslice.operators import cdc
 from docslice.operators.code import ANY_CASE, CONTENT
 from docslice.plans.documents import _CUT, _EVENT, _MD, _ROWS, _S, _SIM, _SURFACE, BRACES, CSS, PYTHON
-from docslice.plans.splits import FALLBACK, LINED, PARAGRAPHS, SENTENCES, SPACE, STRIP, WORDS, joined_sql
+from docslice.plans.splits import AFTER_STOP, BLOCKS, FALLBACK, LINED, PARAGRAPHS, SENTENCES, SPACE, STRIP, WORDS, joined_sql
 
 Row = tuple[str, str, int, int, str]  # kind, name, first and last line, content
 
@@ -279,7 +279,36 @@ for _pattern in (rf"(?ms)^#{{1,6}}{SPACE}+.*$", "\n\n+", rf"\n{SPACE}*[-*+]{SPAC
 _PARTS = f"(SELECT doc_id, k, t, doc_id || '|' || k AS id, CASE WHEN length(t) > 2000 THEN list_filter(list_transform(string_split(regexp_replace(t, '[.!?]+', chr(1), 'g'), chr(1)), lambda x: {STRIP.format(c='x')}), lambda x: x <> '') ELSE [t] END AS u FROM (SELECT doc_id, unnest(u) AS t, unnest(range(0, len(u))) AS k FROM {_STAGES}) WHERE length(t) >= 50)"
 _SECTIONS = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, g) - 1 AS chunk_index, content, CAST(length(content) AS BIGINT) AS size FROM (SELECT p.doc_id, p.k, j.chunk_index AS g, CASE WHEN length(p.t) > 2000 THEN j.content || '.' ELSE j.content END AS content FROM ({joined_sql('u', chr(39) + '. ' + chr(39), 2000, _PARTS, count_sep=False, group_key='id')}) j JOIN {_PARTS} p USING (id))"
 
+
+
+def _worth(target: int, longest: int) -> str:
+    """Quality of a recursive chunk (column c), for a target and a longest size."""
+    size = f"least(1.0::DOUBLE, length(c) / {target}) * CASE WHEN length(c) > {longest} THEN 0.5 ELSE 1.0 END"
+    return f"(0.4 * ({size}) + 0.4 * least(1.0::DOUBLE, len(string_split(c, '. ')) / 5) + 0.2 * CASE WHEN regexp_matches(c, '[.!?]{SPACE}*$') THEN 1.0 ELSE 0.8 END)::DOUBLE"
+
+
+# paragraphs, then sentences, then slices, each level inside the kept chunks of the one above that are over its target
+_LEVEL0 = f"(SELECT * FROM (SELECT doc_id, chunk_index AS i, content AS c, doc_id || '|' || chunk_index AS id, {_worth(1200, 2500).replace('(c)', '(content)').replace('(c,', '(content,')} AS q FROM ({joined_sql(BLOCKS.format(c='text'), 'chr(10) || chr(10)', 1200, LINED)})) WHERE q >= 0.7)"
+_LEVEL1 = f"(SELECT * FROM (SELECT id, chunk_index AS j, content AS c, {_worth(400, 800).replace('(c)', '(content)').replace('(c,', '(content,')} AS q FROM ({joined_sql('u', chr(39) + ' ' + chr(39), 400, '(SELECT id, ' + AFTER_STOP.format(c='c') + ' AS u FROM l0 WHERE length(c) > 400)', group_key='id')})) WHERE q >= 0.7)"
+_RECURSIVE = f"""WITH l0 AS MATERIALIZED {_LEVEL0}, l1 AS MATERIALIZED {_LEVEL1},
+l2 AS (SELECT * FROM (SELECT *, {_worth(200, 300)} AS q FROM (SELECT id, j, s // 200 AS k, substring(c, s + 1, 200) AS c FROM (SELECT id, j, c, unnest(range(0, length(c), 200)) AS s FROM l1 WHERE length(c) > 200)) WHERE regexp_matches(c, '[^ \t\n\v\f\r]')) WHERE q >= 0.7),
+a AS (SELECT doc_id, i, 1 AS x, NULL AS j, NULL AS y, NULL AS k, c, 0 AS level, CAST(i AS VARCHAR) AS path, NULL AS parent_path, q FROM l0
+UNION ALL SELECT doc_id, i, 0, j, 1, NULL, l1.c, 1, i || '/' || j, CAST(i AS VARCHAR), l1.q FROM l1 JOIN l0 USING (id)
+UNION ALL SELECT doc_id, i, 0, l2.j, 0, k, l2.c, 2, i || '/' || l2.j || '/' || k, i || '/' || l2.j, l2.q FROM l2 JOIN l0 USING (id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, x, j, y, k) - 1 AS chunk_index, c AS content, CAST(length(c) AS BIGINT) AS size, CAST(level AS INT) AS level, path, parent_path, q AS quality FROM a"""
+_LEVELS = f"""WITH r AS MATERIALIZED ({_RECURSIVE}), n AS (SELECT doc_id, parent_path AS path, count(*) AS children FROM r WHERE parent_path IS NOT NULL GROUP BY ALL)
+SELECT level, count(*) AS chunks, round(avg(quality), 6) AS mean_quality, round(avg(coalesce(children, 0)), 6) AS mean_children FROM r LEFT JOIN n USING (doc_id, path) GROUP BY level"""
+# in the made-up Markdown each line stands alone, so it is a block; lines that open a fence do not occur
+_LINE_BLOCKS = f"(SELECT doc_id, list(struct_pack(t := {STRIP.format(c='l')}, kind := CASE WHEN regexp_matches(l, '^{SPACE}*[|]') THEN 'table' WHEN regexp_matches(l, '^#{{1,6}}[ \t]+.+') THEN 'header' WHEN regexp_matches(l, '^{SPACE}*([-*+]|[0-9]+[.]){SPACE}+') THEN 'list' ELSE 'paragraph' END) ORDER BY k) AS u FROM (SELECT doc_id, k, regexp_replace(l, '{SPACE}+$', '') AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM {_MD})) WHERE l <> '' GROUP BY doc_id)"
+_BLOCK_PACKS = f"""WITH RECURSIVE u AS MATERIALIZED {_LINE_BLOCKS}, r AS (SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS g, CAST(length(u[1].t) AS BIGINT) AS len FROM u
+UNION ALL SELECT doc_id, i + 1, CASE WHEN over_ THEN g + 1 ELSE g END, CASE WHEN over_ THEN n ELSE len + 2 + n END FROM (SELECT r.doc_id, r.i, r.g, r.len, length(u.u[r.i + 1].t) AS n, r.len + length(u.u[r.i + 1].t) > 1500 AS over_ FROM r JOIN u USING (doc_id) WHERE r.i < len(u.u))),
+c AS (SELECT r.doc_id, g, string_agg(u.u[r.i].t, chr(10) || chr(10) ORDER BY r.i) AS content, string_agg(DISTINCT u.u[r.i].kind, ',' ORDER BY u.u[r.i].kind) AS kinds FROM r JOIN u USING (doc_id) GROUP BY ALL)
+SELECT doc_id, g AS chunk_index, content, CAST(length(content) AS BIGINT) AS size, kinds FROM c"""
+
 ORACLE_SQL = {
+    "q_recursive": _RECURSIVE,
+    "q_recursive_stats": _LEVELS,
+    "q_md_blocks": _BLOCK_PACKS,
     "q_balanced_greedy": _GREEDY,
     "q_pattern_sections": _SECTIONS,
     "q_silence_segments": _SILENCE,

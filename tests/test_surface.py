@@ -1,6 +1,7 @@
 """Files, tokens, PDF, configuration, plug-ins and the command line."""
 
 import json
+import re
 import unicodedata
 import zlib
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from docslice.__main__ import main
 from docslice.functions import analyze, tokens
 from docslice.functions import text as T
-from docslice.operators import feedback, media, model, pdf, topics, windows
+from docslice.operators import feedback, media, model, pdf, topics, vectors, windows
 from docslice.plans import catalog, config
 from docslice.sources import files
 from docslice.streaming import chunks as streams
@@ -265,3 +266,19 @@ def test_topics_are_nearest_to_their_own_mean():
     assert [x[1] for x in got] == list(range(6)) and len(set(label)) == 2
     assert label[0] == label[1] == label[4] != label[2] == label[3] == label[5]
     assert list(topics._labels(["a", "b"], [["x"], ["y"]], 10)) == []
+
+
+def test_hashed_embeddings(spark):
+    import xxhash
+
+    texts = ["Some words, some WORDS again é", "one", " ", None, "x " * 300]
+    got = {r["doc_id"]: r["embedding"] for r in vectors.embed_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string"), 16).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        if t and t.strip():
+            v = np.zeros(16)
+            for w in re.findall(r"\w+", t.lower()):
+                h = xxhash.xxh64_intdigest(w.encode(), 42)
+                v[(h - (1 << 64) if h >> 63 else h) % 16] += 1
+            want[k] = (v / np.linalg.norm(v)).tolist()
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
