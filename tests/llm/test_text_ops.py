@@ -338,12 +338,12 @@ def slow_similar(texts, similarity=0.8):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("hot", [512, 8])
-def test_pipeline_finds_near_copies(spark, monkeypatch, hot):
+@pytest.mark.parametrize("block", [128, 8, 3])
+def test_pipeline_finds_near_copies(spark, monkeypatch, block):
     """Texts with some words replaced, below and above the threshold, alone and in one large group."""
     import corpus_pipeline
 
-    monkeypatch.setattr(shingles, "HOT", hot)
+    monkeypatch.setattr(shingles, "BLOCK", block)
     r, texts = np.random.default_rng(7), [None, "", " \n", "two words", "Two  WORDS"]
     for k in range(40):
         base = [f"w{k}x{i}" for i in range(120)]
@@ -355,3 +355,25 @@ def test_pipeline_finds_near_copies(spark, monkeypatch, hot):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect())
     assert got == sorted(set(slow_similar(texts)))
+
+
+def test_blocks_of_a_run_of_two_groups_meet(spark, monkeypatch):
+    """A key that texts of two groups share, the second group apart from the run's first class and over many blocks."""
+    monkeypatch.setattr(shingles, "BLOCK", 3)
+    monkeypatch.setattr(shingles, "bands", lambda hashes: np.zeros(1, np.int64))
+    base = np.arange(100, dtype=np.int32)
+    rows = []
+    for k in range(24):  # even ones are near each other, odd ones too, the two kinds are not
+        own = base + (0 if k % 2 else 1000)
+        own = np.concatenate([own[:95], np.arange(10_000 + 10 * k, 10_005 + 10 * k)])
+        rows.append((k, k, k, k, [7], [int(x) for x in own]))
+    rows += [(100 + k, 100 + k, 0, 100 + k, [7], list(range(100_000 * (k + 1), 100_000 * (k + 1) + 50))) for k in range(5)]
+    frame = spark.createDataFrame(rows, "row long, doc_id long, text_hash long, node long, bands array<long>, shingles array<int>")
+    assert shingles.arrow_rows(frame.select("doc_id", "node").repartition(1).sortWithinPartitions("doc_id"), lambda b: shingles._members(b, 3), "run long, block long, node long, first long, hot boolean").count() == 0
+    keyed = frame.selectExpr("7L AS key", "node").repartition(1)
+    members = shingles.arrow_rows(keyed, lambda b: shingles._members(b, 3), "run long, block long, node long, first long, hot boolean").collect()
+    assert {r["block"] for r in members} == set(range(10)) and all(r["hot"] for r in members)
+    found = {}
+    for r in shingles.classes(frame, 0.8).collect():
+        found.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, found.values())) == [list(range(0, 24, 2)), list(range(1, 24, 2))]
