@@ -155,6 +155,8 @@ def markdown_structure(df: DataFrame, text: str = "text", key: str = "doc_id") -
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset(("script", "style"))
+#: Elements whose own paragraphs do not end one around them.
+HOLDERS = frozenset("article aside blockquote body button caption div dd dt figure footer form header html li main nav object section table td th".split())
 SEMANTIC = ("article", "section", "nav", "aside", "header", "footer", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p", "div")
 
 
@@ -186,8 +188,13 @@ class Elements(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "p" and self.open and self.open[-1].tag == "p":
-            self.open.pop()
+        if tag == "p":  # closes the paragraph that is open, with what was left open in it
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i].tag == "p":
+                    del self.open[i:]
+                    break
+                if self.open[i].tag in HOLDERS:
+                    break
         e = Element(tag, dict(attrs), len(self.open))
         self.found.append(e)
         if tag not in VOID:

@@ -444,3 +444,8 @@ def test_office_formats():
     assert office.blocks_of(odt) == [("heading", 2, "Head"), ("paragraph", 0, "Body text")]
     assert office.blocks_of(rb"{\rtf1{\fonttbl{\f0 Arial;}}\f0 Caf\'e9 \{x\}\par Second \u8364?5.\par}") == [("paragraph", 0, "Café {x}"), ("paragraph", 0, "Second €5.")]
     assert office.blocks_of(None) == [] and office.blocks_of(b"a\n\nb") == [("paragraph", 0, "a"), ("paragraph", 0, "b")]
+
+
+def test_paragraphs_end_at_the_next_one():
+    found = [(e.tag, e.depth, e.text) for e in markup.Elements("<div><p>a <b>b<br><p>c<div><p>d</div> e</div><p>f").found if e.tag == "p"]
+    assert found == [("p", 1, "a b"), ("p", 1, "c d e"), ("p", 3, "d"), ("p", 0, "f")]
