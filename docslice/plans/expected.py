@@ -7,7 +7,7 @@ from docslice.functions import analyze
 from docslice.operators import cdc
 from docslice.operators.code import ANY_CASE, CONTENT
 from docslice.plans.documents import _CUT, _EVENT, _MD, _ROWS, _S, _SIM, _SURFACE, BRACES, CSS, PYTHON
-from docslice.plans.splits import AFTER_STOP, BLOCKS, FALLBACK, LINED, PARAGRAPHS, SENTENCES, SPACE, STRIP, WORDS, joined_sql
+from docslice.plans.splits import AFTER_STOP, BLOCKS, FALLBACK, LINED, PARAGRAPHS, SENTENCES, SPACE, STRIP, WORDS, _char_sql, joined_sql
 
 Row = tuple[str, str, int, int, str]  # kind, name, first and last line, content
 
@@ -306,6 +306,8 @@ c AS (SELECT r.doc_id, g, string_agg(u.u[r.i].t, chr(10) || chr(10) ORDER BY r.i
 SELECT doc_id, g AS chunk_index, content, CAST(length(content) AS BIGINT) AS size, kinds FROM c"""
 
 ORACLE_SQL = {
+    "q_fitting": f"SELECT strategy, 'medium' AS complexity FROM {_CATALOGUE} WHERE category = 'text' AND speed >= 0.5 AND speed < 0.8",
+    "q_pipeline_multi": f"SELECT strategy, count(*) AS chunks FROM (SELECT 'fixed_size' AS strategy FROM ({_char_sql(1024, 0)}) UNION ALL SELECT 'sentence_based' FROM ({joined_sql('uu', chr(39) + ' ' + chr(39), 2000, FALLBACK, most=5, count_sep=False)}) UNION ALL SELECT 'fastcdc' FROM ({_fastcdc(2048, 8192, 65536, 13)})) GROUP BY strategy",
     "q_recursive": _RECURSIVE,
     "q_recursive_stats": _LEVELS,
     "q_md_blocks": _BLOCK_PACKS,

@@ -193,7 +193,7 @@ SELECT doc_id, CAST(g AS BIGINT) AS chunk_index, string_agg(sentence, ' ' ORDER
     "q_xml_tags": f"SELECT page_id, r AS chunk_index, c AS content, CAST(length(c) AS BIGINT) AS size, 'order' AS tag FROM (SELECT page_id, r, k || ' ' || pr || ' &' AS c FROM {_ORDERS})",
     "q_xml_hierarchy": f"SELECT page_id, r * 3 + o AS chunk_index, c AS content, CAST(length(c) AS BIGINT) AS size, tag, CAST(d AS INT) AS depth FROM (SELECT page_id, r, unnest([0, 1, 2]) AS o, unnest(['&', CAST(k AS VARCHAR), pr]) AS c, unnest(['order', 'id', 'p']) AS tag, unnest([1, 2, 2]) AS d FROM {_ORDERS})",
     "q_xml_by_attr": f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY f) - 1 AS chunk_index, c AS content, CAST(length(c) AS BIGINT) AS size, st AS value FROM (SELECT page_id, st, min(r) AS f, string_agg(k || ' ' || pr || ' &', chr(10) || chr(10) ORDER BY r) AS c FROM {_ORDERS} GROUP BY page_id, st)",
-    "q_xml_by_type": f"SELECT page_id, o AS chunk_index, c AS content, CAST(length(c) AS BIGINT) AS size, tag FROM (SELECT page_id, unnest([0, 1, 2]) AS o, unnest(['order', 'id', 'p']) AS tag, unnest([string_agg('&', chr(10) || chr(10) ORDER BY r), string_agg(CAST(k AS VARCHAR), chr(10) || chr(10) ORDER BY r), string_agg(pr, chr(10) || chr(10) ORDER BY r)]) AS c FROM {_ORDERS} GROUP BY page_id)",
+    "q_xml_by_type": f"SELECT page_id, CAST(o AS BIGINT) AS chunk_index, c AS content, CAST(length(c) AS BIGINT) AS size, tag FROM (SELECT page_id, unnest([0, 1, 2]) AS o, unnest(['order', 'id', 'p']) AS tag, unnest([string_agg('&', chr(10) || chr(10) ORDER BY r), string_agg(CAST(k AS VARCHAR), chr(10) || chr(10) ORDER BY r), string_agg(pr, chr(10) || chr(10) ORDER BY r)]) AS c FROM {_ORDERS} GROUP BY page_id)",
     "q_code_outline": f"SELECT doc_id, k AS line, CASE WHEN regexp_matches(c, '(def|function|func|fn|sub|procedure) ') THEN 'function' ELSE 'class' END AS kind, c AS content FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, trim(unnest(string_split(text, chr(10)))) AS c FROM {_PARTS(CODE)}) WHERE regexp_matches(c, '(def|function|func|fn|sub|procedure|class|interface|struct|type|enum) ')",
     "q_strip_hash_comments": f"SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN contains(x, '#') AND NOT contains(x, chr(39)) AND NOT contains(x, '\"') THEN string_split(x, '#')[1] ELSE x END), chr(10)) AS text FROM {_PARTS(CODE)}",
     "q_strip_slash_comments": f"SELECT doc_id, regexp_replace(regexp_replace(text, '//.*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g') AS text FROM {_SLASH_SQL}",

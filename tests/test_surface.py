@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docslice.__main__ import main
 from docslice.functions import analyze, tokens
 from docslice.functions import text as T
-from docslice.operators import feedback, media, model, pdf, topics, vectors, windows
+from docslice.operators import closed, feedback, media, model, pdf, topics, vectors, windows
 from docslice.plans import catalog, config
 from docslice.sources import files
 from docslice.streaming import chunks as streams
@@ -282,3 +282,18 @@ def test_hashed_embeddings(spark):
                 v[(h - (1 << 64) if h >> 63 else h) % 16] += 1
             want[k] = (v / np.linalg.norm(v)).tolist()
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_random_patches(spark):
+    import xxhash
+
+    frame = spark.createDataFrame([(5, 100, 80), (6, 31, 90), (7, 32, 32)], "image_id long, width int, height int")
+    got = {(r["image_id"], r["k"]): (r["x"], r["y"], r["w"], r["h"]) for r in closed.random_patches(frame, 32, 3).collect()}
+
+    def at(image, k, side, salt):
+        h = xxhash.xxh64_intdigest(image.to_bytes(8, "little"), 42)
+        for v in (k, 42 + salt):
+            h = xxhash.xxh64_intdigest(v.to_bytes(4, "little"), h)
+        return (h - (1 << 64) if h >> 63 else h) % (side - 32 + 1)
+
+    assert got == {(i, k): (at(i, k, w, 0), at(i, k, h, 1), 32, 32) for i, w, h in ((5, 100, 80), (7, 32, 32)) for k in range(3)}
