@@ -6,14 +6,18 @@ articleBody), its text is what is left in there. Pages that mark none are compar
 sorted by host and URL path, each is paired with the neighbour that shares more leading path, the lines of both are
 aligned by longest common subsequence, and lines that the pair shares are deleted as the site's frame. Copies are no
 pair: pages of equal lines count as one, and neighbours with 0.9 of the lines in common, or that hold all lines of the
-page, are passed over. A page with none but such among the 8 on either side keeps all its lines.
+page, are passed over, however many there are: the WINDOW pages on either side are looked at first, and where all of them
+are copies the search goes on to the ends of the host. A page whose host holds none but such keeps all its lines.
 
 Differencing alone can't give right results: menus here differ from page to page, and copies of an article share all
 lines (see the README for figures); so lines inside a marked article are never deleted.
 
 Each page is parsed once, whether or not it marks an article. Pairs are found on hashes of lines (8 bytes each), by a
 global sort that no host can overload; only hosts with pages that mark no article take part, and the pages of a part
-stream through a window. Lines are aligned in linear memory.
+stream through a window. The search beyond it holds the hashes of a part's pages (of hosts that need it) with the lines
+that neighbouring pages, their pairs and so on have in common: what holds all of a page's lines, or 0.9 of them, in
+common to many pages shows all of these to be copies at once. Parts that are shown so are skipped, the others are
+searched one after another. Lines are aligned in linear memory.
 
 Defined cases: a null or empty html gives an empty text; a null url is a page without neighbours; repeated rows are
 pages like others (and count as one in the comparison); tags that are cut off at the end of a page are
@@ -22,6 +26,7 @@ dropped; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import itertools
 import re
@@ -65,7 +70,7 @@ UNSEEN = set("script style noscript template head iframe svg canvas object texta
 #: Whole class values that mark an article element as something else than the page's article.
 SIDE_ARTICLE = set("comment reply ad ads advert advertisement promo related sponsored".split())
 WORDS = re.compile(r"[a-z]+")
-#: Fraction of lines in common from which two pages are copies, and pages on each side that are looked at.
+#: Fraction of lines in common from which two pages are copies, and pages on each side that are looked at first.
 NEAR, WINDOW = 0.9, 8
 CLOSES_P = BLOCK - {"option", "head", "html", "body"}
 
@@ -305,7 +310,7 @@ def near_copy(same: int, a: int, b: int) -> bool:
 
 def _neighbours(edges: dict) -> object:
     """Texts of rows without the lines shared with the nearest page in the sorted order that is no near copy; edges: the
-    rows just outside of each partition."""
+    rows just outside of each partition. The text is null where the window holds none on a side, and the host may go on."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: deque[dict] = deque(maxlen=WINDOW)
@@ -318,9 +323,11 @@ def _neighbours(edges: dict) -> object:
             if row["lines"] is None:
                 return None
             own, best = np.array(row["hashes"], np.int64), None
-            for side in sides:
+            if not row["host"]:
+                return row["key"], "\n\n".join(row["lines"])
+            for side, way in zip(sides, ("before", "after"), strict=True):
                 for x in side:
-                    if x["host"] != row["host"] or not row["host"]:
+                    if x["host"] != row["host"]:
                         break
                     other = np.array(x["hashes"], np.int64)
                     same = common(own, other)
@@ -329,6 +336,9 @@ def _neighbours(edges: dict) -> object:
                         if best is None or far > best[0]:
                             best = far, same
                         break
+                else:
+                    if len(side) == WINDOW or (part, way) in edges:
+                        return row["key"], None
             keep = row["lines"] if best is None else [t for t, s in zip(row["lines"], best[1], strict=True) if not s]
             return row["key"], "\n\n".join(keep)
 
@@ -337,7 +347,7 @@ def _neighbours(edges: dict) -> object:
         def made() -> Iterator[pa.RecordBatch]:
             if found := [x for x in out if x]:
                 key, text = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(text)], ["key", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(text, pa.string())], ["key", "text"])
             out.clear()
 
         for b in batches:
@@ -358,6 +368,169 @@ def _neighbours(edges: dict) -> object:
     return rows
 
 
+class Span:
+    """Pages of one host in their order, as hashes of lines. Level 0 of the tree over them is the pages; a node holds lines
+    that all pages below it have in common, in order, and the size of the longest."""
+
+    def __init__(self) -> None:
+        self.pages: list[np.ndarray] = []
+        self.paths: list[str] = []
+        self.at: dict[int, int] = {}
+        self._nodes: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+
+    def add(self, key: int, path: str, lines: np.ndarray) -> None:
+        self.at[key] = len(self.pages)
+        self.pages.append(lines)
+        self.paths.append(path)
+
+    def width(self, level: int) -> int:
+        return -(-len(self.pages) >> level)
+
+    def node(self, level: int, i: int) -> tuple[np.ndarray, int]:
+        if not level:
+            return self.pages[i], len(self.pages[i])
+        if (level, i) not in self._nodes:
+            made, size = self.node(level - 1, 2 * i)
+            if 2 * i + 1 < self.width(level - 1):
+                other, longest = self.node(level - 1, 2 * i + 1)
+                made, size = made[common(made, other)], max(size, longest)
+            self._nodes[level, i] = made, size
+        return self._nodes[level, i]
+
+    def whole(self) -> tuple[np.ndarray, int]:
+        return self.node((len(self.pages) - 1).bit_length(), 0)
+
+    def nearest(self, own: np.ndarray, i: int, step: int) -> int | None:
+        """The first page from i on, in steps of 1 or -1, that is no copy of a page of `own` lines."""
+        level = 0
+        while 0 <= i < self.width(level):
+            lines, size = self.node(level, i)
+            if passed_over(own, len(own), lines, size):
+                i += step
+                # the node above holds none but pages ahead
+                while 0 <= i < self.width(level) and self.width(level) > 1 and i % 2 == (step < 0):
+                    i, level = i // 2, level + 1
+            elif not level:
+                return i
+            else:
+                level -= 1
+                i = 2 * i if step > 0 else min(2 * i + 1, self.width(level) - 1)
+        return None
+
+
+def passed_over(a: np.ndarray, longest_a: int, b: np.ndarray, longest_b: int) -> bool:
+    """Whether lines a, common to some pages (the longest of longest_a lines), and b, common to others, show that each of
+    these is passed over for each of those. Of two pages themselves: whether it is."""
+    same = int(common(a, b).sum())
+    return same >= longest_a or near_copy(same, longest_a, longest_b)
+
+
+FOUND = "kind string, key long, host string, path string, hashes array<long>, side int, origin int, far int, same array<boolean>, size int"
+
+
+def _walk(firsts: dict, lasts: dict) -> object:
+    """Of the pages of a part that ask (first step), or queries from other parts (side, origin): the nearest page of their
+    host on the side that is no copy (found), or that there is none up to the end of the part and the host may go on (on);
+    lines that all of the latter have in common, and all pages of a part of one host (core, all)."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    kinds = dict(zip(names, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.bool_()), pa.int32()), strict=True))
+    schema = pa.schema(list(kinds.items()))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans: dict[str, Span] = {}
+        asking: list[tuple[str, int]] = []
+        cores: dict[int, tuple[np.ndarray, int]] = {}
+        part = None
+        out: list[dict] = []
+
+        def search(key: int, host: str, path: str, own: np.ndarray, i: int, side: int, origin: int) -> None:
+            span = spans[host]
+            at = span.nearest(own, i, side)
+            if at is not None:
+                out.append({"kind": "found", "key": key, "side": side, "far": leading(span.paths[at], path), "same": common(own, span.pages[at]).tolist()})
+            elif host == (lasts if side > 0 else firsts)[part]:
+                out.append({"kind": "on", "key": key, "host": host, "path": path, "hashes": own.tolist(), "side": side, "origin": origin})
+                if origin == part:
+                    lines, size = cores.get(side, (own, 0))
+                    cores[side] = lines[common(lines, own)], max(size, len(own))
+
+        def made(least: int) -> Iterator[pa.RecordBatch]:
+            if len(out) >= least:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out.clear()
+
+        for b in batches:
+            for r in b.to_pylist():
+                part, host, own = r["part"], r["host"], np.array(r["hashes"], np.int64)
+                if r["side"]:
+                    search(r["key"], host, r["path"], own, 0 if r["side"] > 0 else len(spans[host].pages) - 1, r["side"], r["origin"])
+                    yield from made(1000)
+                    continue
+                spans.setdefault(host, Span()).add(r["key"], r["path"], own)
+                if r["asks"]:
+                    asking.append((host, r["key"]))
+        for host, key in asking:
+            i = spans[host].at[key]
+            for side in (-1, 1):
+                search(key, host, spans[host].paths[i], spans[host].pages[i], i + side, side, part)
+            yield from made(1000)
+        for side, (lines, size) in cores.items():
+            out.append({"kind": "core", "hashes": lines.tolist(), "side": side, "origin": part, "size": size})
+        if cores and firsts[part] == lasts[part]:
+            lines, size = spans[firsts[part]].whole()
+            out.append({"kind": "all", "hashes": lines.tolist(), "origin": part, "size": size})
+        yield from made(1)
+
+    return rows
+
+
+def _beyond(ordered: DataFrame, asking: DataFrame, firsts: dict, lasts: dict) -> DataFrame:
+    """key, text of the pages that ask: as _neighbours decides, over all pages of the host. firsts, lasts: the host of the
+    first and the last page of each part."""
+    spark, parts = ordered.sparkSession, sorted(firsts)
+    order = ["part", "side", "host", "path", "key"]
+    asks = ordered.join(asking, "key", "left_semi")
+    pages = ordered.select("part", "host", "path", "key", "hashes").join(asks.select("host").distinct(), "host", "left_semi")
+    pages = pages.join(asking.withColumn("asks", F.lit(True)), "key", "left").select(*("part host path key hashes".split()), F.coalesce("asks", F.lit(False)).alias("asks"), F.lit(0).alias("side"), F.lit(-1).alias("origin"))
+    pages = materialise(pages, "html-beyond")
+    place = {x: i for i, x in enumerate(parts)}
+    todo, steps, cores, whole, now = pages, [], {}, {}, {}
+    while True:
+        # pages of a part come before what is asked of them
+        dealt = todo.withColumn("query", F.col("side") != 0).repartition(len(parts), "part").sortWithinPartitions("part", "query", *order[1:]).drop("query")
+        step = materialise(arrow_rows(dealt, _by_part(_walk(firsts, lasts)), FOUND), "html-walk")
+        steps.append(step)
+        if len(steps) == 1:
+            for r in step.filter("kind in ('core', 'all')").collect():
+                lines = np.array(r["hashes"], np.int64), r["size"]
+                if r["kind"] == "all":
+                    whole[r["origin"]] = lines
+                else:
+                    cores[r["origin"], r["side"]] = lines
+            now = {x: place[x[0]] for x in cores}
+        else:
+            now = {tuple(r): now[tuple(r)] for r in step.filter("kind = 'on'").select("origin", "side").distinct().collect()}
+        for x in list(now):
+            origin, side = x
+            host, i = (lasts if side > 0 else firsts)[origin], now[x] + side
+            while 0 <= i < len(parts) and firsts[parts[i]] == lasts[parts[i]] == host and parts[i] in whole and passed_over(*cores[x], *whole[parts[i]]):
+                i += side
+            now[x] = i
+            if not 0 <= i < len(parts) or (firsts if side > 0 else lasts)[parts[i]] != host:
+                del now[x]
+        if not now:
+            break
+        goals = spark.createDataFrame([(*x, parts[i]) for x, i in now.items()], "origin int, side int, part int")
+        queries = step.filter("kind = 'on'").join(F.broadcast(goals), ["origin", "side"])
+        held = pages.join(F.broadcast(goals.select("part").distinct()), "part", "left_semi").withColumn("asks", F.lit(False))
+        todo = held.unionByName(queries.select("part", "host", "path", "key", "hashes", F.lit(False).alias("asks"), "side", "origin"))
+    found = functools.reduce(DataFrame.unionAll, [x.filter("kind = 'found'").select("key", "side", "far", "same") for x in steps])
+    # of two as near, that before
+    best = found.groupBy("key").agg(F.max_by("same", F.struct("far", -F.col("side"))).alias("same"))
+    kept = F.filter("lines", lambda x, i: F.col("same").isNull() | ~F.get("same", i))
+    return materialise(asks.select("key", "lines").join(best, "key", "left").select("key", F.array_join(kept, "\n\n").alias("text")), "html-texts")
+
+
 def difference(every: DataFrame) -> DataFrame:
     """key, text of the pages (key, host, path, hashes, lines; lines are null where a page marks its article) that mark
     no article: their lines less those shared with the page of the nearest URL of their host that is no near copy."""
@@ -381,14 +554,16 @@ def difference(every: DataFrame) -> DataFrame:
         edges[x, "after"] = [r.asDict() for r in ends[0] if r["part"] == y]
         edges[y, "before"] = [r.asDict() for r in reversed(ends[1]) if r["part"] == x]
     own = ordered.repartition(max(1, len(parts)), "part").sortWithinPartitions("part", *order)
-    texts = materialise(arrow_rows(own, _by_part(edges), "key long, text string"), "html-texts")
+    texts = materialise(arrow_rows(own, _by_part(_neighbours(edges)), "key long, text string"), "html-texts")
+    left = texts.filter(F.col("text").isNull()).select("key")
+    if not left.isEmpty():
+        outer = [{r["part"]: r["host"] for r in x if r["rank"] == 1} for x in ends]
+        texts = texts.filter(F.col("text").isNotNull()).unionAll(_beyond(ordered, left, *outer))
     named = ordered.filter(F.col("lines").isNotNull()).select(*copies, "key").join(texts, "key").drop("key")
     return every.filter(F.col("lines").isNotNull()).select("key", *copies).distinct().join(named, copies).select("key", "text")
 
 
-def _by_part(edges: dict) -> object:
-    each = _neighbours(edges)
-
+def _by_part(each: object) -> object:
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for b in batches:
             part = b.column(b.schema.get_field_index("part")).to_numpy()
@@ -398,7 +573,7 @@ def _by_part(edges: dict) -> object:
                     yield int(part[a]), b.slice(a, z - a)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Parts follow one another in a task; each begins anew, and only its window of rows is held."""
+        """Parts follow one another in a task; each begins anew, and only what `each` holds of it is held."""
         for _, own in itertools.groupby(slices(batches), key=lambda x: x[0]):
             yield from each(b for _, b in own)
 

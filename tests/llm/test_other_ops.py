@@ -233,6 +233,54 @@ def test_differencing_is_the_slow_one(spark, monkeypatch, parts):
     assert len({x[1] for x in rows}) == len(rows) and got == slow_difference(rows)
 
 
+def test_nearest_page_that_is_no_copy_is_that_of_a_scan():
+    r = np.random.default_rng(5)
+    for k in range(300):
+        span, pages = html.Span(), []
+        for i in range(r.integers(1, 40)):
+            story = r.integers(0, 3) * 100 if k % 3 == 0 else 100 * (i // 15)
+            page = story + np.arange(r.integers(8, 12) if k % 2 else 10)
+            page[r.integers(0, len(page) if k % 5 else 1)] = r.integers(1000, 1005)
+            pages.append(page[: r.integers(1, 4)] if r.random() < 0.1 else page)
+            span.add(i, "", pages[-1])
+        for i, own in enumerate(pages):
+            for step in (-1, 1):
+                ahead = range(i + step, len(pages) if step > 0 else -1, step)
+                scan = (j for j in ahead if not (same := html.common(own, pages[j])).all() and same.sum() < html.NEAR * max(len(own), len(pages[j])))
+                assert span.nearest(own, i + step, step) == next(scan, None)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 11])
+def test_copies_beyond_the_window_hide_no_page(spark, monkeypatch, parts):
+    r = np.random.default_rng(9)
+    head, foot = [f"menu {i}" for i in range(4)], ["about", "imprint"]
+    story = [[f"sentence {k} {i}" for i in range(24)] for k in range(3)]
+    hosts = {}
+    # one story to the end of the host
+    hosts["a"] = [[*head, *story[0], f"visitor {k}", *foot] for k in range(70)] + [[*head, "other article", *foot]]
+    # stories by turns of 30, changed anywhere, and pages of the frame alone; one path has the same beginning as a page far off
+    for k in range(150):
+        own = list(story[k // 30 % 3])
+        own[r.integers(24)] = f"changed {k}"
+        hosts.setdefault("b", []).append(head[: r.integers(2, 5)] if k % 17 == 0 else [*head, *own, *foot])
+    # nothing else
+    hosts["c"] = [[*head, *story[1], f"visitor {k}", *foot] for k in range(40)]
+    rows = [(f"http://{host}.example/p{k // 40}/{r.integers(10**6)}", x) for host, pages in hosts.items() for k, x in enumerate(pages)]
+    table = spark.createDataFrame([(k, url, "".join(f"<p>{x}</p>" for x in lines)) for k, (url, lines) in enumerate(rows)], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {x["page_id"]: x["text"] for x in html.main_text(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    monkeypatch.setattr(html, "WINDOW", len(rows))  # of the slow rule
+    want = {}
+    for host in hosts:
+        want |= slow_difference([(k, html._place(url)[1], lines) for k, (url, lines) in enumerate(rows) if html._place(url)[0] == f"{host}.example"])
+    assert len({x[0] for x in rows}) == len(rows) and got == want
+    assert got[70] == "other article" and got[35].startswith("sentence 0 0") and got[35].endswith("visitor 35")
+
+
 # archive
 
 
