@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, similarity 0.8): that with the smallest doc_id."""
+    """One document of each group of near-duplicates (5-word shingles, similarity 0.8): that with the smallest doc_id.
+    Pairs are found by SimHash links and by MinHash bands."""
     ship(spark)
     return shingles.deduplicate(docs)
 

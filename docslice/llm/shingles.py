@@ -1,9 +1,10 @@
-"""Near-duplicates by similarity of shingle sets: MinHash bands find pairs, the sets themselves decide.
+"""Near-duplicates by similarity of shingle sets: SimHash and MinHash bands find pairs, the sets themselves decide.
 
-SimHash keys can't serve here: texts whose sets of shingles have a Jaccard similarity of 0.8 differ in about 10 of 64
-bits, and no key holds for that many. Each distinct set so gives BANDS keys of ROWS least hashes; two sets of similarity
-s share none with probability (1 - s^ROWS)^BANDS: 0.00003 at 0.8, less above. Sets with a common key (a run) are
-compared exactly, on 32-bit hashes of all their shingles.
+SimHash links fingerprints as op8 does (Golay-code keys, 2 of 64 bits); sets whose texts have connected fingerprints are
+compared, so no pair within 2 bits is missed. It can't serve alone: texts whose sets of shingles have a Jaccard similarity
+of 0.8 differ in about 10 bits, and no key holds for that many. Each distinct set so gives BANDS more keys of ROWS least
+hashes; two sets of similarity s share none of these with probability (1 - s^ROWS)^BANDS: 0.00003 at 0.8, less above.
+Sets with a common key (a run) are compared exactly, on 32-bit hashes of all their shingles.
 
 Equal sets are folded to one class first. Runs of the same members are compared once. Runs over BLOCK are cut into
 blocks that each hold the run's first class as well; classes that its component does not reach in the first round meet
@@ -24,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docslice.llm import simhash
 from docslice.llm.components import components
-from docslice.llm.simhash import SEED, keep_one, shingle_hashes
+from docslice.llm.simhash import SEED, fingerprint, keep_one, shingle_hashes
 from docslice.runtime import arrow_rows, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -46,25 +48,28 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """row (unique), doc_id, text_hash, node (the class), bands and shingles (32-bit hashes) of each row."""
+    """row (unique), doc_id, text_hash, node (the class), bands, shingles (32-bit hashes) and print (op8's fingerprint) of
+    each row."""
     none = np.zeros(0, np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys, sets = [], [], []
-            for t in b.column(3):
-                h = np.unique(shingle_hashes(t.as_py() or b"", shingle))
+            nodes, keys, sets, prints = [], [], [], np.zeros(b.num_rows, np.uint64)
+            for i, t in enumerate(b.column(3)):
+                text = t.as_py() or b""
+                prints[i] = fingerprint(text)
+                h = np.unique(shingle_hashes(text, shingle))
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63))
                 keys.append(bands(h) if len(h) else none)
                 sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
-                ["row", "doc_id", "text_hash", "node", "bands", "shingles"],
+                [*b.columns[:3], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32())), pa.array(prints.view(np.int64))],
+                ["row", "doc_id", "text_hash", "node", "bands", "shingles", "print"],
             )
 
     text = F.col("text").cast("binary")
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return arrow_rows(own, rows, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, bands array<long>, shingles array<int>")
+    return arrow_rows(own, rows, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, bands array<long>, shingles array<int>, print long")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -147,11 +152,20 @@ def _meet(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(arrow_rows(full.repartition("g").sortWithinPartitions("g"), rows, "a long, b long"), "shingles-links")
 
 
-def classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node, root: the component of each class of sketches that has links; the others are components of their own."""
+def print_keys(base: DataFrame) -> DataFrame:
+    """key, node: the classes of sketches by the components of their texts' fingerprints under SimHash links."""
+    own = materialise(base.filter(F.size("bands") > 0).select("print", "node").distinct(), "shingles-prints")
+    linked = own.join(simhash.classes(own.select("print").distinct()), "print", "left")
+    return linked.select(F.coalesce("root", "print").alias("key"), "node")
+
+
+def classes(base: DataFrame, similarity: float = SIMILARITY, more: DataFrame | None = None) -> DataFrame:
+    """node, root: the component of each class of sketches that has links; the others are components of their own. more:
+    keys (key, node) besides the bands."""
     least = base.filter(F.size("bands") > 0).groupBy("node").agg(F.min("row").alias("row"))
     heads = materialise(base.select("row", "node", "bands").join(least.select("row"), "row", "left_semi"), "shingles-heads")
     keyed = heads.select(F.explode("bands").alias("key"), "node")
+    keyed = keyed if more is None else keyed.unionAll(more)
     found = arrow_rows(keyed.repartition("key").sortWithinPartitions("key"), partial(_members, most=BLOCK), "run long, block long, node long, first long, hot boolean")
     members = materialise(found.distinct(), "shingles-members")
     # each class's set moves by its row's number, which no other row has
@@ -186,4 +200,4 @@ def _unreached(hot: DataFrame, tree: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One row of docs, all columns, for each component of texts that are similar, as simhash.keep_one chooses it."""
     base = materialise(sketches(docs, shingle), "shingles-base")
-    return keep_one(docs, base.select("doc_id", "text_hash", "node"), classes(base, similarity))
+    return keep_one(docs, base.select("doc_id", "text_hash", "node"), classes(base, similarity, print_keys(base)))

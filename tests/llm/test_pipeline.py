@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docslice.llm import mixing, tokenbin, toxicity
+from docslice.llm import mixing, shingles, simhash, tokenbin, toxicity
 from tests.llm.test_text_ops import slow_hits, slow_similar
 
 NAMES = [name for name, _ in corpus_pipeline.STAGES]
@@ -44,6 +44,20 @@ def slow_one_of_each(docs):
     return [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
 
 
+def test_simhash_finds_similar_texts_that_share_no_band(spark, tables):
+    texts = []
+    for seed in (22318, 49650, 58862, 106405):
+        words = " ".join(f"w{i}" for i in np.random.default_rng(seed).integers(0, 1 << 30, 17))
+        own = [f"{'round and round we go again friend ' * 60}{words} {x}1 {x}2 {x}3" for x in "ab"]
+        a, b = (np.unique(simhash.shingle_hashes(t.encode(), shingles.SHINGLE)) for t in own)
+        assert not (shingles.bands(a) == shingles.bands(b)).any() and (simhash.fingerprint(own[0].encode()) ^ simhash.fingerprint(own[1].encode())).bit_count() <= 2
+        # the other text, of equal fingerprint, is not similar
+        texts += [*own, f"{'round and round we go again friend ' * 60}{seed} and so on to the end of this other song"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(x["doc_id"] for x in BY_NAME["simhash near-dedup"](spark, frame, tables).collect())
+    assert got == sorted(set(slow_similar(texts))) and 0 in got and 1 not in got
+
+
 def slow_clean(spark, docs, sf_dir):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     return Counter(str(r) for r in docs.collect() if not slow_hits(r["text"], items)[1])
