@@ -15,8 +15,8 @@ lines (see the README for figures); so lines inside a marked article are never d
 Each page is parsed once, whether or not it marks an article. Pairs are found on hashes of lines (8 bytes each), by a
 global sort that no host can overload; only hosts with pages that mark no article take part, and the pages of a part
 stream through a window. The search beyond it holds the hashes of a part's pages (of hosts that need it) with the lines
-that neighbouring pages, their pairs and so on have in common: what holds all of a page's lines, or 0.9 of them, in
-common to many pages shows all of these to be copies at once. Parts that are shown so are skipped, the others are
+that neighbouring pages, their pairs and so on have in common: if these hold all of a page's lines, or 0.9, all pages
+they are common to are shown to be copies at once. Blocks where they don't are searched page by page. Parts that are shown so are skipped, the others are
 searched one after another. Lines are aligned in linear memory.
 
 Defined cases: a null or empty html gives an empty text; a null url is a page without neighbours; repeated rows are
@@ -370,13 +370,16 @@ def _neighbours(edges: dict) -> object:
 
 class Span:
     """Pages of one host in their order, as hashes of lines. Level 0 of the tree over them is the pages; a node holds lines
-    that all pages below it have in common, in order, and the size of the longest."""
+    that all pages below it have in common, in order, and the size of the longest. Nodes of level `deep` are blocks."""
+
+    deep = 8
 
     def __init__(self) -> None:
         self.pages: list[np.ndarray] = []
         self.paths: list[str] = []
         self.at: dict[int, int] = {}
         self._nodes: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+        self._marks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, key: int, path: str, lines: np.ndarray) -> None:
         self.at[key] = len(self.pages)
@@ -402,19 +405,37 @@ class Span:
 
     def nearest(self, own: np.ndarray, i: int, step: int) -> int | None:
         """The first page from i on, in steps of 1 or -1, that is no copy of a page of `own` lines."""
-        level = 0
-        while 0 <= i < self.width(level):
-            lines, size = self.node(level, i)
-            if passed_over(own, len(own), lines, size):
-                i += step
-                # the node above holds none but pages ahead
-                while 0 <= i < self.width(level) and self.width(level) > 1 and i % 2 == (step < 0):
-                    i, level = i // 2, level + 1
-            elif not level:
-                return i
-            else:
+        if not 0 <= i < len(self.pages):
+            return None
+        at = self._in_block(own, i, step)
+        level, i = self.deep, (i >> self.deep) + step
+        while at is None and 0 <= i < self.width(level):
+            shown = passed_over(own, len(own), *self.node(level, i))
+            if not shown and level > self.deep:
                 level -= 1
                 i = 2 * i if step > 0 else min(2 * i + 1, self.width(level) - 1)
+                continue
+            if not shown:
+                at = self._in_block(own, i << level if step > 0 else min((i + 1) << level, len(self.pages)) - 1, step)
+            i += step
+            # the node above holds none but pages ahead
+            while 0 <= i < self.width(level) and self.width(level) > 1 and i % 2 == (step < 0):
+                i, level = i // 2, level + 1
+        return at
+
+    def _in_block(self, own: np.ndarray, i: int, step: int) -> int | None:
+        """As nearest, up to the end of the block of page i. What both pages share with the block's first page at the same
+        lines they share with each other; where that does not show that they are copies, they are aligned."""
+        k, first = i >> self.deep, i >> self.deep << self.deep
+        if k not in self._marks:
+            some = self.pages[first : first + (1 << self.deep)]
+            self._marks[k] = np.array([common(some[0], x) for x in some]), np.array([len(x) for x in some])
+        marks, sizes = self._marks[k]
+        same = (marks & common(self.pages[first], own)).sum(1)
+        left = first + np.flatnonzero((same < len(own)) & (same < NEAR * np.maximum(sizes, len(own))))
+        for j in (left[left >= i] if step > 0 else left[left <= i][::-1]).tolist():
+            if not passed_over(own, len(own), self.pages[j], len(self.pages[j])):
+                return j
         return None
 
 

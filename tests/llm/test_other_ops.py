@@ -233,7 +233,9 @@ def test_differencing_is_the_slow_one(spark, monkeypatch, parts):
     assert len({x[1] for x in rows}) == len(rows) and got == slow_difference(rows)
 
 
-def test_nearest_page_that_is_no_copy_is_that_of_a_scan():
+@pytest.mark.parametrize("deep", [0, 2, 8])
+def test_nearest_page_that_is_no_copy_is_that_of_a_scan(monkeypatch, deep):
+    monkeypatch.setattr(html.Span, "deep", deep)
     r = np.random.default_rng(5)
     for k in range(300):
         span, pages = html.Span(), []
