@@ -45,21 +45,42 @@ def _kernel(width: int = 11, sigma: float = 1.5) -> np.ndarray:
     return k / k.sum()
 
 
-def _blurred(x: np.ndarray) -> np.ndarray:
+def _blur_matrix(n: int) -> np.ndarray:
+    """The blur of a side of n as a matrix, its padding at the edges included."""
     k, r = _kernel(), 5
-    for axis in (0, 1):
-        pad = np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="reflect" if x.shape[axis] > r else "symmetric")
-        x = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, pad)
-    return x
+    at = np.pad(np.arange(n), r, mode="reflect" if n > r else "symmetric")
+    out = np.zeros((n, n))
+    for i in range(n):
+        np.add.at(out[i], at[i : i + 2 * r + 1], k)
+    return out
 
 
-def ssim(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean structural similarity of two grey images of one shape (Gaussian window of 11, deviation 1.5)."""
+def ssims(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean structural similarity of pairs of grey images, all of one shape (Gaussian window of 11, deviation 1.5)."""
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     a, b = a.astype(float), b.astype(float)
-    ma, mb = _blurred(a), _blurred(b)
-    va, vb, cov = _blurred(a * a) - ma * ma, _blurred(b * b) - mb * mb, _blurred(a * b) - ma * mb
-    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
+    down, across = _blur_matrix(a.shape[1]), _blur_matrix(a.shape[2]).T
+    blurred = lambda x: down @ x @ across
+    ma, mb = blurred(a), blurred(b)
+    va, vb, cov = blurred(a * a) - ma * ma, blurred(b * b) - mb * mb, blurred(a * b) - ma * mb
+    return (((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean((1, 2))
+
+
+def ssim(a: np.ndarray, b: np.ndarray) -> float:
+    return float(ssims(a[None], b[None])[0])
+
+
+def _paired(now: pa.Array, past: pa.Array, width: int) -> np.ndarray:
+    """1 - SSIM of each pair of lists; pairs of one size are taken together, a bounded number at a time."""
+    sizes = np.asarray(now.value_lengths())
+    out = np.zeros(len(now))
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        for k in range(0, len(at), step := max(1, (1 << 18) // max(1, int(n)))):
+            own = pa.array(at[k : k + step])
+            x, y = (np.asarray(c.take(own).flatten()).reshape(len(own), -1, width) for c in (now, past))
+            out[at[k : k + step]] = 1 - ssims(x, y)
+    return out
 
 
 def structure_changes(frames: DataFrame, width: int, key: str = "media_id") -> DataFrame:
@@ -68,7 +89,7 @@ def structure_changes(frames: DataFrame, width: int, key: str = "media_id") -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [round((1 - ssim(np.array(x).reshape(-1, width), np.array(y).reshape(-1, width))) * 100, 6) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            made = [round(v, 6) for v in (_paired(b.column(2), b.column(3), width) * 100).tolist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.float64())], [key, "t", "difference"])
 
     return arrow_rows(pair, rows, f"{key} {frames.schema[key].dataType.simpleString()}, t double, difference double")

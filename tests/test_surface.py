@@ -2,10 +2,12 @@
 
 import json
 import re
+import time
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +241,19 @@ def test_structural_similarity_by_direct_sums():
     assert media.ssim(a, b) == pytest.approx(total / 108) and media.ssim(a, a) == pytest.approx(1.0)
 
 
+def test_structure_of_many_pairs():
+    """Pairs of several sizes are measured by the batch, each as by itself; 40,000 take seconds, not a minute."""
+    r = np.random.default_rng(5)
+    frames = [r.integers(0, 256, n).astype(float) for n in (64, 16, 64, 8, 16, 64) for _ in range(2)]
+    now, past = pa.array(frames[::2]), pa.array(frames[1::2])
+    alone = [1 - media.ssim(x.reshape(-1, 4), y.reshape(-1, 4)) for x, y in zip(frames[::2], frames[1::2], strict=True)]
+    assert media._paired(now, past, 4) == pytest.approx(np.array(alone))
+    many = pa.array(list(r.integers(0, 256, (40_000, 64)).astype(float)))
+    began = time.process_time()
+    assert len(media._paired(many, many[::-1], 8)) == 40_000
+    assert time.process_time() - began < 8
+
+
 def test_encodings_that_are_tried(spark):
     rows = [("a", b""), ("b", b"plain"), ("c", "ä".encode()), ("d", b"odds\xe9"), ("e", b"\xe9\x00ab"), ("f", b"\xff\xfe\x00\x00x"), ("g", None)]
     got = {r["path"]: (r["encoding"], r["confidence"], r["method"]) for r in analyze.detect_encoding(spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in rows], "path string, content binary")).collect()}
