@@ -83,11 +83,25 @@ def by_window(sims: DataFrame, width: int = 3, margin: float = 0.1, key: str = "
     return out.filter((F.col("sim") < F.col("left") - margin) & (F.col("sim") < F.col("right") - margin)).select(key, "i", "sim")
 
 
+def _spread_of(sims: Column) -> Column:
+    """mean and deviation of an array, folded in its order: a similarity often lies right on mean less deviation (always
+    for one of two), so the last bit counts. The steps are those of Welford, with the remainder of the new mean."""
+    begun = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(z: Column, x: Column) -> Column:
+        mean = z["mean"] + (x - z["mean"]) / (z["n"] + 1)
+        return F.struct((z["n"] + 1).alias("n"), (z["total"] + x).alias("total"), mean.alias("mean"), (z["squares"] + (x - mean) * (x - z["mean"])).alias("squares"))
+
+    return F.aggregate(sims, begun, step, lambda z: F.struct((z["total"] / z["n"]).alias("m"), F.sqrt(z["squares"] / z["n"]).alias("s")))
+
+
 def by_spread(sims: DataFrame, least: float = 0.3, key: str = "doc_id") -> DataFrame:
     """Similarity under the document's mean less its deviation; strength in deviations."""
-    w = Window.partitionBy(key)
-    out = sims.withColumns({"m": F.avg("sim").over(w), "s": F.stddev_pop("sim").over(w)})
-    return out.filter(F.col("sim") < F.greatest(F.lit(least), F.col("m") - F.col("s"))).select(key, "i", "sim", F.when(F.col("s") > 0, F.round((F.col("m") - F.col("sim")) / F.col("s"), 6)).otherwise(0.0).alias("strength"))
+    own = sims.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "sim"))).alias("own"))
+    of = F.explode(F.array(_spread_of(F.transform("own", lambda x: x["sim"]))))  # a generator: folded once a document
+    under = own.select(key, "own", of.alias("of")).select(key, F.col("of.s").alias("s"), F.col("of.m").alias("m"), F.greatest(F.lit(least), F.col("of.m") - F.col("of.s")).alias("bar"), "own")
+    out = under.select(key, "m", "s", F.inline(F.filter("own", lambda x: x["sim"] < F.col("bar"))))
+    return out.select(key, "i", "sim", F.when(F.col("s") > 0, F.round((F.col("m") - F.col("sim")) / F.col("s"), 6)).otherwise(0.0).alias("strength"))
 
 
 def by_coherence(sims: DataFrame, width: int = 3, weight: float = 0.3, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -449,3 +450,16 @@ def test_office_formats():
 def test_paragraphs_end_at_the_next_one():
     found = [(e.tag, e.depth, e.text) for e in markup.Elements("<div><p>a <b>b<br><p>c<div><p>d</div> e</div><p>f").found if e.tag == "p"]
     assert found == [("p", 1, "a b"), ("p", 1, "c d e"), ("p", 3, "d"), ("p", 0, "f")]
+
+
+def test_spread_on_the_last_bit(spark):
+    """Of two similarities the smaller one lies on mean less deviation, but for the last bit, which the SQL has too."""
+    r = random.Random(3)
+    sims = [(d, i, round(r.uniform(0.4, 1), 9)) for d in range(400) for i in range(2 + d % 3)]
+    got = {(x["doc_id"], x["i"]) for x in semantic.by_spread(spark.createDataFrame(sims, "doc_id long, i long, sim double").repartition(3)).collect()}
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE s(doc_id BIGINT, i BIGINT, sim DOUBLE)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?)", sims)
+    want = con.execute("SELECT doc_id, i FROM (SELECT doc_id, i, sim, avg(sim) OVER (PARTITION BY doc_id) AS m, stddev_pop(sim) OVER (PARTITION BY doc_id) AS s FROM s) WHERE sim < greatest(0.3, m - s)").fetchall()
+    assert got == set(want)
