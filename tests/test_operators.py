@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -472,3 +473,16 @@ def test_windows_of_blank_texts(spark):
     assert chars == {(d, k): t if len(t) <= 10 else t[a : a + 10] for d, t in texts if t is not None for k, a in enumerate([0] if len(t) <= 10 else range(0, len(t), 8))}
     words = {x["doc_id"]: x["content"] for x in closed.universal_window(docs, 10, 2, unit="word").collect()}
     assert words == {d: t for d, t in texts if t is not None}
+
+
+def test_overlap_of_a_line_in_all_chunks():
+    """The value is settled long before all pairs are measured; a few pairs of long chunks are, one by one."""
+    r = random.Random(2)
+    line = "".join(r.choices("abcdefgh", k=60))
+    body = ["".join(r.choices("abcdefghijklmnop ", k=2000)) for _ in range(120)]
+    began = time.process_time()
+    assert list(chunkops._overlap([b[:900] + line + b[900:] for b in body])) == [("", 1.0)]
+    some = [b[:900] + line + b[900:] if i < 3 else b for i, b in enumerate(body)]
+    shared = sum(chunkops.longest_common(a, b) for i, a in enumerate(some[:3]) for b in some[i + 1 : 3])
+    assert list(chunkops._overlap(some)) == [("", 1 - (1 - shared / sum(map(len, some)) / 0.2))]
+    assert time.process_time() - began < 5
