@@ -24,7 +24,7 @@ def filled(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def kept(parts: Column) -> Column:

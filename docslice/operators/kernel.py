@@ -18,15 +18,27 @@ SCHEMA = "chunk_index long, content string, size long"
 
 #: Bytes of input for each core below which rows are dealt to all cores first.
 SPREAD_BYTES = 32 << 20
+#: Bytes of input of a task where a larger input is dealt, and files a core from which on it has tasks enough.
+TASK_BYTES, FILES = 16 << 20, 4
+#: What deals rows by itself.
+DEALT = ("Aggregate", "Join", "Window", "Repartition", "Distinct", "Sort")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input (which may be a single row group, so a single task) over all cores. The shuffle is bounded by the
-    cores' number times SPREAD_BYTES; larger inputs have tasks enough and stay as they are. Results are the same."""
+    """The input over all cores. A small one (which may be a single row group, so a single task) is dealt row by row. A
+    larger one in few files may lie in few row groups as well, so that a core or two would do all the work; it is dealt
+    once by a hash of the row, without a sort, into tasks of about TASK_BYTES. Where a plan deals rows by itself, or its
+    files are many, they stay. Results are the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
-    small = int(str(plan.stats().sizeInBytes())) < cores * SPREAD_BYTES
-    return df.repartition(cores) if small and "Repartition" not in plan.toString() else df
+    n, shape = int(str(plan.stats().sizeInBytes())), plan.toString()
+    if "Repartition" in shape:
+        return df
+    if n < cores * SPREAD_BYTES:
+        return df.repartition(cores)
+    if any(x in shape for x in DEALT) or not 0 < len(df.inputFiles()) < FILES * cores:
+        return df
+    return df.repartition(cores * -(-n // (cores * TASK_BYTES)), F.xxhash64(*df.columns))
 
 
 def chunk_rows(df: DataFrame, chunks: Callable[..., Iterable], inputs: list[str], schema: str = "", key: str = "doc_id", most: int = 4000) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docslice.functions import text as T
 from docslice.operators.closed import exploded
-from docslice.operators.kernel import chunk_rows
+from docslice.operators.kernel import chunk_rows, spread
 
 #: Patterns at which sections end, applied one after another, and the two word lists.
 PATTERNS = (r"(?ms)^#{1,6}\s+.*$", r"\n\n+", r"\n\s*[-*+]\s+", r"\d+\.\s+")
@@ -62,7 +62,7 @@ def _sized(parts: list[str], least: int, most: int) -> Iterator[str]:
 
 
 def pattern_sections(df: DataFrame, patterns: tuple[str, ...] = PATTERNS, least: int = 50, most: int = 2000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    parts = df.select(key, sections(T.filled(F.col(text)), patterns).alias("parts"))
+    parts = spread(df.select(key, text)).select(key, sections(T.filled(F.col(text)), patterns).alias("parts"))
     return chunk_rows(parts, partial(_sized, least=least, most=most), ["parts"], key=key)
 
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docslice.operators import adapt, cdc, chunkops, closed, code, markup, pack, semantic, structured, vectors
+from docslice.operators import adapt, cdc, chunkops, closed, code, kernel, markup, pack, semantic, structured, vectors
 from docslice.plans import catalog
 from docslice.streaming import chunks as streams
 
@@ -486,3 +486,15 @@ def test_overlap_of_a_line_in_all_chunks():
     shared = sum(chunkops.longest_common(a, b) for i, a in enumerate(some[:3]) for b in some[i + 1 : 3])
     assert list(chunkops._overlap(some)) == [("", 1 - (1 - shared / sum(map(len, some)) / 0.2))]
     assert time.process_time() - began < 5
+
+
+def test_large_inputs_in_few_files_are_dealt(spark, sf, monkeypatch):
+    """Also one past the size of small inputs, which may be a single row group; a plan that deals rows stays."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(kernel, "SPREAD_BYTES", 1)
+    dealt = kernel.spread(docs)
+    held = [n for n in dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(held) >= 4 and sum(held) == docs.count() and dealt.exceptAll(docs).isEmpty()
+    assert kernel.spread(dealt) is dealt
+    by = docs.groupBy("doc_id").count()
+    assert kernel.spread(by) is by
