@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from docslice.functions import text as T
 from docslice.operators.kernel import chunk_rows
+from docslice.runtime import arrow_rows
 
 WORDS = r"[\p{L}\p{N}_]+"
 
@@ -149,29 +154,108 @@ def semantic_chunks(sentences: DataFrame, cuts: DataFrame, least: int = 2, most:
 # TF-IDF per document -----------------------------------------------------------------------------------------------
 
 
+def words_of(sentence: Column, stop: tuple[str, ...] = ()) -> Column:
+    words = F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.filter(words, lambda x: ~x.isin(*stop)) if stop else words
+
+
+@dataclass
+class Weights:
+    """Unit-length TF-IDF of all sentences of a batch of documents; rows are sorted by sentence and term."""
+
+    doc: np.ndarray  # of each sentence
+    sentence: np.ndarray  # of each row
+    term: np.ndarray
+    weight: np.ndarray
+    names: pa.Array
+
+
+def _places(lists: pa.Array) -> np.ndarray:
+    """Which list each element of the flat lists is from; null lists are empty."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+
+
+def _weighed(units: pa.Array, pairs: bool = False, most: int | None = None) -> Weights:
+    """units: a list of sentences, each a list of words, for each document. Words become numbers of the batch, so that all
+    counts are those of sorted numbers."""
+    doc, flat = _places(units), units.flatten()
+    sentence, words = _places(flat), flat.flatten().dictionary_encode()
+    term, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+    if pairs and len(term):
+        next_ = np.flatnonzero(sentence[1:] == sentence[:-1])
+        two, at = np.unique(term[next_] * len(names) + term[next_ + 1], return_inverse=True)
+        joined = pc.binary_join_element_wise(names.take(pa.array(two // len(names))), names.take(pa.array(two % len(names))), " ")
+        term, sentence, names = np.concatenate([term, at + len(names)]), np.concatenate([sentence, sentence[next_]]), pa.concat_arrays([names, joined])
+    m = max(1, len(names))
+    keys, tf = np.unique(sentence * m + term, return_counts=True)
+    sentence, term = keys // m, keys % m
+    own, at, df = np.unique(doc[sentence] * m + term, return_inverse=True, return_counts=True)
+    if most is not None and len(own):
+        rank = np.empty(m, np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(m)
+        by = np.lexsort((rank[own % m], -np.bincount(at, tf), own // m))
+        first = np.searchsorted(own // m, own // m)  # own is sorted by document
+        place = np.empty(len(own), np.int64)
+        place[by] = np.arange(len(own)) - first
+        keep = place[at] < most
+        sentence, term, tf, at = sentence[keep], term[keep], tf[keep], at[keep]
+    n = np.bincount(doc, minlength=1)[doc[sentence]] if len(sentence) else np.zeros(0)
+    w = tf * (np.log((1 + n) / (1 + df[at])) + 1)
+    norm = np.sqrt(np.bincount(sentence, w * w, minlength=1))
+    return Weights(doc, sentence, term, w / norm[sentence] if len(sentence) else w, names)
+
+
+def by_document(sentences: DataFrame, stop: tuple[str, ...] = (), key: str = "doc_id", *more: str) -> DataFrame:
+    """key, and of all its sentences, in order, as lists: i, words (and the columns of `more`)."""
+    by = sentences.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "sentence", *more))).alias("s"))
+    words = F.transform("s.sentence", lambda x: words_of(x, stop))
+    return by.select(key, F.col("s.i").alias("i"), words.alias("words"), *(F.col(f"s.{c}").alias(c) for c in more))
+
+
+def _sliced(columns: list, names: list[str], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    made = pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
+    for a in range(0, made.num_rows, rows):
+        yield made.slice(a, rows)
+
+
 def tfidf(sentences: DataFrame, pairs: bool = False, most: int | None = None, stop: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
-    """doc, i, term, weight: unit-length TF-IDF of each sentence in its document. Sentences are dealt by document once;
-    counts, document frequencies and norms all come from that. pairs: pairs of words (that follow one another once words
-    of `stop` are out) are terms as well; most: only so many of a document's commonest terms (first by name of equals)."""
-    whole = F.count("*").over(Window.partitionBy(key)).alias("n")
-    words = F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    if stop:
-        words = F.filter(words, lambda x: ~x.isin(*stop))
-    own = sentences.select(key, "i", words.alias("w"), whole)
-    if pairs:
-        two = F.filter(F.transform("w", lambda x, k: F.concat_ws(" ", x, F.try_element_at("w", k + 2))), lambda x: x.contains(" "))
-        own = own.withColumn("w", F.concat("w", two))
-    tf = own.select(key, "i", "n", F.explode("w").alias("term")).groupBy(key, "i", "n", "term").agg(F.count("*").alias("tf"))
-    if most is not None:
-        total = tf.withColumn("_all", F.sum("tf").over(Window.partitionBy(key, "term")))
-        tf = total.withColumn("_place", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc("_all"), "term"))).filter(F.col("_place") <= most).drop("_all", "_place")
-    raw = tf.withColumn("df", F.count("*").over(Window.partitionBy(key, "term"))).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, "i")))
-    return raw.select(key, "i", "term", (F.col("w") / norm).alias("weight"))
+    """doc, i, term, weight: unit-length TF-IDF of each sentence in its document. The words of a document are gathered
+    once, and no term is shuffled. pairs: pairs of words (that follow one another once words of `stop` are out) are terms
+    as well; most: only so many of a document's commonest terms (first by name of equals)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = _weighed(b.column(2), pairs, most)
+            i = b.column(1).flatten().take(pa.array(w.sentence))
+            yield from _sliced([b.column(0).take(pa.array(w.doc[w.sentence])), i, w.names.take(pa.array(w.term)), w.weight], [key, "i", "term", "weight"])
+
+    own = by_document(sentences, stop, key)
+    return arrow_rows(own, rows, StructType([own.schema[key], *StructType.fromDDL("i long, term string, weight double")]))
+
+
+def neighbours(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, i, n (sentences of the document), sim: TF-IDF cosine of sentences i and i + 1; null where they share no term."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = _weighed(b.column(2))
+            i, m, count = b.column(1).flatten().to_numpy(), max(1, len(w.names)), len(w.doc)
+            keys = w.sentence * m + w.term
+            at = np.minimum(np.searchsorted(keys, keys + m), max(0, len(keys) - 1))
+            met = np.flatnonzero(keys[at] == keys + m)
+            sims = np.bincount(w.sentence[met], w.weight[met] * w.weight[at[met]], minlength=count)
+            shared = np.bincount(w.sentence[met], minlength=count) > 0
+            next_ = np.flatnonzero((w.doc[1:] == w.doc[:-1]) & (i[1:] == i[:-1] + 1))
+            n = np.bincount(w.doc, minlength=1)[w.doc[next_]]
+            yield from _sliced([b.column(0).take(pa.array(w.doc[next_])), i[next_], n, pa.array(sims[next_], mask=~shared[next_])], [key, "i", "n", "sim"])
+
+    own = by_document(sentences, (), key)
+    made = arrow_rows(own, rows, StructType([own.schema[key], *StructType.fromDDL("i long, n long, sim double")]))
+    return made.withColumn("sim", F.round("sim", 6))
 
 
 def tfidf_similarity(weights: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc, i, sim of sentences i and i + 1: an equi-join on the shared term."""
+    """doc, i, sim of sentences i and i + 1 by any weights: an equi-join on the shared term. See `neighbours` for TF-IDF."""
     a, b = weights.alias("a"), weights.alias("b")
     met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.i") + 1 == F.col("b.i")))
     return met.groupBy(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i")).agg(F.round(F.sum(F.col("a.weight") * F.col("b.weight")), 6).alias("sim"))

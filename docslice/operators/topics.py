@@ -12,12 +12,15 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from docslice.operators.kernel import chunk_rows
-from docslice.operators.semantic import order, tfidf, tfidf_similarity
+from docslice.operators.semantic import _sliced, _weighed, by_document, neighbours, order
+from docslice.runtime import arrow_rows
 
 
 def _labels(units: list[str], terms: list[list[str]], most: int) -> Iterator[tuple]:
@@ -62,14 +65,22 @@ def topic_labels(sentences: DataFrame, most: int = 1000, key: str = "doc_id") ->
 
 def topic_coherence(sentences: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, topic, n, coherence: mean cosine of the topic's sentences, TF-IDF within the topic; 1 for a single one."""
-    own = sentences.join(labels, [key, "i"]).withColumn("_g", F.concat_ws("\x01", F.col(key).cast("string"), "topic"))
-    sizes = own.groupBy("_g", key, "topic").agg(F.count("*").alias("n"))
-    w = tfidf(own.select("_g", "i", "sentence"), key="_g")
-    lengths = w.groupBy("_g").agg(F.count_distinct("i").alias("filled"))
-    sums = w.groupBy("_g", "term").agg(F.sum("weight").alias("s")).groupBy("_g").agg(F.sum(F.col("s") * F.col("s")).alias("whole"))
-    full = sizes.join(sums, "_g", "left").join(lengths, "_g", "left")
-    pairs = (F.coalesce("whole", F.lit(0.0)) - F.coalesce("filled", F.lit(0))) / (F.col("n") * (F.col("n") - 1))
-    return full.select(key, "topic", "n", (F.round(F.when(F.col("n") < 2, 1.0).otherwise(pairs), 6) + 0.0).alias("coherence"))
+    own = sentences.join(labels, [key, "i"]).withColumn("_g", F.struct(key, "topic"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = _weighed(b.column(2))
+            m, count = max(1, len(w.names)), b.num_rows
+            terms, at = np.unique(w.doc[w.sentence] * m + w.term, return_inverse=True)
+            whole = np.bincount(terms // m, np.bincount(at, w.weight, minlength=len(terms)) ** 2, minlength=count)
+            filled = np.bincount(w.doc[np.unique(w.sentence)], minlength=count)
+            n = np.bincount(w.doc, minlength=count)
+            value = np.where(n < 2, 1.0, (whole - filled) / np.maximum(1, n * (n - 1)))
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), pa.array(n), pa.array(value)], [key, "topic", "n", "coherence"])
+
+    by = by_document(own, (), "_g")
+    made = arrow_rows(by, rows, StructType([own.schema[key], own.schema["topic"], *StructType.fromDDL("n long, coherence double")]))
+    return made.withColumn("coherence", F.round("coherence", 6) + 0.0)
 
 
 def topic_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -80,9 +91,23 @@ def topic_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def topic_keywords(sentences: DataFrame, labels: DataFrame, ranked: int = 10, kept: int = 5, least: float = 0.1, key: str = "doc_id") -> DataFrame:
     """key, topic, place, term: of a topic's `ranked` terms of the largest mean weight those over `least`, `kept` at most."""
-    n = labels.groupBy(key, "topic").agg(F.count("*").alias("n"))
-    means = tfidf(sentences, key=key).join(labels, [key, "i"]).groupBy(key, "topic", "term").agg(F.sum("weight").alias("s")).join(n, [key, "topic"])
-    means = means.select(key, "topic", "term", F.round(F.col("s") / F.col("n"), 9).alias("mean"))
+    own = sentences.join(labels, [key, "i"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = _weighed(b.column(2))
+            topics = b.column(3).flatten().dictionary_encode()
+            k, m = max(1, len(topics.dictionary)), max(1, len(w.names))
+            group = w.doc * k + topics.indices.to_numpy(zero_copy_only=False)
+            groups, of, n = np.unique(group, return_inverse=True, return_counts=True)
+            pairs, at = np.unique(of[w.sentence] * m + w.term, return_inverse=True)
+            g, mean = pairs // m, np.bincount(at, w.weight, minlength=len(pairs)) / n[pairs // m]
+            over = np.flatnonzero(mean > least - 1e-6)  # terms of a smaller mean stand behind these, so no place changes
+            g = g[over]
+            yield from _sliced([b.column(0).take(pa.array(groups[g] // k)), topics.dictionary.take(pa.array(groups[g] % k)), w.names.take(pa.array(pairs[over] % m)), mean[over]], [key, "topic", "term", "mean"])
+
+    by = by_document(own, (), key, "topic")
+    means = arrow_rows(by, rows, StructType([own.schema[key], own.schema["topic"], *StructType.fromDDL("term string, mean double")])).withColumn("mean", F.round("mean", 9))
     place = F.row_number().over(Window.partitionBy(key, "topic").orderBy(F.desc("mean"), "term")).cast("long")
     out = means.withColumn("place", place).filter((F.col("place") <= min(ranked, kept)) & (F.col("mean") > least))
     return out.select(key, "topic", "place", "term", F.round("mean", 6).alias("mean"))
@@ -91,9 +116,7 @@ def topic_keywords(sentences: DataFrame, labels: DataFrame, ranked: int = 10, ke
 def similarity_breaks(sentences: DataFrame, threshold: float = 0.7, weight: float = 0.3, key: str = "doc_id") -> DataFrame:
     """key, position, kind, confidence: before sentences whose TF-IDF cosine with the one before is under the threshold,
     in documents of three sentences or more."""
-    n = F.count("*").over(Window.partitionBy(key))
-    pairs = sentences.select(key, "i", n.alias("n")).filter((F.col("n") >= 3) & (F.col("i") < F.col("n") - 1))
-    full = pairs.join(tfidf_similarity(tfidf(sentences, key=key), key), [key, "i"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    full = neighbours(sentences, key).filter("n >= 3").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     return full.filter(F.col("sim") < threshold).select(key, (F.col("i") + 1).alias("position"), F.lit("semantic_break").alias("kind"), F.round((1 - F.col("sim")) * weight, 9).alias("confidence"))
 
 

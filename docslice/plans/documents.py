@@ -206,7 +206,7 @@ QUERIES = {
     "q_semantic_segments": lambda s, sf: semantic.segments(_sentences(s, sf), semantic.by_threshold(_sims(s, sf))),
     "q_context_enriched": lambda s, sf: semantic.context_enriched(_sentences(s, sf), semantic.by_spread(_sims(s, sf))),
     "q_tfidf": lambda s, sf: semantic.tfidf(_sentences(s, sf)).select("doc_id", "i", "term", F.round("weight", 6).alias("weight")),
-    "q_tfidf_similarity": lambda s, sf: semantic.tfidf_similarity(semantic.tfidf(_sentences(s, sf))),
+    "q_tfidf_similarity": lambda s, sf: semantic.neighbours(_sentences(s, sf)).filter("sim is not null").select("doc_id", "i", "sim"),
     "q_kmeans_boundaries": lambda s, sf: semantic.cluster_chunks(semantic.with_vectors(_sentences(s, sf))),
     "q_ward_boundaries": lambda s, sf: semantic.cluster_chunks(semantic.with_vectors(_sentences(s, sf)), "ward"),
     "q_dbscan_boundaries": lambda s, sf: semantic.cluster_chunks(semantic.with_vectors(_sentences(s, sf)), "dbscan"),

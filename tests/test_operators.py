@@ -498,3 +498,16 @@ def test_large_inputs_in_few_files_are_dealt(spark, sf, monkeypatch):
     assert kernel.spread(dealt) is dealt
     by = docs.groupBy("doc_id").count()
     assert kernel.spread(by) is by
+
+
+def test_terms_are_not_shuffled(spark):
+    """Words of a document meet once, as its sentences do; counts and norms of terms deal and sort nothing."""
+    rows = [(d, i, s) for d in range(3) for i, s in enumerate(["a cat sat", "the cat ran", "", "cat cat dog", "the end"])]
+    s = spark.createDataFrame(rows, "doc_id long, i long, sentence string")
+    for df in (semantic.tfidf(s), semantic.tfidf(s, pairs=True, most=4), semantic.neighbours(s)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange") == 1
+    got = {(x["doc_id"], x["i"]): (x["n"], x["sim"]) for x in semantic.neighbours(s).collect()}
+    assert set(got) == {(d, i) for d in range(3) for i in range(4)} and got[0, 0][1] > 0 and got[0, 1] == (5, None) == got[1, 3]
+    joined = {(x["doc_id"], x["i"]): x["sim"] for x in semantic.tfidf_similarity(semantic.tfidf(s)).collect()}
+    assert joined == {k: sim for k, (_, sim) in got.items() if sim is not None}
