@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docslice.operators.kernel import chunk_rows
-from docslice.operators.semantic import order
+from docslice.operators.semantic import _places, _sliced, by_document, order
+from docslice.runtime import arrow_rows
 
 #: Phrases that mark how a sentence goes on, and their weights.
 MARKERS: dict[str, tuple[tuple[str, float], ...]] = {
@@ -39,47 +41,80 @@ def phrase(text: str) -> str:
     return BEFORE + _body(text)
 
 
+def _trie(bodies: dict[str, str]) -> str:
+    """One pattern of all phrases by common first letters, so that most words are told from them by one letter. bodies:
+    what follows the letters that are left of each."""
+    ends = sorted(end for left, end in bodies.items() if not left)
+    heads: dict[str, dict[str, str]] = {}
+    for left, end in bodies.items():
+        if left:
+            heads.setdefault(left[0], {})[left[1:]] = end
+    return "(?:" + "|".join([*ends, *(("[.]" if c == "." else c) + _trie(own) for c, own in sorted(heads.items()))]) + ")"
+
+
 def markers(sentences: DataFrame, sensitivity: float = 0.7, table: dict[str, tuple[tuple[str, float], ...]] | None = None, key: str = "doc_id") -> DataFrame:
     """key, i, kind, phrase, strength: all markers of each sentence. A phrase in the first fifth of it counts a fifth
     more, one in a document's first sentence a tenth more; 1 at most."""
-    low = F.lower("sentence")
+    low = F.col("low")
     found = []
     for kind, phrases in (table or MARKERS).items():
         for p, weight in phrases:
-            at = F.regexp_instr(low, F.lit(phrase(p)))
-            value = weight * F.when((at - 1) / F.length("sentence") < 0.2, 1.2).otherwise(1.0) * F.when(F.col("i") == 0, 1.1).otherwise(1.0) * sensitivity
+            at = F.when(F.contains(low, F.lit(p)), F.regexp_instr(low, F.lit(phrase(p)))).otherwise(0)
+            value = weight * F.when((at - 1) / F.col("n") < 0.2, 1.2).otherwise(1.0) * F.when(F.col("i") == 0, 1.1).otherwise(1.0) * sensitivity
             found.append(F.when(at > 0, F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("phrase"), F.round(F.least(F.lit(1.0), value), 6).alias("strength"))))
-    any_ = F.lit(f"{BEFORE}(?:{'|'.join(sorted({_body(p) for own in (table or MARKERS).values() for p, _ in own}))})")
-    # one pattern tells the sentences that have none, which are most
-    each = sentences.filter(F.regexp_like(low, any_)).select(key, "i", F.explode(F.array_compact(F.array(*found))).alias("m"))
+    any_ = F.lit(BEFORE + _trie({p: _body(p)[len(p.replace(".", "[.]")) :] for own in (table or MARKERS).values() for p, _ in own}))
+    # one pattern tells the sentences that have none, which are most; the others are lower-cased once, behind a generator
+    own = sentences.select(key, "i", F.lower("sentence").alias("low"), F.length("sentence").alias("n")).filter(F.regexp_like(low, any_))
+    each = own.select(F.inline(F.array(F.struct(key, "i", "low", "n")))).select(key, "i", F.explode(F.array_compact(F.array(*found))).alias("m"))
     return each.select(key, "i", "m.*")
 
 
-def _shifts(units: list[str], terms: list[list[str]], most: int) -> Iterator[tuple]:
-    """1 less the TF-IDF cosine of the two sentences before and after each boundary, as two texts."""
+def _shifts(units: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sentences of a batch of documents begin a boundary, and 1 less the TF-IDF cosine of the two sentences before
+    and after it, as two texts. units: a list of sentences, each a list of words, for each document."""
+    doc, flat = _places(units), units.flatten()
+    count = len(doc)
+    begins = np.ones(count, bool)
+    begins[1:] = doc[1:] != doc[:-1]
+    words = flat.flatten().dictionary_encode()
+    m = max(1, len(words.dictionary))
+    keys, tf = np.unique(_places(flat) * m + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    sentence, term = keys // m, keys % m
+    parts = []
+    for off, side in ((1, 0), (2, 0), (0, 1), (-1, 1)):
+        ok = np.flatnonzero((sentence + off >= 0) & (sentence + off < count))
+        at = sentence[ok] + off
+        same = (doc[at] == doc[sentence[ok]]) & ~begins[at]
+        parts.append((at[same] * m + term[ok][same], np.where(side == 0, tf[ok][same], 0), np.where(side == 1, tf[ok][same], 0)))
+    names, at = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
+    a, z = (np.bincount(at, np.concatenate([p[k] for p in parts]), minlength=len(names)) for k in (1, 2))
+    own, term = names // m, names % m
+    if len(own) and np.bincount(own).max() > most:
+        rank = np.empty(m, np.int64)
+        rank[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(m)
+        by = np.lexsort((rank[term], -a - z, own))
+        keep = by[np.arange(len(own)) - np.searchsorted(own, own) < most]
+        own, a, z = own[keep], a[keep], z[keep]
     alone = math.log(3 / 2) + 1
-    for i in range(1, len(units)):
-        a, b = (Counter(t for own in terms[x:y] for t in own) for x, y in ((max(0, i - 2), i), (i, i + 2)))
-        if not a and not b:
-            yield "", i, 0.0
-            continue
-        names = set(a) | set(b)
-        if len(names) > most:
-            names = set(sorted(names, key=lambda t: (-a[t] - b[t], t))[:most])
-        both = sum(a[t] * b[t] for t in names)
-        norms = [math.sqrt(sum((c * (1.0 if t in other else alone)) ** 2 for t, c in own.items() if t in names)) for own, other in ((a, b), (b, a))]
-        yield "", i, round(1 - both / (norms[0] * norms[1]) if all(norms) else 1.0, 9)
+    total = lambda v: np.bincount(own, v, minlength=count)
+    before, after = np.sqrt(total((a * np.where(z > 0, 1.0, alone)) ** 2)), np.sqrt(total((z * np.where(a > 0, 1.0, alone)) ** 2))
+    norm = before * after
+    value = np.where(norm > 0, 1 - total(a * z) / np.where(norm > 0, norm, 1), np.where(before + after > 0, 1.0, 0.0))
+    return np.flatnonzero(~begins), value[~begins]
 
 
 def topic_shift(sentences: DataFrame, most: int = 100, stop: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
     """key, i, shift for each sentence but a document's first; `most` commonest terms, without the words of `stop`."""
-    terms = F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    if stop:
-        terms = F.filter(terms, lambda x: ~x.isin(*stop))
-    own = sentences.select(key, "i", "sentence", terms.alias("terms"))
-    by = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "sentence", "terms"))).alias("s"))
-    by = by.select(key, F.transform("s", lambda x: x["sentence"]).alias("units"), F.transform("s", lambda x: x["terms"]).alias("terms"))
-    return chunk_rows(by, partial(_shifts, most=most), ["units", "terms"], "i long, shift double", key).select(key, "i", "shift")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, (at, value) = _places(b.column(1)), _shifts(b.column(2), most)
+            place = at - np.searchsorted(doc, doc[at])
+            yield from _sliced([b.column(0).take(pa.array(doc[at])), place, value], [key, "i", "shift"])
+
+    own = by_document(sentences, stop, key)
+    made = arrow_rows(own, rows, StructType([own.schema[key], *StructType.fromDDL("i long, shift double")]))
+    return made.withColumn("shift", F.round("shift", 9))
 
 
 def entity_terms(found: DataFrame, sentences: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -91,10 +126,10 @@ def entity_terms(found: DataFrame, sentences: DataFrame, key: str = "doc_id") ->
     return pair.select(key, "i", F.when(F.arrays_overlap("names", "before"), -0.3).otherwise(0.1).alias("entity"))
 
 
-def boundaries(sentences: DataFrame, cuts: DataFrame, shifts: DataFrame, entities: DataFrame | None = None, weights: tuple[float, float, float] = (0.3, 0.4, 0.2), least: float = 0.6, sensitivity: float = 0.7, key: str = "doc_id") -> DataFrame:
+def boundaries(sentences: DataFrame, cuts: DataFrame, shifts: DataFrame, entities: DataFrame | None = None, weights: tuple[float, float, float] = (0.3, 0.4, 0.2), least: float = 0.6, sensitivity: float = 0.7, key: str = "doc_id", own_markers: DataFrame | None = None) -> DataFrame:
     """key, i, semantic, discourse, topic, entity, score, strength of boundaries before sentence i. cuts: key, i (the
-    sentence before), sim of the boundaries found by similarity; the others count as no dissimilarity."""
-    best = markers(sentences, sensitivity, key=key).groupBy(key, "i").agg(F.max("strength").alias("discourse"))
+    sentence before), sim of the boundaries found by similarity; the others count as no dissimilarity. own_markers: the sentences' markers, where they are at hand."""
+    best = (markers(sentences, sensitivity, key=key) if own_markers is None else own_markers).groupBy(key, "i").agg(F.max("strength").alias("discourse"))
     own = sentences.filter("i > 0").select(key, "i").join(cuts.select(key, (F.col("i") + 1).alias("i"), (1 - F.col("sim")).alias("semantic")), [key, "i"], "left")
     own = own.join(best, [key, "i"], "left").join(shifts.select(key, "i", F.col("shift").alias("topic")), [key, "i"], "left")
     own = own.join(entities, [key, "i"], "left") if entities is not None else own.withColumn("entity", F.lit(0.0))

@@ -12,7 +12,7 @@ from docslice.operators import closed, discourse, markup, model, pdf, semantic,
 from docslice.plans import catalog
 from docslice.plans.documents import _CUT, _S, _docs, _sentences, _sims, code_text
 from docslice.plans.splits import SPACE, STRIP, _char_sql
-from docslice.runtime import scratch, table
+from docslice.runtime import materialise, scratch, table
 from docslice.sources import files
 from docslice.streaming import chunks as streams
 
@@ -36,13 +36,20 @@ def cuts(spark: SparkSession, sf: str) -> DataFrame:
     return semantic.by_threshold(_sims(spark, sf)).select("doc_id", "i", F.round("sim", 6).alias("sim"))
 
 
+def _breaks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sentences and their markers, as tables that all steps read, and the boundaries."""
+    own = materialise(marked(spark, sf), "marked")
+    found = materialise(discourse.markers(own), "markers")
+    return own, found, discourse.boundaries(own, cuts(spark, sf), discourse.topic_shift(own, 10**9), least=0.45, own_markers=found)
+
+
 def breaks(spark: SparkSession, sf: str) -> DataFrame:
-    return discourse.boundaries(marked(spark, sf), cuts(spark, sf), shifts(spark, sf), least=0.45)
+    return _breaks(spark, sf)[2]
 
 
 def discourse_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    own = marked(spark, sf)
-    return discourse.chunks(own, breaks(spark, sf), discourse.markers(own))
+    own, found, cut = _breaks(spark, sf)
+    return discourse.chunks(own, cut, found)
 
 
 def modelled(spark: SparkSession, sf: str) -> DataFrame:

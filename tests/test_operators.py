@@ -1,16 +1,20 @@
 """Kernels against slow versions of their rules, and edge cases."""
 
 import hashlib
+import math
 import random
+import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docslice.operators import adapt, cdc, chunkops, closed, code, kernel, markup, pack, semantic, structured, vectors
+from docslice.operators import adapt, cdc, chunkops, closed, code, discourse, kernel, markup, pack, semantic, structured, vectors
 from docslice.plans import catalog
 from docslice.streaming import chunks as streams
 
@@ -511,3 +515,32 @@ def test_terms_are_not_shuffled(spark):
     assert set(got) == {(d, i) for d in range(3) for i in range(4)} and got[0, 0][1] > 0 and got[0, 1] == (5, None) == got[1, 3]
     joined = {(x["doc_id"], x["i"]): x["sim"] for x in semantic.tfidf_similarity(semantic.tfidf(s)).collect()}
     assert joined == {k: sim for k, (_, sim) in got.items() if sim is not None}
+
+
+@pytest.mark.parametrize("most", [3, 100])
+def test_topic_shift_of_a_batch(most):
+    """All boundaries of a batch of documents at once, as one by one."""
+    r = random.Random(most)
+    units = [[[r.choice("abcdefg") + "x" for _ in range(r.randrange(5))] for _ in range(r.randrange(1, 7))] for _ in range(60)]
+
+    def slow(terms, i):
+        a, b = (Counter(t for own in terms[x:y] for t in own) for x, y in ((max(0, i - 2), i), (i, i + 2)))
+        names = sorted(set(a) | set(b), key=lambda t: (-a[t] - b[t], t))[:most]
+        size = lambda own, other: math.sqrt(sum((own[t] * (1 if other[t] else math.log(1.5) + 1)) ** 2 for t in names))
+        norm = size(a, b) * size(b, a)
+        return 1 - sum(a[t] * b[t] for t in names) / norm if norm else 1.0 if names else 0.0
+
+    at, value = discourse._shifts(pa.array(units), most)
+    first = np.cumsum([0, *map(len, units)])
+    want = [(first[d] + i, slow(terms, i)) for d, terms in enumerate(units) for i in range(1, len(terms))]
+    assert at.tolist() == [k for k, _ in want] and value == pytest.approx([v for _, v in want])
+
+
+def test_one_pattern_of_all_phrases():
+    """It finds what the phrases find one by one, and is read letter by letter."""
+    phrases = sorted({p for own in discourse.MARKERS.values() for p, _ in own})
+    ends = {p: discourse._body(p)[len(p.replace(".", "[.]")) :] for p in phrases}
+    plain = lambda x: re.compile(x.replace(r"[\p{L}\p{N}_]", r"\w"))
+    any_ = plain(discourse.BEFORE + discourse._trie(ends))
+    for text in [*phrases, *(f"x {p} y" for p in phrases), *(f"x{p}" for p in phrases), *(f"{p}x" for p in phrases), "e.g. x", "e.g.x", "that is to", "no"]:
+        assert bool(any_.search(text)) == any(plain(discourse.phrase(p)).search(text) for p in phrases), text
