@@ -18,8 +18,9 @@ SCHEMA = "chunk_index long, content string, size long"
 
 #: Bytes of input for each core below which rows are dealt to all cores first.
 SPREAD_BYTES = 32 << 20
-#: Bytes of input of a task where a larger input is dealt, and files a core from which on it has tasks enough.
-TASK_BYTES, FILES = 16 << 20, 4
+#: Bytes of input of a task where a larger input is dealt, files a core from which on it has tasks enough, tasks a core at
+#: most, and the size from which on it is not known (rows that come from no file).
+TASK_BYTES, FILES, ROUNDS, UNKNOWN = 16 << 20, 4, 256, 1 << 50
 #: What deals rows by itself.
 DEALT = ("Aggregate", "Join", "Window", "Repartition", "Distinct", "Sort")
 
@@ -36,9 +37,9 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     if n < cores * SPREAD_BYTES:
         return df.repartition(cores)
-    if any(x in shape for x in DEALT) or not 0 < len(df.inputFiles()) < FILES * cores:
+    if n >= UNKNOWN or any(x in shape for x in DEALT) or not 0 < len(df.inputFiles()) < FILES * cores:
         return df
-    return df.repartition(cores * -(-n // (cores * TASK_BYTES)), F.xxhash64(*df.columns))
+    return df.repartition(cores * min(ROUNDS, -(-n // (cores * TASK_BYTES))), F.xxhash64(*df.columns))
 
 
 def chunk_rows(df: DataFrame, chunks: Callable[..., Iterable], inputs: list[str], schema: str = "", key: str = "doc_id", most: int = 4000) -> DataFrame:

@@ -15,6 +15,8 @@ from docslice.runtime import arrow_rows, materialise
 
 #: Query vectors of one block; a block is broadcast, so its size is bounded whatever the table's is.
 BLOCK = 4096
+#: Scores that a task holds at a time.
+CELLS = 1 << 20
 
 
 def normalised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -27,20 +29,35 @@ def normalised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def _nearest(ids: list, unit: np.ndarray, k: int, key: str):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_ids, own_unit = shared.value
-        scores, names = np.full((len(own_ids), 0), 0.0), np.zeros((len(own_ids), 0), np.int64)
+        asked = np.array(own_ids, np.int64)
+        # a query's k best so far, best first (later ones of equals by key), and what is not filled yet
+        scores, names = np.full((len(asked), k), -np.inf), np.zeros((len(asked), k), np.int64)
+        step = max(1, CELLS // max(1, len(asked)))
         for b in batches:
-            if not b.num_rows or not len(own_ids):
+            if not b.num_rows or not len(asked):
                 continue
-            own = b.column(0).to_numpy()
-            x = _unit(b.column(1).flatten().to_numpy().astype(float).reshape(b.num_rows, -1))
-            s = own_unit @ x.T
-            s[np.array(own_ids)[:, None] == own[None]] = -np.inf
-            scores, names = np.concatenate([scores, s], 1), np.concatenate([names, np.broadcast_to(own, s.shape)], 1)
-            top = np.lexsort((names, -np.round(scores, 9)), axis=1)[:, :k]
-            scores, names = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
-        if scores.shape[1]:
-            n = scores.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(own_ids, np.int64), n)), pa.array(names.ravel()), pa.array(np.round(scores.ravel(), 9))], ["query_id", key, "cosine"])
+            every = b.column(0).to_numpy()
+            unit = _unit(b.column(1).flatten().to_numpy().astype(float).reshape(b.num_rows, -1))
+            for a in range(0, b.num_rows, step):
+                own = every[a : a + step]
+                s = np.round(own_unit @ unit[a : a + step].T, 9)
+                s[asked[:, None] == own[None]] = -np.inf
+                # most rows reach no query's k-th best: only the others are sorted
+                q, r = np.nonzero((s >= scores[:, -1:]) & (s > -np.inf))
+                if not len(q):
+                    continue
+                held = np.flatnonzero(np.bincount(q, minlength=len(asked)))
+                q = np.concatenate([q, np.repeat(held, k)])
+                v = np.concatenate([s[q[: len(r)], r], scores[held].ravel()])
+                name = np.concatenate([own[r], names[held].ravel()])
+                by = np.lexsort((name, -v, q))
+                q, v, name = q[by], v[by], name[by]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                top = place < k
+                scores[q[top], place[top]], names[q[top], place[top]] = v[top], name[top]
+        found = scores > -np.inf
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, found.sum(1))), pa.array(names[found]), pa.array(scores[found])], ["query_id", key, "cosine"])
 
     from pyspark import SparkContext
 

@@ -502,6 +502,9 @@ def test_large_inputs_in_few_files_are_dealt(spark, sf, monkeypatch):
     assert kernel.spread(dealt) is dealt
     by = docs.groupBy("doc_id").count()
     assert kernel.spread(by) is by
+    monkeypatch.undo()
+    mixed = docs.unionByName(spark.createDataFrame([(-1, "x")], "doc_id long, text string"))  # of a size that is not known
+    assert kernel.spread(mixed) is mixed
 
 
 def test_terms_are_not_shuffled(spark):
@@ -544,3 +547,23 @@ def test_one_pattern_of_all_phrases():
     any_ = plain(discourse.BEFORE + discourse._trie(ends))
     for text in [*phrases, *(f"x {p} y" for p in phrases), *(f"x{p}" for p in phrases), *(f"{p}x" for p in phrases), "e.g. x", "e.g.x", "that is to", "no"]:
         assert bool(any_.search(text)) == any(plain(discourse.phrase(p)).search(text) for p in phrases), text
+
+
+def test_top_k_holds_few_scores(spark, monkeypatch):
+    """A batch is scored in slices, and only what may be among the k best is sorted; results are those of a full sort."""
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(6000, 4)), 1)  # with equal vectors, so with ties
+    ids, unit = list(range(0, 6000, 30)), vectors._unit(v)[::30]
+    best, _ = vectors._nearest(ids, unit, 3, "vec_id")
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + 3000)), pa.array(list(v[a : a + 3000]))], ["vec_id", "v"]) for a in (0, 3000)]
+    sorts, sort = [], np.lexsort
+    monkeypatch.setattr(vectors, "CELLS", 20_000, raising=False)
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: sorts.append(np.size(keys[0])) or sort(keys, axis=axis))
+    [got] = best(iter(batches))
+    assert max(sorts) <= 20_600
+    rows = list(zip(*(c.to_pylist() for c in got.columns), strict=True))
+    for q in ids[:40]:
+        s = np.round(vectors._unit(v) @ vectors._unit(v)[q], 9)
+        s[q] = -9
+        want = sort((np.arange(6000), -s))[:3]
+        assert [x[1] for x in rows if x[0] == q] == want.tolist()

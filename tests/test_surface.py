@@ -1,7 +1,10 @@
 """Files, tokens, PDF, configuration, plug-ins and the command line."""
 
 import json
+import os
 import re
+import subprocess
+import sys
 import time
 import unicodedata
 import zlib
@@ -88,6 +91,22 @@ def test_tokens_are_the_librarys(spark, sf):
         assert got.get(i, []) == own
 
 
+def test_token_spans_hold_one_text_at_a_time():
+    """A batch of many texts takes no more memory than its longest one; a process of its own measures that."""
+    code = """
+import resource, sys
+import pyarrow as pa, public_tokenizers
+from docslice.functions import tokens
+spans = lambda texts: sum(b.num_rows for b in tokens._spans(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]), public_tokenizers.path("byte_bpe_50k.json"), 200, 20, "doc_id"))
+text = " ".join(f"word{k * 7919 % 10007} and so on" for k in range(2000))
+first = spans([text])
+peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert spans([text] * 120) == 120 * first
+sys.exit(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - peak > 100_000)
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
 def _pdf(parts: dict[int, bytes]) -> bytes:
     return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in parts.items()) + b"%%EOF"
 
