@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docslice.functions import text as T
+from docslice.operators.kernel import spread
+from docslice.runtime import arrow_rows
 
 WORDS = r"[\p{L}\p{N}_]+"
 
@@ -59,14 +67,14 @@ def _staged(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def scores(docs: DataFrame, sample: int = 1000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scores(docs: DataFrame, sample: int = 1000, text: str = "text", key: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
     """key and a score for each language, on the first `sample` characters: .7 of the share of common words and .3 of
-    the marks for each thousand characters, 1 at most."""
+    the marks for each thousand characters, 1 at most. more: columns that are kept."""
     head = F.lower(F.substring(T.filled(F.col(text)), 1, sample))
-    own = docs.select(key, F.col(text).alias("_text"), head.alias("h"), F.regexp_extract_all(head, F.lit(WORDS), F.lit(0)).alias("all"))
+    own = docs.select(key, *more, F.col(text).alias("_text"), head.alias("h"), F.regexp_extract_all(head, F.lit(WORDS), F.lit(0)).alias("all"))
     # only words of some list are looked for in each of them
     known = sorted({x for table in (COMMON, MARKS) for own_words in table.values() for x in own_words})
-    own = _staged(own).select(key, "_text", "h", F.size("all").alias("n"), F.filter("all", lambda x: x.isin(*known)).alias("w"))
+    own = _staged(own).select(key, *more, "_text", "h", F.size("all").alias("n"), F.filter("all", lambda x: x.isin(*known)).alias("w"))
     own = _staged(own)
     out = []
     for lang in COMMON:
@@ -77,24 +85,38 @@ def scores(docs: DataFrame, sample: int = 1000, text: str = "text", key: str = "
             marks = _member(F.col("w"), MARKS[lang])
         value = 0.7 * share + 0.3 * F.least(F.lit(1.0), marks / F.length("h") * 1000)
         out.append(F.round(F.when(F.col("n") > 0, value).otherwise(0.0), 6).alias(lang))
-    return own.select(key, "_text", *out)
+    return own.select(key, *more, "_text", *out)
+
+
+def _profiles(batches: Iterator[pa.RecordBatch], sample: int, key: str) -> Iterator[pa.RecordBatch]:
+    """key, head, whether there is white space only, and the number of characters of each script, by code points."""
+    for b in batches:
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        counts: list[list[int]] = [[] for _ in SCRIPTS]
+        for t in texts:
+            code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            for own, (first, last, _) in zip(counts, SCRIPTS.values(), strict=True):
+                own.append(int(np.count_nonzero((code >= ord(first)) & (code <= ord(last)))))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[:sample] for t in texts], pa.string()), pa.array([not t.strip(" \t\n\x0b\f\r") for t in texts], pa.bool_()), *(pa.array(own, pa.int64()) for own in counts)], [key, "_head", "_blank", *(f"_{k}" for k in SCRIPTS)])
 
 
-def script_names(c: Column) -> Column:
+def script_names(counts: dict[str, Column]) -> Column:
     """Scripts of at least 5 % of the characters that are of a known script, in their fixed order."""
-    counts = {k: F.length(F.regexp_replace(c, f"[^{a}-{z}]+", "")) for k, (a, z, _) in SCRIPTS.items()}
     total = sum(counts.values(), F.lit(0))
     return F.array_compact(F.array(*(F.when((total > 0) & (n >= 0.05 * total), F.lit(k)) for k, n in counts.items())))
 
 
 def detect(docs: DataFrame, sample: int = 1000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, language, confidence, scripts, top (the three best, best first). Without words that tell, the first script
-    decides, at confidence .3."""
-    own = _staged(scores(docs, sample, text, key)).withColumn("scripts", script_names(T.filled(F.col("_text"))))
+    decides, at confidence .3. Scripts are counted in one pass over the text; only its head goes on."""
+    kept = ("_blank", *(f"_{k}" for k in SCRIPTS))
+    schema = StructType([docs.schema[key], *StructType.fromDDL(", ".join(["_head string", "_blank boolean", *(f"_{k} long" for k in SCRIPTS)]))])
+    heads = arrow_rows(spread(docs.select(key, text)), partial(_profiles, sample=sample, key=key), schema)
+    own = _staged(scores(heads, sample, "_head", key, kept)).withColumn("scripts", script_names({k: F.col(f"_{k}") for k in SCRIPTS}))
     ranked = F.array_sort(F.array(*(F.struct((-F.col(k)).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(COMMON))))
     ranked = F.filter(ranked, lambda x: x["s"] < 0)
     by_script = F.element_at(F.create_map(*(F.lit(x) for k, (_, _, lang) in SCRIPTS.items() for x in (k, lang))), F.try_element_at("scripts", F.lit(1)))
-    blank = ~F.coalesce(F.col("_text").rlike(r"\S"), F.lit(False))
+    blank = F.col("_blank")
     found = _staged(own.withColumn("r", F.when(blank, F.lit(None)).otherwise(ranked)))
     told = F.size("r") > 0
     script = F.when(blank, F.array().cast("array<string>")).otherwise(F.col("scripts"))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docslice.__main__ import main
-from docslice.functions import analyze, tokens
+from docslice.functions import analyze, languages, tokens
 from docslice.functions import text as T
 from docslice.operators import closed, feedback, media, model, pdf, topics, vectors, windows
 from docslice.plans import catalog, config
@@ -331,3 +331,13 @@ def test_random_patches(spark):
         return (h - (1 << 64) if h >> 63 else h) % (side - 32 + 1)
 
     assert got == {(i, k): (at(i, k, w, 0), at(i, k, h, 1), 32, 32) for i, w, h in ((5, 100, 80), (7, 32, 32)) for k in range(3)}
+
+
+def test_scripts_are_counted_in_one_pass():
+    texts = ["Plain, é ɏ.", "слово and word", "漢字かなカナ한글", " ", " \t\n\x0b\f\r", "😀\x7f\x1f", "", None, "سلام" * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    [got] = languages._profiles(iter([batch]), 1000, "doc_id")
+    for r, t in zip(got.to_pylist(), texts, strict=True):
+        t = t or ""
+        assert r["_head"] == t[:1000] and r["_blank"] == (not re.search(r"\S", t, re.ASCII))
+        assert [r[f"_{k}"] for k in languages.SCRIPTS] == [sum(a <= c <= z for c in t) for a, z, _ in languages.SCRIPTS.values()]
