@@ -23,7 +23,7 @@ from docslice.operators.semantic import _sliced, _weighed, by_document, neighbou
 from docslice.runtime import arrow_rows
 
 
-def _labels(units: list[str], terms: list[list[str]], most: int) -> Iterator[tuple]:
+def _labels(units: list, terms: list[list[str]], most: int) -> Iterator[tuple]:
     n = len(units)
     if n < 3:
         return
@@ -32,10 +32,13 @@ def _labels(units: list[str], terms: list[list[str]], most: int) -> Iterator[tup
     names = sorted(df, key=lambda t: (-tf[t], t))[:most]
     at = {t: k for k, t in enumerate(sorted(names))}
     x = np.zeros((n, max(1, len(at))))
+    rows, columns = [], []
     for i, own in enumerate(terms):
-        for t, c in Counter(own).items():
-            if t in at:
-                x[i, at[t]] = c * (np.log((1 + n) / (1 + df[t])) + 1)
+        found = [at[t] for t in own if t in at]
+        columns += found
+        rows += [i] * len(found)
+    np.add.at(x, (np.array(rows, int), np.array(columns, int)), 1)
+    x *= np.log((1 + n) / (1 + np.array([df[t] for t in sorted(names)] or [0]))) + 1
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     x = x / np.where(norm == 0, 1, norm)
     k = min(max(2, n // 3), 5)
@@ -53,14 +56,15 @@ def _labels(units: list[str], terms: list[list[str]], most: int) -> Iterator[tup
         yield "", i, int(label[i])
 
 
+def _labels_of_words(terms: list[list[str]], most: int) -> Iterator[tuple]:
+    return _labels(terms, terms, most)
+
+
 def topic_labels(sentences: DataFrame, most: int = 1000, key: str = "doc_id") -> DataFrame:
     """key, i, topic of documents of three sentences or more: min(max(2, n / 3), 5) clusters of TF-IDF vectors of at
     most `most` terms, from evenly placed first centres."""
-    terms = F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    own = sentences.select(key, "i", "sentence", terms.alias("terms"))
-    by = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "sentence", "terms"))).alias("s"))
-    by = by.select(key, F.transform("s", lambda x: x["sentence"]).alias("units"), F.transform("s", lambda x: x["terms"]).alias("terms"))
-    return chunk_rows(by, partial(_labels, most=most), ["units", "terms"], "i long, topic int", key).select(key, "i", "topic")
+    by = by_document(sentences, (), key)
+    return chunk_rows(by, partial(_labels_of_words, most=most), ["words"], "i long, topic int", key).select(key, "i", "topic")
 
 
 def topic_coherence(sentences: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -341,3 +341,13 @@ def test_scripts_are_counted_in_one_pass():
         t = t or ""
         assert r["_head"] == t[:1000] and r["_blank"] == (not re.search(r"\S", t, re.ASCII))
         assert [r[f"_{k}"] for k in languages.SCRIPTS] == [sum(a <= c <= z for c in t) for a, z, _ in languages.SCRIPTS.values()]
+
+
+def test_topic_labels_gather_words_only(spark):
+    """A document's words meet once; its sentences are not dealt beside them."""
+    rows = [(1, i, s) for i, s in enumerate(["a cat sat", "cats ran", "...", "the dog", "a cat sat"])] + [(2, 0, "x"), (3, 0, "!"), (3, 1, "?"), (3, 2, "!")]
+    own = topics.topic_labels(spark.createDataFrame(rows, "doc_id long, i long, sentence string"))
+    assert "units" not in own._jdf.queryExecution().optimizedPlan().toString()
+    words = [["cat", "sat"], ["cats", "ran"], [], ["the", "dog"], ["cat", "sat"]]
+    want = {(1, i): k for _, i, k in topics._labels(words, words, 1000)} | {(3, i): 0 for i in range(3)}
+    assert {(x["doc_id"], x["i"]): x["topic"] for x in own.collect()} == want
