@@ -32,7 +32,7 @@ def sql_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in pieces of 256 characters, chunked as a stream and read back from its sink."""
     base = scratch(spark, "stream")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("t"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("t"))
     n = F.greatest(F.ceil(F.length("t") / 256), F.lit(1)).cast("int")
     pieces = docs.select("source", "t", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
     pieces.select("source", F.col("seq").cast("long").alias("seq"), F.substring("t", F.col("seq") * 256 + 1, F.lit(256)).alias("text"), (F.col("seq") == F.col("n") - 1).alias("last")).write.parquet(f"{base}/in")

@@ -87,19 +87,22 @@ def chunk_stream(pieces: DataFrame, cutter: Cutter) -> DataFrame:
             for seq, text, last in zip(f["seq"], f["text"], f["last"], strict=True):
                 if int(seq) >= due:
                     waiting.setdefault(int(seq), [text or "", bool(last)])
-        out, ended = [], False
+        # columns, as a frame of rows costs more than a small source's chunks
+        first, made_now, places, ended = chunks, [], [], False
         while due in waiting and not ended:
             text, ended = waiting.pop(due)
             due += 1
             made, rest = cutter(rest + text, ended)
             for c in made:
-                out.append((key[0], chunks, offset, c))
+                made_now.append(c)
+                places.append(offset)
                 chunks, offset = chunks + 1, offset + len(c)
         if ended:
             state.remove()
         else:
             state.update((rest, due, json.dumps(waiting), chunks, offset))
-        yield pd.DataFrame(out, columns=["source", "chunk_index", "offset", "content"])
+        if made_now:
+            yield pd.DataFrame({"source": key[0], "chunk_index": range(first, chunks), "offset": places, "content": made_now})
 
     grouped = pieces.select("source", "seq", "text", F.coalesce("last", F.lit(False)).alias("last")).groupBy("source")
     return grouped.applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

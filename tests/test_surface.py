@@ -18,7 +18,8 @@ from docslice.__main__ import main
 from docslice.functions import analyze, languages, tokens
 from docslice.functions import text as T
 from docslice.operators import closed, feedback, media, model, pdf, topics, vectors, windows
-from docslice.plans import catalog, config
+from docslice.plans import catalog, config, more
+from docslice.runtime import scratch
 from docslice.sources import files
 from docslice.streaming import chunks as streams
 
@@ -351,3 +352,11 @@ def test_topic_labels_gather_words_only(spark):
     words = [["cat", "sat"], ["cats", "ran"], [], ["the", "dog"], ["cat", "sat"]]
     want = {(1, i): k for _, i, k in topics._labels(words, words, 1000)} | {(3, i): 0 for i in range(3)}
     assert {(x["doc_id"], x["i"]): x["topic"] for x in own.collect()} == want
+
+
+def test_pieces_of_a_stream_are_written_by_all_cores(spark, sf, monkeypatch):
+    """Documents in one row group are dealt before they are cut into pieces."""
+    made = []
+    monkeypatch.setattr(more, "scratch", lambda *a: made.append(scratch(*a)) or made[-1])
+    assert more.streamed(spark, sf).count()
+    assert len([f for f in os.listdir(f"{made[0]}/in") if f.endswith(".parquet")]) > 1
